@@ -47,6 +47,47 @@ def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(write_ids(_read(spark, sf_dir, "documents"), tokenizer, 2), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_topk, op8_bpe, op9_packed_ids)}
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm.simhash import near_duplicates
 
-ORACLES = {"op3_topk": OP3_SQL}
+    found = near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm.mixing import mix
+
+    return mix(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm._common import cut
+    from strandmill.llm.warc import assemble, read_records, write_captures
+
+    folder = write_captures(_read(spark, sf_dir, "pages"))
+    captures = assemble(read_records(spark, folder, content=False)).select("response.*", F.col("metadata.fields")["page-id"].cast("long").alias("page_id"))
+    captures = cut(captures.select("record_id", "type", "refers_to", "payload_bytes", "payload_digest", "page_id"))
+    original = captures.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("original_bytes"), F.col("page_id").alias("original_page"))
+    met = captures.join(original, "refers_to", "left")
+    return met.select("page_id", F.coalesce("payload_bytes", "original_bytes").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), F.col("original_page").alias("refers_to"))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+m AS (SELECT html, max(page_id) AS last FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN last <> page_id THEN last END AS refers_to
+FROM p LEFT JOIN m ON p.html = m.html
+"""
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm.quality import judge
+
+    return judge(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("rejected_by")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_topk, op4_mixing, op5_warc, op7_quality, op8_bpe, op9_packed_ids)}
+
+ORACLES = {"op3_topk": OP3_SQL, "op5_warc": OP5_SQL}
