@@ -82,12 +82,22 @@ FROM p LEFT JOIN m ON p.html = m.html
 """
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm.pii import KINDS, find
+
+    found = find(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed(F.concat("base", "context")).alias("spans"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandmill.llm.quality import judge
 
     return judge(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("rejected_by")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_topk, op4_mixing, op5_warc, op7_quality, op8_bpe, op9_packed_ids)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_topk, op4_mixing, op5_warc, op6_pii, op7_quality, op8_bpe, op9_packed_ids)}
 
 ORACLES = {"op3_topk": OP3_SQL, "op5_warc": OP5_SQL}
