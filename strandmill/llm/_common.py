@@ -44,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame, what: str) -> DataFrame:
+    """Like ``cut``, by a compressed table in the shared folder: for many or wide rows."""
+    folder = fresh_dir(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def raw(column: str | Column) -> Column:
     """A text's UTF-8 bytes; null is empty."""
     c = F.col(column) if isinstance(column, str) else column

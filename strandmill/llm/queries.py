@@ -98,6 +98,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("rejected_by")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_topk, op4_mixing, op5_warc, op6_pii, op7_quality, op8_bpe, op9_packed_ids)}
+def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm.ngram_lm import score
+
+    return score(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_topk, op4_mixing, op5_warc, op6_pii, op7_quality, op8_bpe, op9_packed_ids, op10_ngram_lm)}
 
 ORACLES = {"op3_topk": OP3_SQL, "op5_warc": OP5_SQL}
