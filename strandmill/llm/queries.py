@@ -54,6 +54,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm.substring import removal_digests
+
+    return removal_digests(_read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandmill.llm.mixing import mix
 
@@ -104,6 +110,6 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_topk, op4_mixing, op5_warc, op6_pii, op7_quality, op8_bpe, op9_packed_ids, op10_ngram_lm)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_topk, op4_mixing, op5_warc, op6_pii, op7_quality, op8_bpe, op9_packed_ids, op10_ngram_lm)}
 
 ORACLES = {"op3_topk": OP3_SQL, "op5_warc": OP5_SQL}
