@@ -215,11 +215,26 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _rooted(prints: DataFrame, least: Column, max_bits: int) -> DataFrame:
+    """(fp, least): for every fingerprint the smallest ``least`` of its component."""
+    distinct = cut(prints.groupBy("fp").agg(F.min(least).alias("own")))
+    roots = components(links(distinct.select("fp"), max_bits)).withColumnRenamed("a", "fp")
+    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("own").alias("least")), "root").select("fp", "least")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """One row per document: its id, ``fp`` and ``component_id``, the smallest id that links lead to."""
     prints = cut(with_fingerprint(docs.select(id_col, text_col), text_col, shingle))
-    distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = components(links(distinct.select("fp"), max_bits)).withColumnRenamed("a", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    return prints.join(_rooted(prints, F.col(id_col), max_bits), "fp").select(id_col, "fp", F.col("least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the smallest id, null last; of repeated ids one row.
+
+    ``docs`` is a stored table: its rows are numbered by where they stand."""
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    prints = cut(with_fingerprint(numbered.select(id_col, "__row", text_col), text_col, shingle))
+    stays = _rooted(prints, first, max_bits).select(F.col("least.row").alias("__row")).distinct()
+    return numbered.join(stays, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
