@@ -94,7 +94,8 @@ BASE: dict[str, Rule] = {
 FURTHER: dict[str, Rule] = {
     "symbols": lambda t: 10 * t.n_symbols > t.n_words,
     "word_length": lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words,
-    "repeated_lines": lambda t: 10 * t.n_dup_lines > 3 * len(t.lines),
+    # a short text may well repeat a line or two, such as a license
+    "repeated_lines": lambda t: t.n_dup_lines > 3 and 10 * t.n_dup_lines > 3 * len(t.lines),
     "few_wordlike": lambda t: 10 * t.n_wordlike < 7 * t.n_words,
 }
 
