@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.functions import sequence as S
-
 Rules = list[tuple[str, Column, Column | None]]
 
 
-def holding(rules: Rules, fallback: str) -> dict[str, Column]:
-    """primary, secondary (array) and evidence (array) of (label, condition, evidence) rules."""
-    hits = F.filter(F.array(*(F.when(c, F.struct(F.lit(n).alias("label"), F.coalesce(e if e is not None else F.lit(n), F.lit(n)).alias("why"))) for n, c, e in rules)), lambda x: x.isNotNull())
-    labels = F.transform(hits, lambda x: x["label"])
+UNMAPPED = "unmapped_physicochemical_properties"
+
+
+def hits_of(rules: Rules) -> Column:
+    """array<struct<label, why>> of the (label, condition, evidence) rules that hold."""
+    return F.filter(F.array(*(F.when(c, F.struct(F.lit(n).alias("label"), F.coalesce(e if e is not None else F.lit(n), F.lit(n)).alias("why"))) for n, c, e in rules)), lambda x: x.isNotNull())
+
+
+def labels_of(hits: Column, fallback: str) -> dict[str, Column]:
+    """primary, secondary (array) and evidence (array) of such hits, a column named in a step of its own."""
     return {
-        "primary": F.coalesce(F.get(labels, F.lit(0)), F.lit(fallback)),
-        "secondary": F.when(F.size(labels) > 1, F.slice(labels, 2, F.size(labels))).otherwise(F.array().cast("array<string>")),
+        "primary": F.coalesce(F.get(hits, F.lit(0))["label"], F.lit(fallback)),
+        "secondary": F.transform(F.filter(hits, lambda x, i: i > 0), lambda x: x["label"]),
         "evidence": F.transform(hits, lambda x: x["why"]),
     }
 
@@ -30,9 +34,9 @@ def first_match(name: Column, tiers: list[tuple[str | None, str]]) -> Column:
     return out
 
 
-def signatures(f: dict[str, Column] | None = None, cutoff: Column | float | None = None) -> dict[str, Column]:
-    """The behaviour signatures of a sequence from its features (columns by name, if none are given)."""
-    c = f.__getitem__ if f else F.col
+def signature_hits(cutoff: Column | float | None = None) -> Column:
+    """The behaviour signatures that hold, from the columns of ``sequence.with_features``."""
+    c = F.col
     two = lambda text, *cols: F.format_string(text, *cols)
     basic = (c("frac_positive") >= 0.25) & (c("ncpr") >= 0.10)
     arg = c("frac_R") >= 0.12
@@ -59,7 +63,7 @@ def signatures(f: dict[str, Column] | None = None, cutoff: Column | float | None
         ("glycine_rich_region", c("frac_G") >= 0.25, two("G %.2f", c("frac_G"))),
         ("proline_rich_disordered_region", c("frac_P") >= 0.15, two("P %.2f", c("frac_P"))),
     ]
-    return holding(rules, "unmapped_physicochemical_properties")
+    return hits_of(rules)
 
 
 def evidence_classes(df: DataFrame, terms: dict[str, list[str]], fields: list[str]) -> DataFrame:
@@ -69,27 +73,21 @@ def evidence_classes(df: DataFrame, terms: dict[str, list[str]], fields: list[st
     different fields, then of hits, then by name."""
     per = []
     for name, patterns in sorted(terms.items()):
-        found = [F.when(F.coalesce(F.col(f), F.lit("")).rlike(f"(?i){p}"), F.concat(F.lit(f"{f}: "), F.lit(p))) for f in fields for p in patterns]
-        in_field = [F.greatest(*(F.coalesce(F.col(f), F.lit("")).rlike(f"(?i){p}").cast("int") for p in patterns), F.lit(0)) for f in fields]
-        hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-        n_fields = sum(in_field[1:], in_field[0])
-        per.append(F.struct((-n_fields).alias("less_fields"), (-F.size(hits)).alias("less_hits"), F.lit(name).alias("name"), hits.alias("hits")))
-    ranked = F.filter(F.array_sort(F.array(*per)), lambda x: x["less_hits"] < 0)
-    top = F.get(ranked, F.lit(0))
-    return (
-        df.withColumn("__r", ranked)
-        .withColumn("__t", top)
-        .withColumns(
-            {
-                "primary_class": F.coalesce(F.col("__t.name"), F.lit("unknown")),
-                "secondary_class": F.array_join(F.transform(F.slice("__r", 2, 100), lambda x: x["name"]), "; "),
-                "n_fields": F.coalesce(-F.col("__t.less_fields"), F.lit(0)),
-                "n_hits": F.coalesce(-F.col("__t.less_hits"), F.lit(0)),
-                "evidence": F.array_join(F.coalesce(F.col("__t.hits"), F.array().cast("array<string>")), "; "),
-            }
-        )
-        .drop("__r", "__t")
-    )
+        found = [F.when(F.coalesce(F.col(f), F.lit("")).rlike(f"(?i){p}"), F.struct(F.lit(f).alias("field"), F.lit(p).alias("term"))) for f in fields for p in patterns]
+        per.append(F.struct(F.lit(name).alias("name"), F.filter(F.array(*found), lambda x: x.isNotNull()).alias("hits")))
+    some = F.filter(F.array(*per), lambda x: F.size(x["hits"]) > 0)
+    n_fields = lambda x: F.size(F.array_distinct(F.transform(x["hits"], lambda h: h["field"])))
+    ranked = F.array_sort(F.transform(some, lambda x: F.struct((-n_fields(x)).alias("f"), (-F.size(x["hits"])).alias("h"), x["name"].alias("name"), x["hits"].alias("hits"))))
+    out = df.withColumn("__r", ranked).withColumn("__t", F.get("__r", F.lit(0)))
+    return out.withColumns(
+        {
+            "primary_class": F.coalesce(F.col("__t.name"), F.lit("unknown")),
+            "secondary_class": F.array_join(F.transform(F.filter("__r", lambda x, i: i > 0), lambda x: x["name"]), "; "),
+            "n_fields": F.coalesce(-F.col("__t.f"), F.lit(0)),
+            "n_hits": F.coalesce(-F.col("__t.h"), F.lit(0)),
+            "evidence": F.coalesce(F.array_join(F.transform("__t.hits", lambda h: F.concat_ws(": ", h["field"], h["term"])), "; "), F.lit("")),
+        }
+    ).drop("__r", "__t")
 
 
 def validation_verdict(internal_fdr: Column, internal: Column, external_fdr: Column, external: Column, carriers: Column, alpha: float = 0.05, least: int = 5) -> Column:
@@ -107,6 +105,3 @@ def validation_verdict(internal_fdr: Column, internal: Column, external_fdr: Col
         .when(yes(internal_fdr) & down(internal) & ext & down(external), "validated_depletion")
         .otherwise("concordant_null")
     )
-
-
-__all__ = ["S", "evidence_classes", "first_match", "holding", "signatures", "validation_verdict"]

@@ -5,7 +5,7 @@ gives null unless said otherwise; an empty one gives 0 or, for means, null."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The 20 residues and the classes they belong to.
@@ -64,11 +64,17 @@ def properties(seq: Column) -> dict[str, Column]:
     }
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def entropy(seq: Column) -> Column:
     """Shannon entropy in bits over the 20 residues."""
-    n = sum((count_of(seq, a) for a in RESIDUES[1:]), count_of(seq, RESIDUES[0]))
-    term = lambda a: F.when(count_of(seq, a) > 0, -(count_of(seq, a) / n) * F.log2(count_of(seq, a) / n)).otherwise(0.0)
-    return F.when(n > 0, sum((term(a) for a in RESIDUES[1:]), term(RESIDUES[0]))).otherwise(0.0)
+    counts = F.array(*(count_of(seq, a) for a in RESIDUES))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
+    bits = lambda c, n: F.aggregate(c, F.lit(0.0), lambda a, v: F.when(v > 0, a - (v / n) * F.log2(v / n)).otherwise(a))
+    return let(counts, lambda c: let(total(c), lambda n: F.when(n > 0, bits(c, n)).otherwise(0.0)))
 
 
 def entropy_observed(text: Column) -> Column:
@@ -79,11 +85,10 @@ def entropy_observed(text: Column) -> Column:
     return F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
 
-def dominant(seq: Column) -> tuple[Column, Column]:
-    """The commonest residue, ties to the later letter, and its share."""
+def dominant(seq: Column) -> Column:
+    """struct(letter, share): the commonest residue, ties to the later letter."""
     counts = F.array(*(F.struct(count_of(seq, a).alias("n"), F.lit(a).alias("letter")) for a in RESIDUES))
-    top = F.array_max(counts)
-    return F.when(top["n"] > 0, top["letter"]), F.when(F.length(seq) > 0, top["n"] / F.length(seq))
+    return let(F.array_max(counts), lambda t: F.struct(F.when(t["n"] > 0, t["letter"]).alias("letter"), F.when(F.length(seq) > 0, t["n"] / F.length(seq)).alias("share")))
 
 
 def motif_count(seq: Column, motif: str) -> Column:
@@ -110,23 +115,35 @@ def track(seq: Column, letters: str) -> Column:
     return F.regexp_replace(F.regexp_replace(seq, f"[{letters}]", "1"), "[^1]", "0")
 
 
-def run_stats(seq: Column, letters: str) -> dict[str, Column]:
-    """n_runs, mean and longest run, mean gap, the gaps' variation (population), and a label."""
-    b = track(seq, letters)
-    runs = F.transform(F.regexp_extract_all(b, F.lit("(1+)"), F.lit(1)), F.length)
-    gaps = F.transform(F.regexp_extract_all(F.regexp_replace(b, "^0+|0+$", ""), F.lit("(0+)"), F.lit(1)), F.length)
+def run_stats(seq: Column, letters: str) -> Column:
+    """struct(n_runs, mean_run_length, max_run_length, mean_gap, cv_gap, label) of a track.
+
+    The gaps' variation is that of a population. A caller that reads several fields names the
+    struct in a step of its own."""
+    inner = lambda b, pattern: F.transform(F.regexp_extract_all(b, F.lit(pattern), F.lit(1)), F.length)
     total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
-    n, longest = F.size(runs), F.coalesce(F.array_max(runs), F.lit(0))
-    mean_gap = F.when(n >= 2, total(gaps) / F.size(gaps))
-    spread = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda a, v: a + (v - mean_gap) * (v - mean_gap)) / F.size(gaps))
-    share = longest / F.length(seq)
-    label = (
-        F.when(n == 0, "insufficient")
-        .when((n == 1) & (share > 0.4), "compact")
-        .when((n >= 2) & (n <= 3) & (share > 0.35), "compact")
-        .when(n >= 1, "dispersed")
-    )
-    return {"n_runs": n, "mean_run_length": F.when(n > 0, total(runs) / n), "max_run_length": longest, "mean_gap": mean_gap, "cv_gap": F.when(n >= 2, spread / mean_gap), "label": label}
+    both = let(track(seq, letters), lambda b: F.struct(inner(b, "(1+)").alias("runs"), inner(F.regexp_replace(b, "^0+|0+$", ""), "(0+)").alias("gaps")))
+    sums = let(both, lambda x: F.struct(F.size(x["runs"]).alias("n"), total(x["runs"]).alias("inside"), F.coalesce(F.array_max(x["runs"]), F.lit(0)).alias("longest"), x["gaps"].alias("gaps"), F.when(F.size(x["runs"]) >= 2, total(x["gaps"]) / F.size(x["gaps"])).alias("mean_gap")))
+
+    def fields(x: Column) -> Column:
+        share = x["longest"] / F.length(seq)
+        label = (
+            F.when(x["n"] == 0, "insufficient")
+            .when((x["n"] == 1) & (share > 0.4), "compact")
+            .when((x["n"] >= 2) & (x["n"] <= 3) & (share > 0.35), "compact")
+            .when(x["n"] >= 1, "dispersed")
+        )
+        spread = F.sqrt(F.aggregate(x["gaps"], F.lit(0.0), lambda a, v: a + (v - x["mean_gap"]) * (v - x["mean_gap"])) / F.size(x["gaps"]))
+        return F.struct(
+            x["n"].alias("n_runs"),
+            F.when(x["n"] > 0, x["inside"] / x["n"]).alias("mean_run_length"),
+            x["longest"].alias("max_run_length"),
+            x["mean_gap"].alias("mean_gap"),
+            F.when(x["n"] >= 2, spread / x["mean_gap"]).alias("cv_gap"),
+            label.alias("label"),
+        )
+
+    return let(sums, fields)
 
 
 def cooccurrence(seq: Column, first: str = POSITIVE, second: str = AROMATIC) -> Column:
@@ -149,12 +166,12 @@ def wrap(seq: Column, width: int = 60) -> Column:
     return F.regexp_replace(F.regexp_replace(seq, f"(.{{{width}}})", "$1\n"), "\n$", "")
 
 
-def features(seq: Column) -> dict[str, Column]:
-    """Every feature that the signature rules read, by name."""
-    out = {"length": F.length(seq), **composition(seq), **properties(seq)}
+def with_features(df: DataFrame, seq: str = "seq") -> DataFrame:
+    """``df`` with every feature that the signature rules read."""
+    c = F.col(seq)
+    out = df.withColumns({"length": F.length(c), **composition(c), **properties(c), "cooc_positive_aromatic": cooccurrence(c)})
     for name, motif in (("RG", RG_MOTIF), ("SR", RS_MOTIF), ("GS", GS_MOTIF)):
-        out[f"n_{name}_motifs"] = motif_count(seq, motif)
-        out[f"{name}_repeat_cluster"] = repeat_cluster(seq, motif)
-    for name, letters in TRACKS.items():
-        out |= {f"{name}_{k}": v for k, v in run_stats(seq, letters).items()}
-    return out | {"cooc_positive_aromatic": cooccurrence(seq)}
+        out = out.withColumns({f"n_{name}_motifs": motif_count(c, motif), f"{name}_repeat_cluster": repeat_cluster(c, motif)})
+    out = out.withColumns({f"__{name}": run_stats(c, letters) for name, letters in TRACKS.items()})
+    fields = ("n_runs", "mean_run_length", "max_run_length", "mean_gap", "cv_gap", "label")
+    return out.withColumns({f"{name}_{f}": F.col(f"__{name}.{f}") for name in TRACKS for f in fields}).drop(*(f"__{name}" for name in TRACKS))

@@ -63,7 +63,7 @@ def charge_classes(spark, d):
     f = p.select("source", F.length("seq").alias("n"), pos.alias("pos"), neg.alias("neg"))
     net = F.col("pos") - F.col("neg")
     rules = [("acidic", (F.col("neg") >= 0.12) & (net <= -0.02), None), ("basic", (F.col("pos") >= 0.12) & (net >= 0.02), None), ("polyampholyte", (F.col("pos") + F.col("neg") >= 0.20) & (F.abs(net) <= 0.05), None)]
-    return f.withColumn("charge_class", R.holding(rules, "unmapped")["primary"]).groupBy("source", "charge_class").agg(F.count(F.lit(1)).alias("n"), F.median("n").alias("median_length"))
+    return f.withColumn("hits", R.hits_of(rules)).withColumn("charge_class", R.labels_of(F.col("hits"), "unmapped")["primary"]).groupBy("source", "charge_class").agg(F.count(F.lit(1)).alias("n"), F.median("n").alias("median_length"))
 
 
 @query(f"WITH {SEQUENCES_SQL} SELECT doc_id, " + ", ".join(f"round({frac_sql(a)}, 6) AS frac_{a}" for a in S.RESIDUES) + " FROM p")
@@ -91,8 +91,8 @@ def entropy_observed(spark, d):
 
 @query(f"WITH {SEQUENCES_SQL}, c AS (SELECT doc_id, length(seq) AS n, list_max([" + ", ".join(f"{{'n': {n_sql(a)}, 'l': '{a}'}}" for a in S.RESIDUES) + "]) AS t FROM p) SELECT doc_id, CASE WHEN t.n > 0 THEN t.l END AS letter, CASE WHEN n > 0 THEN round(t.n / n, 6) END AS share, CASE WHEN n > 0 THEN round(log10(n), 6) END AS log_length FROM c")
 def dominant_residue(spark, d):
-    letter, share = S.dominant(F.col("seq"))
-    return sequences(spark, d).select("doc_id", letter.alias("letter"), six(share).alias("share"), six(F.when(F.length("seq") > 0, F.log10(F.length("seq")))).alias("log_length"))
+    p = sequences(spark, d).withColumn("t", S.dominant(F.col("seq")))
+    return p.select("doc_id", "t.letter", six(F.col("t.share")).alias("share"), six(F.when(F.length("seq") > 0, F.log10(F.length("seq")))).alias("log_length"))
 
 
 _MOTIFS = {"n_RG_motifs": S.RG_MOTIF, "n_SR_motifs": S.RS_MOTIF, "n_GS_motifs": S.GS_MOTIF}
@@ -118,8 +118,8 @@ def _run_sql(letters: str) -> str:
 
 @query(f"WITH {SEQUENCES_SQL}, t AS ({_run_sql(S.AROMATIC)}) SELECT doc_id, len(r)::INTEGER AS n_runs, round(list_avg(r), 6) AS mean_run_length, coalesce(list_max(r), 0)::INTEGER AS max_run_length, CASE WHEN len(r) >= 2 THEN round(list_avg(g), 6) END AS mean_gap, CASE WHEN len(r) >= 2 THEN round(list_stddev_pop(g) / list_avg(g), 6) END AS cv_gap, label FROM t")
 def run_gap_stats(spark, d):
-    got = S.run_stats(F.col("seq"), S.AROMATIC)
-    return sequences(spark, d).select("doc_id", *((six(v) if k in ("mean_run_length", "mean_gap", "cv_gap") else v).alias(k) for k, v in got.items()))
+    p = sequences(spark, d).withColumn("r", S.run_stats(F.col("seq"), S.AROMATIC))
+    return p.select("doc_id", "r.n_runs", *(six(F.col(f"r.{c}")).alias(c) for c in ("mean_run_length", "mean_gap", "cv_gap")), "r.max_run_length", "r.label")
 
 
 @query(f"WITH {SEQUENCES_SQL} SELECT doc_id, " + ", ".join(f"{label_sql(v)} AS {k}" for k, v in S.TRACKS.items()) + " FROM p WHERE length(seq) > 0")
@@ -163,8 +163,8 @@ def _signed(spark, d):
     """Features first, rules next: an expression is then planned once."""
     s = _segments(spark, d)
     cutoff = s.agg(F.percentile(S.cooccurrence(F.col("seq")), 0.75).alias("cutoff"))
-    f = s.where(F.length("seq") > 0).select("doc_id", "source", *(v.alias(k) for k, v in S.features(F.col("seq")).items()))
-    return f.join(F.broadcast(cutoff), how="cross").select("doc_id", "source", *(v.alias(k) for k, v in R.signatures(cutoff=F.col("cutoff")).items()))
+    f = S.with_features(s.where(F.length("seq") > 0))
+    return f.join(F.broadcast(cutoff), how="cross").withColumn("hits", R.signature_hits(cutoff=F.col("cutoff"))).select("doc_id", "source", *(v.alias(k) for k, v in R.labels_of(F.col("hits"), R.UNMAPPED).items()))
 
 
 @query(_SIG_SQL + " SELECT coalesce(l[1], 'unmapped_physicochemical_properties') AS signature, count(*) AS n FROM l GROUP BY 1")
