@@ -87,22 +87,20 @@ def neighbours(calls: DataFrame, domains: DataFrame, key: str, call_id: list[str
     One sorted pass over calls and domains per side; structs of (label, start, end, score)."""
     d = F.struct(F.col(label).alias("label"), F.col(d1).alias("start"), F.col(d2).alias("end"), F.col(score).alias("score"))
     kind = d.alias("d")
-    none = F.lit(None)
     columns = [key, *call_id, start, end]
 
-    def events(at: Column, call_at: Column) -> DataFrame:
+    def events(rows: DataFrame, at: Column, call_at: Column) -> DataFrame:
         ds = domains.select(F.col(key), at.alias("__at"), F.lit(1).alias("__kind"), F.col(score).alias("__s"), F.col(label).alias("__l"), kind)
-        cs = calls.select(*columns, call_at.alias("__at"), F.lit(0).alias("__kind"))
+        cs = rows.withColumns({"__at": call_at, "__kind": F.lit(0)})
         return cs.unionByName(ds, allowMissingColumns=True)
 
+    last = lambda way: F.last("d", ignorenulls=True).over(way.rowsBetween(W.unboundedPreceding, 0))
+    ties = (F.col("__kind").asc(), F.col("__s").desc_nulls_first(), F.col("__l").desc_nulls_first())
     # a call stands before domains at its own place: only strictly smaller ends are to its left
-    left_order = W.partitionBy(key).orderBy(F.col("__at").asc(), F.col("__kind").asc(), F.col("__s").desc_nulls_first(), F.col("__l").desc_nulls_first())
-    left = events(F.col(d2), F.col(start)).withColumn("left", F.last("d", ignorenulls=True).over(left_order.rowsBetween(W.unboundedPreceding, 0)))
-    right_order = W.partitionBy(key).orderBy(F.col("__at").desc(), F.col("__kind").asc(), F.col("__s").desc_nulls_first(), F.col("__l").desc_nulls_first())
-    right = events(F.col(d1), F.col(end)).withColumn("right", F.last("d", ignorenulls=True).over(right_order.rowsBetween(W.unboundedPreceding, 0)))
-    l = left.where("__kind = 0").select(*columns, "left")
-    r = right.where("__kind = 0").select(key, *call_id, "right")
-    return l.join(r, [key, *call_id])
+    up = W.partitionBy(key).orderBy(F.col("__at").asc(), *ties)
+    left = events(calls.select(*columns), F.col(d2), F.col(start)).withColumn("left", last(up)).where("__kind = 0").select(*columns, "left")
+    down = W.partitionBy(key).orderBy(F.col("__at").desc(), *ties)
+    return events(left, F.col(d1), F.col(end)).withColumn("right", last(down)).where("__kind = 0").select(*columns, "left", "right")
 
 
 def position_classes(calls: DataFrame, domains: DataFrame, key: str, call_id: list[str]) -> DataFrame:
@@ -110,9 +108,10 @@ def position_classes(calls: DataFrame, domains: DataFrame, key: str, call_id: li
     ov = overlap_join(calls, domains, [key])
     length = F.col("end") - F.col("start") + 1
     edge = X.at_edge(F.col("start"), F.col("end"), F.col("domain_start"), F.col("domain_end"))
-    over = ov.groupBy(key, *call_id).agg(F.max(F.col("overlap_length") / length).alias("max_fraction"), F.bool_or(edge).alias("edge"), F.min(F.struct("i_evalue", "domain_id")).alias("inside"))
+    one = [key, *call_id, "start", "end"]
+    over = ov.groupBy(*one).agg(F.max(F.col("overlap_length") / length).alias("max_fraction"), F.bool_or(edge).alias("edge"), F.min(F.struct("i_evalue", "domain_id")).alias("inside"))
     extent = domains.groupBy(key).agg(F.min("domain_start").alias("first"), F.max("domain_end").alias("last"))
-    j = neighbours(calls, domains, key, call_id).join(over, [key, *call_id], "left").join(extent, key, "left")
+    j = neighbours(calls, domains, key, call_id).join(over, one, "left").join(extent, key, "left")
     near = lambda side, dist: F.when(F.col(side).isNotNull(), F.struct(dist.alias("distance"), F.col(f"{side}.score").alias("score"), F.col(f"{side}.label").alias("label")))
     inside = F.when(F.col("inside").isNotNull(), F.struct(F.lit(0).alias("distance"), F.col("inside.i_evalue").alias("score"), F.col("inside.domain_id").alias("label")))
     nearest = F.array_min(F.filter(F.array(inside, near("left", F.col("start") - F.col("left.end") - 1), near("right", F.col("right.start") - F.col("end") - 1)), lambda x: x.isNotNull()))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from strandmill.functions.scalar import haldane_log2_or
 
@@ -42,7 +43,7 @@ def _fisher(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Fisher's exact test of (a, b) against (c, d); null with any null or negative cell."""
     return pd.Series([None if any(pd.isna(x) or x < 0 for x in t) else _fisher(*map(int, t)) for t in zip(a, b, c, d)], dtype="float64")
@@ -122,7 +123,7 @@ def _mann_whitney(n1: float, n2: float, u: float, tie_sum: float) -> float:
     return min(1.0, math.erfc(z / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mann_whitney_p(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(w) or a < 2 or b < 2 else _mann_whitney(a, b, w, t) for a, b, w, t in zip(n1, n2, u, ties)], dtype="float64")
 
@@ -181,7 +182,7 @@ def _chi2_sf(x: float, k: int) -> float:
     return math.exp(-y + a * math.log(y) - math.lgamma(a)) * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) or n < 1 else _chi2_sf(float(v), int(n)) for v, n in zip(x, k)], dtype="float64")
 

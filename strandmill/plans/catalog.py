@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandmill.plans import sequence_queries  # noqa: F401
+from strandmill.plans import interval_queries, relational_queries, sequence_queries, stat_queries  # noqa: F401
 from strandmill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
