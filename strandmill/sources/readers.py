@@ -80,7 +80,7 @@ def fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """header, accession and sequence (case kept) of each record; strict reading fails on a file whose first line is no header."""
     records = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
     if strict:
-        first = spark.read.option("wholetext", True).text(path).where(~F.ltrim("value").rlike("^\ufeff?>"))
+        first = spark.read.text(path, wholetext=True).where(~F.ltrim("value").rlike("^\ufeff?>"))
         if not first.isEmpty():
             raise ValueError(f"{path}: a file is empty or has a sequence before any header")
     record = F.regexp_replace("value", "^\ufeff?>", "")

@@ -18,5 +18,5 @@ def enriched(stream: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 
 def windowed(stream: DataFrame, ts: str = "ts", key: str = "event_type", value: str = "value", width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts and sums per key and tumbling window, final once ``late`` has passed."""
-    counted = stream.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    counted = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     return counted.select(F.col("window.start").alias("start"), key, "n", "total")
