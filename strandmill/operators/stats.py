@@ -155,6 +155,23 @@ def compare_continuous(df: DataFrame, blocks: list[str], value: str, in_group: C
     ).drop("__ties")
 
 
+def group_contrasts(df: DataFrame, group: str, is_reference: Column, metrics: list[str]) -> DataFrame:
+    """``compare_continuous`` of every group and metric against the reference rows: a row per (group, metric).
+
+    The reference's rows are repeated for each group: groups are a vocabulary."""
+    long = df.withColumn("__ref", is_reference).select(group, "__ref", *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot([group, "__ref"], metrics, "metric", "__v").where("__v IS NOT NULL")
+    groups = df.where(F.col(group).isNotNull()).select(F.col(group).alias("__g")).distinct()
+    ours = long.where(F.col(group).isNotNull()).select(F.col(group).alias("__g"), "metric", "__v", F.lit(True).alias("__own"))
+    theirs = long.where("__ref").select("metric", "__v").join(F.broadcast(groups) if groups.count() <= 10_000 else groups, how="cross").select("__g", "metric", "__v", F.lit(False).alias("__own"))
+    return compare_continuous(ours.union(theirs), ["__g", "metric"], "__v", F.col("__own"), ~F.col("__own")).withColumnRenamed("__g", group)
+
+
+def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: mutual information of two labels, in bits."""
+    t = crosstab(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b)
+    return t.agg(F.sum(F.col("n") / F.col("n_all") * F.col("log2_oe")).alias("bits"))
+
+
 def _chi2_sf(x: float, k: int) -> float:
     """Survival function of the chi-square distribution."""
     if x <= 0:

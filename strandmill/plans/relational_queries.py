@@ -197,4 +197,4 @@ def plurality_consensus(spark, d):
 def occurrence_gap(spark, d):
     c = P.occurrence(read(spark, d, "conversations"), ["conv_id", "role"], F.col("turn"))
     n = F.length("text")
-    return c.select("conv_id", "turn", "role", "instance", (n - F.lag(n).over(W.partitionBy("conv_id").orderBy("turn"))).alias("delta"))
+    return c.select("conv_id", "turn", "role", "instance", (n - F.lag(n).over(W.partitionBy("conv_id").orderBy("turn"))).cast("long").alias("delta"))

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import rules as R
 from strandmill.functions import scalar as X
+from strandmill.functions import sequence as S
 from strandmill.operators import cluster as C
 from strandmill.operators import stats as T
 from strandmill.plans.registry import query
-from strandmill.plans.tables import LABELLED_SQL, labelled, read
+from strandmill.plans.sequence_queries import frac_sql, n_sql
+from strandmill.plans.tables import LABELLED_SQL, SEQUENCES_SQL, labelled, read, sequences
 
 six = lambda c: F.round(c, 6)
 n_rows = lambda: F.count(F.lit(1))
@@ -214,3 +216,47 @@ def signature_occupancy(spark, d):
     lab = labelled(spark, d)
     g = lab.groupBy(F.col("c_mktsegment").alias("g")).agg(n_rows().alias("n"), F.count_if(F.col("n_lcr") > 0).alias("n_carriers"), six(F.avg(F.when(F.col("n_lcr") > 0, F.col("residues") / F.col("size")))).alias("occupancy"), F.avg("n_lcr").alias("m"))
     return g.select("g", "n", "n_carriers", "occupancy", X.right_closed(F.col("m"), [9], ["few", "many"]).alias("multiplicity"))
+
+
+def _contrast_sql(table: str, metrics: list[str]) -> str:
+    names, cols = ", ".join(f"'{m}'" for m in metrics), ", ".join(f"{m}::DOUBLE" for m in metrics)
+    return f"""u AS (SELECT g, is_ref, unnest([{names}]) AS metric, unnest([{cols}]) AS v FROM {table}), gs AS (SELECT DISTINCT g FROM u WHERE g IS NOT NULL),
+a AS (SELECT g, metric, v, true AS own FROM u WHERE v IS NOT NULL AND g IS NOT NULL UNION ALL SELECT gs.g, metric, v, false FROM u, gs WHERE is_ref AND v IS NOT NULL),
+k AS (SELECT *, rank() OVER (PARTITION BY g, metric ORDER BY v) + (count(*) OVER (PARTITION BY g, metric, v) - 1) / 2 AS rk FROM a),
+s AS (SELECT g, metric, count(*) FILTER (WHERE own) AS n_group, count(*) FILTER (WHERE NOT own) AS n_ref, median(v) FILTER (WHERE own) AS mg, median(v) FILTER (WHERE NOT own) AS mr, sum(rk) FILTER (WHERE own) AS r FROM k GROUP BY 1, 2)
+SELECT g, metric, n_group, n_ref, round(mg, 6) AS median_group, round(mr, 6) AS median_ref, CASE WHEN n_group >= 2 AND n_ref >= 2 THEN round(2 * (r - n_group * (n_group + 1) / 2) / (n_group::DOUBLE * n_ref) - 1, 6) END AS cliffs_delta, least(n_group, n_ref) < 5 AS descriptive_only FROM s"""
+
+
+def _contrasted(t):
+    return t.select("g", "metric", "n_group", "n_ref", *(six(F.col(c)).alias(c) for c in ("median_group", "median_ref", "cliffs_delta")), "descriptive_only")
+
+
+@query(f"WITH {LABELLED_SQL}, c AS (SELECT c_mktsegment AS g, is_ref, residues / size AS coverage, n_lcr, residues / n_lcr AS mean_length FROM lab WHERE n_lcr > 0), " + _contrast_sql("c", ["coverage", "n_lcr", "mean_length"]))
+def architecture_block(spark, d):
+    """Three metrics of carriers, every group against the reference."""
+    c = labelled(spark, d).where("n_lcr > 0").select(F.col("c_mktsegment").alias("g"), "is_ref", (F.col("residues") / F.col("size")).alias("coverage"), "n_lcr", (F.col("residues") / F.col("n_lcr")).alias("mean_length"))
+    return _contrasted(T.group_contrasts(c, "g", F.col("is_ref"), ["coverage", "n_lcr", "mean_length"]))
+
+
+_COMP = ["frac_A", "frac_S", "frac_G", "frac_aromatic", "fcr", "ncpr"]
+
+
+@query(f"WITH {SEQUENCES_SQL}, c AS (SELECT source AS g, lang = 'en' AS is_ref, {frac_sql('A')} AS frac_A, {frac_sql('S')} AS frac_S, {frac_sql('G')} AS frac_G, {frac_sql(S.AROMATIC)} AS frac_aromatic, {frac_sql('RKDE')} AS fcr, CASE WHEN length(seq) > 0 THEN ({n_sql('RK')} - {n_sql('DE')}) / length(seq) ELSE 0 END AS ncpr FROM p), " + _contrast_sql("c", _COMP))
+def composition_block(spark, d):
+    """Residue and property fractions, every source against one language."""
+    p = sequences(spark, d)
+    f = {**S.composition(F.col("seq")), **S.properties(F.col("seq"))}
+    c = p.select(F.col("source").alias("g"), (F.col("lang") == "en").alias("is_ref"), *(f[m].alias(m) for m in _COMP))
+    return _contrasted(T.group_contrasts(c, "g", F.col("is_ref"), _COMP))
+
+
+@query(f"WITH {LABELLED_SQL} SELECT c_nationkey % 6 - 1 AS cluster, count(*) AS size, round(median(c_acctbal), 6) AS median_c_acctbal, median(residues)::DOUBLE AS median_residues, round(avg((n_lcr > 9)::INT), 6) AS share_rich FROM lab WHERE c_nationkey % 6 - 1 <> -1 GROUP BY 1")
+def cluster_summary(spark, d):
+    lab = labelled(spark, d).withColumns({"cluster": F.col("c_nationkey") % 6 - 1, "rich": (F.col("n_lcr") > 9).cast("int")})
+    s = C.summaries(lab, "cluster", ["c_acctbal", "residues"], ["rich"])
+    return s.select("cluster", "size", six(F.col("median_c_acctbal")).alias("median_c_acctbal"), "median_residues", six(F.col("share_rich")).alias("share_rich"))
+
+
+@query("WITH n AS (SELECT o_orderpriority AS r, o_orderstatus AS c, count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT n, sum(n) OVER (PARTITION BY r) AS nr, sum(n) OVER (PARTITION BY c) AS nc, sum(n) OVER () AS al FROM n) SELECT round(sum(n / al * log2(n / (nr * nc / al))), 6) AS bits FROM t")
+def mutual_information(spark, d):
+    return T.mutual_information(read(spark, d, "orders"), "o_orderpriority", "o_orderstatus").select(six(F.col("bits")).alias("bits"))
