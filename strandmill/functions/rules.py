@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.functions.vocabulary import RNA_CLASS_TERMS, TARGET_WORDS
+from strandmill.operators.select import fallback_lookup
+
 Rules = list[tuple[str, Column, Column | None]]
 
 
@@ -67,7 +70,7 @@ def signature_hits(cutoff: Column | float | None = None) -> Column:
 
 
 def evidence_classes(df: DataFrame, terms: dict[str, list[str]], fields: list[str]) -> DataFrame:
-    """``df`` with primary_class, secondary_class, n_fields, n_hits and evidence.
+    """``df`` with primary_class, secondary_class, n_fields, n_hits, evidence_fields and evidence.
 
     A class is supported by each of its terms in each field. Classes rank by the number of
     different fields, then of hits, then by name."""
@@ -85,11 +88,43 @@ def evidence_classes(df: DataFrame, terms: dict[str, list[str]], fields: list[st
             "secondary_class": F.array_join(F.transform(F.filter("__r", lambda x, i: i > 0), lambda x: x["name"]), "; "),
             "n_fields": F.coalesce(-F.col("__t.f"), F.lit(0)),
             "n_hits": F.coalesce(-F.col("__t.h"), F.lit(0)),
+            "evidence_fields": F.coalesce(F.array_distinct(F.transform("__t.hits", lambda h: h["field"])), F.array().cast("array<string>")),
             "evidence": F.coalesce(F.array_join(F.transform("__t.hits", lambda h: F.concat_ws(": ", h["field"], h["term"])), "; "), F.lit("")),
         }
     ).drop("__r", "__t")
 
 
+def rna_classes(df: DataFrame, direct: list[tuple[str, DataFrame, str]], name: str, go: list[str], others: list[str]) -> DataFrame:
+    """``df`` with rna_primary_class, rna_secondary_class, confidence, evidence_source and evidence_matched.
+
+    ``direct`` are lookups in the literature, tried in order (as in ``select.fallback_lookup``,
+    the value column being ``rna_primary_class``); what none of them knows is classified by
+    terms in the name, the GO fields and other annotation."""
+    known = fallback_lookup(df, direct, "rna_primary_class", "__by")
+    c = evidence_classes(known, RNA_CLASS_TERMS, [name, *go, *others])
+    told = F.col("rna_primary_class").isNotNull()
+    fields, some = F.col("evidence_fields"), F.size("evidence_fields") > 0
+    only_name = F.forall("evidence_fields", lambda f: f == name)
+    certain = F.lower(F.coalesce(F.col(name), F.lit(""))).rlike("|".join(TARGET_WORDS))
+    confidence = (
+        F.when(told, "very high")
+        .when(~some, "unknown")
+        .when(F.size(fields) >= 2, "high")
+        .when(only_name & certain, "high")
+        .when(only_name, "low")
+        .otherwise("medium")
+    )
+    sources = F.concat_ws("; ", F.when(F.arrays_overlap(fields, F.array(*map(F.lit, go))), "GO based"), F.when(F.arrays_overlap(fields, F.array(*map(F.lit, [name, *others]))), "UniProt annotation/metadata"))
+    return c.select(
+        *df.columns,
+        F.coalesce("rna_primary_class", "primary_class").alias("rna_primary_class"),
+        F.when(told, "").otherwise(F.col("secondary_class")).alias("rna_secondary_class"),
+        confidence.alias("confidence"),
+        F.when(told, "literature based").otherwise(sources).alias("evidence_source"),
+        F.when(told, F.concat(F.lit("matched by "), F.col("__by"))).otherwise(F.regexp_replace("evidence", r"\\b|\\(?=[.()])", "")).alias("evidence_matched"),
+    )
+
+
 def validation_verdict(internal_fdr: Column, internal: Column, external_fdr: Column, external: Column, carriers: Column, alpha: float = 0.05, least: int = 5) -> Column:
     """How a contrast inside a set compares with the same one against a background."""
     yes = lambda p: F.coalesce(p < alpha, F.lit(False))

@@ -108,3 +108,16 @@ def test_evidence_ranks_by_fields_then_hits_then_name(spark):
     got = {r.i: r for r in R.evidence_classes(df, {"one": ["beta"], "two": ["alpha"]}, ["a", "b"]).collect()}
     assert (got[0].primary_class, got[0].secondary_class, got[0].n_fields) == ("two", "one", 2)
     assert got[1].primary_class == "one" and got[1].evidence == "a: beta" and got[2].primary_class == "unknown"
+
+
+def test_rna_classes_and_tiers(spark):
+    from strandmill.functions.vocabulary import DOMAIN_NAME_TIERS, METHOD_ALIASES
+
+    rows = [("P1", "G1", "anything", None, None), ("P2", "G2", None, "mRNA splicing, via spliceosome", "nucleus"), ("P3", "G3", "tRNA methyltransferase 1", None, None), ("P4", "G4", "PIWI like", None, None), ("P5", "G5", None, None, "SMN complex"), ("P6", "G6", "plain", None, None)]
+    df = spark.createDataFrame(rows, "acc string, gene string, name string, go_bp string, location string")
+    by_id = spark.createDataFrame([("P1", "old", 1), ("P1", "snRNA", 2)], "k string, rna_primary_class string, ord int")
+    got = {r.acc: (r.rna_primary_class, r.confidence, r.evidence_source) for r in R.rna_classes(df, [("acc", by_id, "k")], "name", ["go_bp"], ["location"]).collect()}
+    assert got == {"P1": ("snRNA", "very high", "literature based"), "P2": ("mRNA", "medium", "GO based"), "P3": ("tRNA", "high", "UniProt annotation/metadata"), "P4": ("ncRNA", "low", "UniProt annotation/metadata"), "P5": ("snRNA", "medium", "UniProt annotation/metadata"), "P6": ("unknown", "unknown", "")}
+    names = ["KH domain", "RNA-dependent polymerase RdRP", "RNase_T", "Ribosomal_L1", "Actin"]
+    tier = values(spark.createDataFrame(list(enumerate(names)), "i int, n string"), t=R.first_match(F.col("n"), DOMAIN_NAME_TIERS), m=X.alias(F.lit("SEG (strict)"), METHOD_ALIASES))
+    assert tier["t"] == ["direct_RNA_binding", None, "RNA_metabolism", "RNP_component_RNA_pathway", None] and tier["m"][0] == "SEG"
