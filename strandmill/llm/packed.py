@@ -162,6 +162,10 @@ def library_encoder(tokenizer):
     return encode
 
 
+#: Documents of a file, about: a file is one task's work and one task's memory.
+FILE_DOCS = 10_000
+
+
 def write_ids(docs: DataFrame, tokenizer_json: str, end_id: int, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes the texts, an end id after each, and writes files in ascending order of the ids.
 
@@ -169,7 +173,7 @@ def write_ids(docs: DataFrame, tokenizer_json: str, end_id: int, files: int | No
     spark = prepare(docs.sparkSession)
     folder = fresh_dir(spark, "ids")
     shipped = spark.sparkContext.broadcast(tokenizer_json)  # a vocabulary: of a fixed size
-    files = files or spark.sparkContext.defaultParallelism * 4
+    files = files or max(spark.sparkContext.defaultParallelism * 4, -(-docs.count() // FILE_DOCS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
