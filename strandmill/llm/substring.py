@@ -260,7 +260,8 @@ def _removed(docs: DataFrame, window: int, id_col: str, text_col: str, digest: b
                 total += len(parts[p])
 
     found = rows.select("k", "t", "raw").mapInArrow(cut_up, "mh long, sh long, k long, pos long")
-    again = found.groupBy("mh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh")
+    # written out, so that the join below is between two plain exchanges, which Spark may split where a minimiser is hot
+    again = keep(found.groupBy("mh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh"), "again")
     kept = keep(found.join(again, "mh"), "segments")
     distinct = keep(kept.groupBy("mh", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "pos")).alias("rep")), "distinct")
     per = distinct.groupBy("mh").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
