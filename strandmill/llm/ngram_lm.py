@@ -1,23 +1,22 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
-
-Counts of words are exact and cover every training document. The model interpolates: words by
-add-one counts over the whole vocabulary, then pairs and triples of words by absolute
-discounting, each with the mass it takes away given to the next lower order. The trie holds
-the pairs and triples, and only the words that they are made of:
-
-* a word is a context if it makes at least 1 / 2**16 of all tokens, so there are at most 2**16;
-* a pair or triple of such words is held if it makes at least 1 / 2**22 of all tokens (twice
-  at least), so there are at most 2**22 of either.
-
-These are shares of the corpus, alike at every size; whatever is not held is scored by the
-lower order with the exact mass left to it. A level is a sequence of word ids, made monotone
-by adding to each context's ids the last value before them, in Elias-Fano code, with monotone
-pointers, also in Elias-Fano code, to where each context's ids start. Probabilities and left
-masses are quantised to 16 bits. The file is memory-mapped; a lookup is a successor search
-among the ids of its context.
-
-Words that make less than 1 / 2**20 of all tokens are scored by a join on the word; the
-others, at most 2**20, by a table that every worker holds.
+"""Language-model scoring with an Elias-Fano n-gram trie in shards.
+
+Counts of words, pairs and triples are exact and cover every training document and word. The
+model interpolates: words by add-one counts over the whole vocabulary, then pairs and triples
+that occur ``LEAST`` times by absolute discounting, each with the mass it takes away given to
+the next lower order. ``LEAST`` is a count, the same for every size of the corpus.
+
+Tasks deal the n-grams to shards by their hashed context, so that a context and its total are
+in one shard; a task per shard counts them and writes the shard's file: sorted contexts and
+words, and under each context its word ids, made monotone by adding the last value before
+them, in Elias-Fano code, with monotone pointers, also in Elias-Fano code, to where each
+context's ids start. Shares and left masses are quantised to 16 bits. The texts' n-grams are
+dealt to the shards of triples, which add share and left mass, and then to those of pairs,
+which finish the probability; a shard's file is memory-mapped. The number of shards grows
+with the training tokens. The driver sees numbers of shards and parts only.
+
+Words that make less than 1 / 2**20 of all tokens are known by 61 bits of a hash and counted
+by a join on the word; the others, at most 2**20, by a table that every worker holds. Pairs
+with the former are contexts by 61 bits of a hash, all other pairs by themselves.
 
 A null or empty text is one end token. A null id counts as the text ""."""
 
@@ -36,10 +35,16 @@ from strandmill.llm._common import fresh_dir, keep, prepare, raw, read_mapped, w
 
 #: The end of a text, which no word equals.
 END = b"\n"
-CONTEXT_SHARE, HELD_SHARE, TABLE_SHARE = 1 << 16, 1 << 22, 1 << 20
+TABLE_SHARE = 1 << 20
+#: A pair or triple is held from this count on.
+LEAST = 2
+#: Training tokens to a shard, and tokens that a task deals at once.
+SHARD_TOKENS, CHUNK = 8_000_000, 1_000_000
 DISCOUNT = 0.75
 #: Quantised values run from 0 to minus this.
 RANGE = 16.0
+#: Codes of words outside the table, and keys of pairs with such words, have this bit.
+HASHED = 1 << 61
 
 
 class EliasFano:
@@ -107,12 +112,10 @@ class Level:
         at += self.ids.size
         n = self.ids.n
         self.prob = np.frombuffer(data, "<u2", n, at)
-        self.left = np.frombuffer(data, "<u2", n, at + 2 * n)
-        self.size = -(-(at + 4 * n) // 8) * 8
 
     @staticmethod
-    def encode(contexts: int, context: np.ndarray, word: np.ndarray, prob: np.ndarray, left: np.ndarray) -> bytes:
-        """N-grams in order of context, then word; log10 of probabilities and of masses left."""
+    def encode(contexts: int, context: np.ndarray, word: np.ndarray, prob: np.ndarray) -> bytes:
+        """N-grams in order of context, then word; log10 of probabilities."""
         pointers = np.searchsorted(context, np.arange(contexts + 1))
         # each context's ids go on from the last value before them
         last = np.zeros(contexts + 1, np.int64)
@@ -120,8 +123,7 @@ class Level:
         some = ends > pointers[:-1]
         last[1:][some] = word[ends[some] - 1]
         value = word + np.cumsum(last)[context]
-        data = EliasFano.encode(pointers) + EliasFano.encode(value) + quantise(prob).tobytes() + quantise(left).tobytes()
-        return data + b"\0" * (-len(data) % 8)
+        return EliasFano.encode(pointers) + EliasFano.encode(value) + quantise(prob).tobytes()
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The places of n-grams, -1 for those that are not held."""
@@ -135,57 +137,108 @@ class Level:
         return np.where(ok, at, -1)
 
 
-class Trie:
-    """Pairs and triples over context words, by their ids."""
+def _place(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The places of values in a sorted array, -1 for those that are not there."""
+    if not len(sorted_):
+        return np.full(len(x), -1)
+    at = np.minimum(sorted_.searchsorted(x), len(sorted_) - 1)
+    return np.where(sorted_[at] == x, at, -1)
+
+
+class Shard:
+    """The n-grams of one order whose contexts are dealt here."""
 
     def __init__(self, data) -> None:
         data = memoryview(data)
-        n = int(np.frombuffer(data, "<u8", 1)[0])
-        self.left1 = np.frombuffer(data, "<u2", n, 8)
-        at = -(-(8 + 2 * n) // 8) * 8
-        self.two = Level(data[at:])
-        self.three = Level(data[at + self.two.size :])
-
-    def score(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, one: np.ndarray) -> np.ndarray:
-        """log10 P(w | a b) given log10 P(w); an id of -1 is a word or a place that is no context."""
-        out = one.copy()
-        has = np.flatnonzero(b >= 0)
-        out[has] += self.left1[b[has]] * (-RANGE / 65535)
-        inside = has[w[has] >= 0]
-        at = self.two.find(b[inside], w[inside])
-        out[inside[at >= 0]] = self.two.prob[at[at >= 0]] * (-RANGE / 65535)
-        both = np.flatnonzero((a >= 0) & (b >= 0))
-        pair = self.two.find(a[both], b[both])
-        both, pair = both[pair >= 0], pair[pair >= 0]
-        out[both] += self.two.left[pair] * (-RANGE / 65535)
-        known = w[both] >= 0
-        both, pair = both[known], pair[known]
-        at = self.three.find(pair, w[both])
-        out[both[at >= 0]] = self.three.prob[at[at >= 0]] * (-RANGE / 65535)
-        return out
-
+        k, v = (int(x) for x in np.frombuffer(data, "<u8", 2))
+        self.contexts = np.frombuffer(data, "<i8", k, 16)
+        self.words = np.frombuffer(data, "<i8", v, 16 + 8 * k)
+        at = 16 + 8 * (k + v)
+        self.left = np.frombuffer(data, "<u2", k, at)
+        self.level = Level(data[-(-(at + 2 * k) // 8) * 8 :])
 
-def build(unigrams: np.ndarray, log_one: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray]) -> bytes:
-    """A trie's file from counts: of context words, of pairs (first << 16 | second) and of triples (place of the pair << 16 | third), in order."""
-    k = len(unigrams)
-    key2, n2 = pairs
-    a, b = key2 >> 16, key2 & 0xFFFF
-    share2 = np.maximum(n2 - DISCOUNT, 0) / unigrams[a]
-    left1 = 1 - np.bincount(a, share2, k)
-    p2 = share2 + left1[a] * 10 ** log_one[b]
-    key3, n3 = triples
-    c, w = key3 >> 16, key3 & 0xFFFF
-    share3 = np.maximum(n3 - DISCOUNT, 0) / n2[c]
-    left2 = 1 - np.bincount(c, share3, len(key2))
-    # the lower order of a triple: its last two words
-    low = key2.searchsorted((b[c] << 16) | w) if len(key2) else np.zeros(0, np.int64)
-    low = np.minimum(low, max(0, len(key2) - 1))
-    held = key2[low] == ((b[c] << 16) | w) if len(key2) else np.zeros(0, bool)
-    under = np.where(held, p2[low] if len(key2) else 0.0, left1[b[c]] * 10 ** log_one[w])
-    p3 = share3 + left2[c] * under
-    log = lambda x: np.log10(np.maximum(x, 1e-16))
-    head = np.array([k], "<u8").tobytes() + quantise(log(left1)).tobytes()
-    return head + b"\0" * (-len(head) % 8) + Level.encode(k, a, b, log(p2), log(left2)) + Level.encode(len(key2), c, w, log(p3), np.zeros(len(key3)))
+    @staticmethod
+    def encode(key: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
+        """All counted n-grams of the shard, each once, in order of context, then word."""
+        contexts, of = np.unique(key, return_inverse=True)
+        total = np.bincount(of, n, len(contexts))
+        held = n >= LEAST
+        share = (n[held] - DISCOUNT) / total[of[held]]
+        left = 1 - np.bincount(of[held], share, len(contexts))
+        some, of = np.unique(of[held], return_inverse=True)
+        words, ids = np.unique(word[held], return_inverse=True)
+        head = np.array([len(some), len(words)], "<u8").tobytes() + contexts[some].astype("<i8").tobytes() + words.astype("<i8").tobytes()
+        head += quantise(np.log10(np.maximum(left[some], 1e-16))).tobytes()
+        return head + b"\0" * (-len(head) % 8) + Level.encode(len(some), of, ids, np.log10(share))
+
+    def find(self, key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares and masses left by the contexts, quantised: -1 for n-grams that are not held, 0 for contexts without any."""
+        share, left = np.full(len(key), -1), np.zeros(len(key), np.int64)
+        c, w = _place(self.contexts, key), _place(self.words, word)
+        has = np.flatnonzero(c >= 0)
+        left[has] = self.left[c[has]]
+        both = has[w[has] >= 0]
+        at = self.level.find(c[both], w[both])
+        share[both[at >= 0]] = self.level.prob[at[at >= 0]]
+        return share, left
+
+
+def plain(quantised: np.ndarray) -> np.ndarray:
+    """What was quantised, 0 for -1."""
+    return np.where(quantised >= 0, 10 ** (quantised * (-RANGE / 65535)), 0.0)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well mixed 64 bits of each value."""
+    x = x.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A pair of word codes as a context: itself if both are in the table, else hashed."""
+    hashed = (_mixed(_mixed(a) + b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(3)).astype(np.int64) | HASHED
+    return np.where((a < TABLE_SHARE) & (b < TABLE_SHARE), a << 20 | b, hashed)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays end to end, compressed by place of the byte; whole numbers by their steps where they rise."""
+    out = []
+    for x in arrays:
+        steps = x.dtype.kind == "i" and bool((x[1:] >= x[:-1]).all())
+        x = np.diff(x, prepend=0) if steps else x
+        planes = np.ascontiguousarray(x.astype("<i8" if x.dtype.kind == "i" else "<f8").view(np.uint8).reshape(-1, 8).T)
+        out.append(bytes([steps, x.dtype.kind == "f"]) + len(x).to_bytes(6, "little") + planes.tobytes())
+    data = b"".join(out)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at + 2 : at + 8], "little")
+        x = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at + 8).reshape(8, n).T).view("<f8" if data[at + 1] else "<i8").reshape(n)
+        out.append(np.cumsum(x) if data[at] else x)
+        at += 8 + 8 * n
+    return out
+
+
+def _slices(sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The places of the chosen ones' items, when each one's items lie end to end."""
+    first = np.cumsum(sizes) - sizes
+    some = sizes[which]
+    return np.repeat(first[which] - (np.cumsum(some) - some), some) + np.arange(int(some.sum()))
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams in order, each once, their counts added."""
+    key, word, n = (np.concatenate(x) for x in zip(*parts))
+    o = np.lexsort((word, key))
+    key, word, n = key[o], word[o], n[o]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (word[1:] != word[:-1]))) if len(key) else np.zeros(0, int)
+    return key[first], word[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def held_out(id_col: str) -> Column:
@@ -224,7 +277,58 @@ def _histories(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return a, b
 
 
-_tries: dict[str, Trie] = {}
+def _dealt(shard: np.ndarray, rows) -> Iterator[pa.RecordBatch]:
+    """A row (shard, data) for each shard; ``rows`` packs the items at the given places."""
+    order = np.argsort(shard, kind="stable")
+    ends = np.flatnonzero(np.append(shard[order][1:] != shard[order][:-1], True)) + 1 if len(order) else []
+    begin = 0
+    for end in ends:
+        which = order[begin:end]
+        yield pa.RecordBatch.from_arrays([pa.array([int(shard[which[0]])], pa.int32()), pa.array([rows(which)], pa.binary())], names=["shard", "data"])
+        begin = end
+
+
+_DEALT = "shard int, data binary"
+_opened: dict[str, Shard] = {}
+
+
+def _open(path: str) -> Shard:
+    if path not in _opened:
+        _opened.clear()
+        _opened[path] = Shard(read_mapped(path))
+    return _opened[path]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
+    """Calls ``use(row, train, a, b, w, p)`` on stretches of tokens of coded rows: number of the row, whether it is
+    of training, codes of the token and the two before it (-1: none), and the token's probability if it is not in the table."""
+    parts, size = [], 0
+
+    def emit() -> Iterator[pa.RecordBatch]:
+        row, train, ids, p, lengths = (np.concatenate(x) for x in zip(*parts))
+        a, b = _histories(ids, np.concatenate([[0], np.cumsum(lengths)]))
+        row, train = np.repeat(row, lengths), np.repeat(train, lengths)
+        for at in range(0, len(ids), CHUNK):
+            yield from use(*(x[at : at + CHUNK] for x in (row, train, a, b, ids, p)))
+
+    for batch in batches:
+        row, held, codes, rare, odds = (batch.column(i) for i in range(5))
+        for r, h, c, x, o in zip(row.to_pylist(), held.to_pylist(), codes.to_pylist(), rare.to_pylist(), odds.to_pylist()):
+            ids = np.frombuffer(c, "<i4").astype(np.int64)
+            p = np.zeros(len(ids))
+            off = np.flatnonzero(ids < 0)
+            if len(off):
+                ids[off] = np.frombuffer(x, "<i8")
+                if o is not None:
+                    known = {e["code"]: e["p"] for e in o}
+                    p[off] = [known[i] for i in ids[off].tolist()]
+            parts.append((np.array([r]), np.array([not h]), ids, p, np.array([len(ids)])))
+            size += len(ids)
+            if size >= CHUNK:
+                yield from emit()
+                parts, size = [], 0
+    if parts:
+        yield from emit()
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,86 +354,167 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     names, counts = [bytes(x) for x in table["key"]], table["n"].to_numpy(np.int64)
     order = sorted(range(len(names)), key=lambda i: (-counts[i], names[i]))
     names, counts = [names[i] for i in order], counts[order]
-    contexts = int(np.count_nonzero(counts * CONTEXT_SHARE >= total)) if total else 0
-    log_one = np.log10((counts + 1) / denominator)
-    known = sc.broadcast({w: i for i, w in enumerate(names[:contexts])})
-
-    def count_pairs(texts: list[bytes]):
-        _, ids, starts = _ids(texts, known.value)
-        _, b = _histories(ids, starts)
-        key = (b << 16 | ids)[(b >= 0) & (ids >= 0)]
-        return (pa.array(x) for x in np.unique(key, return_counts=True))
-
-    least = max(2, -(-total // HELD_SHARE))
-
-    def held(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        # at most HELD_SHARE n-grams make that share of all tokens
-        got = counted.where(F.col("n") >= least).toPandas()
-        o = np.argsort(got["key"].to_numpy(np.int64))
-        return got["key"].to_numpy(np.int64)[o], got["n"].to_numpy(np.int64)[o]
-
-    pairs = held(_counted(training, count_pairs, "key long, n long"))
-    pair_keys = sc.broadcast(pairs[0])
-
-    def count_triples(texts: list[bytes]):
-        _, ids, starts = _ids(texts, known.value)
-        a, b = _histories(ids, starts)
-        ok = np.flatnonzero((a >= 0) & (b >= 0) & (ids >= 0))
-        pair, keys = a[ok] << 16 | b[ok], pair_keys.value
-        at = np.minimum(keys.searchsorted(pair), max(0, len(keys) - 1))
-        there = keys[at] == pair if len(keys) else np.zeros(len(ok), bool)
-        return (pa.array(x) for x in np.unique(at[there] << 16 | ids[ok][there], return_counts=True))
-
-    triples = held(_counted(training, count_triples, "key long, n long"))
-    path = f"{fresh_dir(spark, 'lm')}/ngrams.trie"
-    write_once(path, build(counts[:contexts], log_one[:contexts], pairs, triples))
-    every = sc.broadcast(({w: i for i, w in enumerate(names)}, log_one))
+    odds = (counts + 1) / denominator
+    every = sc.broadcast(({w: i for i, w in enumerate(names)}, odds))
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:binary,n:int>>"
+    schema = f"`{id_col}` {id_type}, held_out boolean, row long, n_tokens long, n_known long, base_score double, codes binary, others binary, rare array<struct<word:binary,code:long,n:int>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tries:
-            _tries.clear()
-            _tries[path] = Trie(read_mapped(path))
-        trie = _tries[path]
-        index, logs = every.value
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        index, one = every.value
+        logs = np.log10(one)
         for batch in batches:
             texts = [x.as_py() for x in batch.column(3)]
             if not texts:
                 continue
             words, ids, starts = _ids(texts, index)
-            one = np.where(ids >= 0, logs[ids] if len(logs) else 0.0, 0.0)
-            context = np.where(ids < contexts, ids, -1)
-            a, b = _histories(context, starts)
-            full = trie.score(a, b, context, one)
-            sums = [np.add.reduceat(x, starts[:-1]) for x in (ids >= 0, one, full)]
-            rare = []
+            base = np.where(ids >= 0, logs[ids] if len(logs) else 0.0, 0.0)
+            codes, others, rare = [], [], []
             for k, w in enumerate(words):
-                off = np.flatnonzero(ids[starts[k] : starts[k + 1]] < 0)
-                rare.append([{"word": x, "n": n} for x, n in Counter(w[i] for i in off.tolist()).items()])
+                own = ids[starts[k] : starts[k + 1]]
+                off = [w[i] for i in np.flatnonzero(own < 0).tolist()]
+                number = {x: xxh3_64_intdigest(x) >> 3 | HASHED for x in set(off)}
+                codes.append(own.astype("<i4").tobytes())
+                others.append(np.array([number[x] for x in off], "<i8").tobytes())
+                rare.append([{"word": x, "code": number[x], "n": n} for x, n in Counter(off).items()])
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i) for i in range(3)),
                     pa.array(np.diff(starts)),
-                    *(pa.array(s.astype(t)) for s, t in zip(sums, (np.int64, float, float))),
-                    pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))),
+                    pa.array(np.add.reduceat((ids >= 0).astype(np.int64), starts[:-1])),
+                    pa.array(np.add.reduceat(base, starts[:-1])),
+                    pa.array(codes, pa.binary()),
+                    pa.array(others, pa.binary()),
+                    pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("code", pa.int64()), ("n", pa.int32())]))),
                 ],
-                names=[id_col, "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rare"],
+                names=[id_col, "held_out", "row", "n_tokens", "n_known", "base_score", "codes", "others", "rare"],
             )
 
     numbered = rows.select(id_col, "held_out", F.monotonically_increasing_id().alias("row"), raw("text").alias("t"))
-    scored = keep(numbered.mapInArrow(run, schema), "scored")
-    exploded = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("key"), F.col("r.n").alias("k"))
-    term = F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(denominator)))
+    coded = keep(numbered.mapInArrow(code, schema), "coded")
+    exploded = coded.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("key"), F.col("r.code").alias("code"), F.col("r.n").alias("k"))
+    odd = (F.coalesce("n", F.lit(0)) + 1) / F.lit(float(denominator))
     seen = F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).cast("long")
-    rest = exploded.join(words, "key", "left").groupBy("row").agg(F.sum(term).alias("rest"), F.sum(seen).alias("more"))
+    rest = exploded.join(words, "key", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10(odd)).alias("rest"), F.sum(seen).alias("more"), F.collect_list(F.struct("code", odd.alias("p"))).alias("odds"))
+    rest = keep(rest, "rest")
+
+    shards = max(sc.defaultParallelism, -(-total // SHARD_TOKENS))
+    folder = fresh_dir(spark, "lm")
+
+    def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def use(row, train, a, b, w, p):
+            for level, ok in enumerate((b >= 0, (a >= 0) & (b >= 0))):
+                x, y = (b[ok] if level == 0 else pair_key(a[ok], b[ok])), w[ok]
+                key, word, n = _summed([(x, y, np.ones(len(x), np.int64))])
+                shard = (_mixed(key) % np.uint64(shards)).astype(np.int64) + level * shards
+                yield from _dealt(shard, lambda i: _pack(key[i], word[i], n[i]))
+
+        yield from _chunks(batches, use)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, shard = [], 0, None
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                parts.append(tuple(_unpack(data.as_py())))
+                size += len(parts[-1][0])
+                if size > 4 * CHUNK and size > 2 * len(parts[0][0]):
+                    parts = [_summed(parts)]
+                    size = len(parts[0][0])
+        if shard is not None:
+            write_once(f"{folder}/{shard}.trie", Shard.encode(*_summed(parts)))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], names=["shard"])
+
+    tokens = lambda d, o: d.select("row", "held_out", "codes", "others", o.alias("odds"))
+    dealt = tokens(coded.where(~F.col("held_out")), F.lit(None).cast("array<struct<code:bigint,p:double>>")).mapInArrow(count_ngrams, _DEALT)
+    built = {r[0] for r in dealt.repartitionById(2 * shards, F.col("shard")).mapInArrow(build, "shard int").collect()}
+
+    # rows by number of their part of the table: a few bytes each
+    parts = coded.groupBy(F.shiftright("row", 33).alias("part")).agg((F.max("row").bitwiseAND((1 << 33) - 1) + 1).alias("n")).orderBy("part").collect()
+    ends = np.cumsum([r["n"] for r in parts])
+    part_of, begins = np.array([r["part"] for r in parts], np.int64), np.append(0, ends)[:-1].astype(np.int64)
+
+    def deal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def use(row, train, a, b, w, p):
+            ok = np.flatnonzero(b >= 0)
+            if not len(ok):
+                return
+            codes, ids = np.unique(np.concatenate([a[ok], b[ok], w[ok]]), return_inverse=True)
+            x, y, z = ids.reshape(3, len(ok))
+            _, first, of, n = np.unique((x * len(codes) + y) * len(codes) + z, return_index=True, return_inverse=True, return_counts=True)
+            number = begins[part_of.searchsorted(row[ok] >> 33)] + (row[ok] & ((1 << 33) - 1))
+            number = number[np.argsort(of, kind="stable")]
+            at = ok[first]
+            key = np.where(a[at] >= 0, pair_key(a[at], b[at]), -1)
+            shard = (_mixed(np.where(key >= 0, key, b[at])) % np.uint64(shards)).astype(np.int64)
+            yield from _dealt(shard, lambda i: _pack(a[at[i]], b[at[i]], w[at[i]], p[at[i]], n[i], number[_slices(n, i)]))
+
+        yield from _chunks(batches, use)
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+
+        def emit():
+            b, w, p, share, left, n, number = (np.concatenate(x) for x in zip(*parts))
+            o = np.lexsort((w, b))
+            shard = (_mixed(b[o]) % np.uint64(shards)).astype(np.int64)
+            yield from _dealt(shard, lambda i: _pack(*(x[o[i]] for x in (b, w, p, share, left, n)), number[_slices(n, o[i])]))
+
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                a, b, w, p, n, number = _unpack(data.as_py())
+                share, left = np.full(len(a), -1), np.zeros(len(a), np.int64)
+                if shard + shards in built and (has := np.flatnonzero(a >= 0)).size:
+                    share[has], left[has] = _open(f"{folder}/{shard + shards}.trie").find(pair_key(a[has], b[has]), w[has])
+                parts.append((b, w, p, share, left, n, number))
+                size += len(number)
+                if size >= CHUNK:
+                    yield from emit()
+                    parts, size = [], 0
+        if parts:
+            yield from emit()
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = every.value[1]
+        parts, size = [], 0
+
+        def emit():
+            number, value = (np.concatenate(x) for x in zip(*parts))
+            rows, of = np.unique(number, return_inverse=True)
+            sums = np.bincount(of, value, len(rows))
+            part = np.searchsorted(ends, rows, "right")
+            for at in range(0, len(rows), 20_000):
+                some = slice(at, at + 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array((part_of[part[some]] << 33) + rows[some] - begins[part[some]]), pa.array(sums[some])], names=["row", "gain"])
+
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                b, w, p, share, left, n, number = _unpack(data.as_py())
+                p = p.copy()
+                there = w < HASHED
+                p[there] = one[w[there]]
+                two, rest_ = (np.full(len(b), -1), np.zeros(len(b), np.int64)) if shard not in built else _open(f"{folder}/{shard}.trie").find(b, w)
+                # by how much the n-gram's logarithm differs from the word's
+                gain = np.log10((plain(share) + plain(left) * (plain(two) + plain(rest_) * p)) / p)
+                parts.append((number, np.repeat(gain, n)))
+                size += len(number)
+                if size >= 4 * CHUNK:
+                    yield from emit()
+                    parts, size = [], 0
+        if parts:
+            yield from emit()
+
+    asked = tokens(coded.join(rest.select("row", "odds"), "row", "left"), F.col("odds")).mapInArrow(deal_texts, _DEALT)
+    thirds = asked.repartitionById(shards, F.col("shard")).mapInArrow(triples, _DEALT)
+    gains = thirds.repartitionById(shards, F.col("shard")).mapInArrow(pairs, "row long, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
     zero = lambda c, z: F.coalesce(F.col(c), F.lit(z))
-    return scored.drop("rare").join(rest, "row", "left").select(
+    base = F.col("base_score") + zero("rest", 0.0)
+    return coded.drop("codes", "others", "rare").join(rest.drop("odds"), "row", "left").join(gains, "row", "left").select(
         id_col,
         "held_out",
         "n_tokens",
         (F.col("n_known") + zero("more", 0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + zero("rest", 0.0)).alias("base_score"),
-        (F.col("score") + zero("rest", 0.0)).alias("score"),
+        base.alias("base_score"),
+        (base + zero("gain", 0.0)).alias("score"),
     )

@@ -404,3 +404,16 @@ def test_language_model(spark):
         assert g[:5] == x[:5] and g[5] == pytest.approx(x[5], rel=1e-9) and g[6] == pytest.approx(x[6], rel=1e-3, abs=0.02)
     assert ngram_lm.score(df.limit(0)).count() == 0
     assert all(r.score == 0 for r in ngram_lm.score(df.where("doc_id = 1")).collect() if r.held_out and not r.train_tokens)
+
+
+def test_language_model_holds_by_count(spark):
+    # 8.4 million tokens, of which one is 1 / 2**23, and a pair and a triple of words that occur twice
+    filler = " ".join(["f"] * 20_000)
+    rows = [(i, filler) for i in range(500)] + [(1001 + i, "rare pair here") for i in range(2)]
+    rows = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert sum(i >= 1000 for i, _ in rows) == 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    r = ngram_lm.score(df).where("doc_id = 1001").first()
+    assert r.train_tokens > 1 << 23
+    # each of the three tokens after the first has a share of at least 1.25 / 2
+    assert r.score > math.log10(3 / (r.train_tokens + 6)) + 3 * math.log10(1.25 / 2) - 0.02
