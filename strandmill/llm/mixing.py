@@ -1,11 +1,12 @@
-"""Mixing sources to target weights: Sainte-Laguë quotas of equal blocks, then seeded blocks.
+"""Mixing sources to target weights: Sainte-Laguë quotas of words and equal blocks, then seeded blocks.
 
 A source's target is its share of all words, stopped at ``max_epochs`` times the source and
 the excess shared anew. Each source's documents lie end to end, in a seeded order, in shards
-of bounded size; a shard is cut into blocks of equal numbers of words. Blocks go to sources,
-and within a source to its shards, by the highest quotients target / (2 * taken + 1). A shard
-then takes its quota: whole rounds of all its blocks and, of a further round, the blocks that
-a seeded permutation puts first.
+of bounded size; a shard is cut into blocks of equal numbers of words, at least a thousand to
+a shard of full size and one word each in small sources. Words go to sources by the highest
+quotients target / (2 * taken + 1); a source's words are a number of its blocks, by the mean
+of their real words, and these go to its shards likewise. A shard then takes its quota: whole
+rounds of all its blocks and, of a further round, the blocks that a seeded permutation puts first.
 
 The driver plans over totals only: a row per source and shard, at most ``max_shards`` shards
 besides one per source. A null text has size 0; null is a source of its own, after the others.
@@ -26,6 +27,8 @@ from strandmill.llm._common import GAP, WORD, cut, prepare
 
 #: Sources at most for which the plan is broadcast; with more it is joined.
 BROADCAST_ROWS = 10_000
+#: Blocks at least to a shard of full size.
+BLOCKS = 1000
 
 
 def n_words(text: Column) -> Column:
@@ -62,7 +65,7 @@ def sainte_lague(claims: list[Fraction], seats: int, most: list[int] | None = No
     # with a divisor a little too large every seat given is one that the highest quotients give as well
     divisor = float(total / seats)
     while sum(held := [min(m, int(c / Fraction(divisor) + Fraction(1, 2))) for c, m in zip(claims, most)]) > seats:
-        divisor *= 1.001 if len(claims) < seats else 2.0
+        divisor *= 1 + max(1e-9, min(0.001, len(claims) / seats)) if len(claims) < seats else 2.0
     heap = [(-c / (2 * h + 1), i) for i, (c, h, m) in enumerate(zip(claims, held, most)) if c and h < m]
     heapify(heap)
     for _ in range(seats - sum(held)):
@@ -119,9 +122,9 @@ def _mixed(docs, weights=(1, 2, 3), max_epochs=3, seed="mix", source_col="source
     total = sum(n for _, n in totals)
     target = water_fill([n for _, n in totals], [weights[i % len(weights)] for i in range(len(totals))], max_epochs)
     per_shard = max(words_per_shard, total // max_shards)
-    # a block is a small part of a source of mean size, and of one word in small tables
-    block = max(1, total // (max(1, len(totals)) * blocks_per_source))
-    plan = spark.createDataFrame([(s, i, n, float(t), max(1, n // per_shard)) for i, ((s, n), t) in enumerate(zip(totals, target))], "__source string, __s int, source_size long, target double, __shards int")
+    # a block is a small part both of its source and of a shard
+    block = [max(1, min(n // blocks_per_source, per_shard // BLOCKS)) for _, n in totals]
+    plan = spark.createDataFrame([(s, i, n, float(t), max(1, n // per_shard), block[i]) for i, ((s, n), t) in enumerate(zip(totals, target))], "__source string, __s int, source_size long, target double, __shards int, __block long")
     plan = F.broadcast(plan) if len(totals) <= BROADCAST_ROWS else plan
     key = F.xxhash64(F.lit(seed), F.col(order_col))
     place = lambda d: d.join(plan.withColumnRenamed("__source", "__named"), F.col("__source").eqNullSafe(F.col("__named"))).drop("__source", "__named").withColumn("__key", key).withColumn("__shard", F.pmod("__key", "__shards").cast("int"))
@@ -129,22 +132,24 @@ def _mixed(docs, weights=(1, 2, 3), max_epochs=3, seed="mix", source_col="source
     shards: dict[int, list[tuple[int, int]]] = {}
     for r in place(counted).groupBy("__s", "__shard").agg(F.sum("size").alias("n")).orderBy("__s", "__shard").collect():
         shards.setdefault(r["__s"], []).append((r["__shard"], int(r["n"])))
-    # blocks to sources, then to their shards
-    n_blocks = {(s, k): -(-n // block) for s, own_ in shards.items() for k, n in own_}
-    seats = sainte_lague(target, round(Fraction(sum(target), block)), [max_epochs * sum(n_blocks[s, k] for k, _ in shards.get(s, [])) for s in range(len(totals))])
+    # words to sources, then their blocks to shards
+    n_blocks = {(s, k): -(-n // block[s]) for s, own_ in shards.items() for k, n in own_}
+    words = sainte_lague(target, total, [max_epochs * n for _, n in totals])
     quotas = []
     for s, own_ in shards.items():
-        for (k, n), q in zip(own_, sainte_lague([Fraction(n) for _, n in own_], seats[s], [max_epochs * n_blocks[s, k] for k, _ in own_])):
-            m = n_blocks[s, k]
+        own_blocks = [n_blocks[s, k] for k, _ in own_]
+        # short last blocks count by the words that they have
+        seats = round(Fraction(words[s] * sum(own_blocks), max(1, totals[s][1])))
+        for (k, _), m, q in zip(own_, own_blocks, sainte_lague([Fraction(m) for m in own_blocks], seats, [max_epochs * m for m in own_blocks])):
             step, start = _permutation(m, f"{seed}:{s}:{k}")
             quotas.append((s, k, m, q // m if m else 0, q % m if m else 0, step, start))
     quota = spark.createDataFrame(quotas, "__s int, __shard int, __m long, __rounds long, __more long, __step long, __start long")
     in_order = W.partitionBy("__s", "__shard").orderBy("__key", F.col(order_col), "size").rowsBetween(W.unboundedPreceding, 0)
     laid = placed.withColumn("__end", F.sum("size").over(in_order)).join(quota, ["__s", "__shard"])
-    first = F.col("__end") - F.col("size")
+    first, block_ = F.col("__end") - F.col("size"), F.col("__block")
     times = lambda b: F.col("__rounds") + F.when(F.pmod(b * F.col("__step") + F.col("__start"), F.col("__m")) < F.col("__more"), F.lit(1)).otherwise(F.lit(0))
-    of = F.sequence(F.floor(first / block), F.floor((F.col("__end") - 1) / block))
-    pieces = F.transform(of, lambda b: F.struct((F.greatest(b * block, first) - first).alias("from"), (F.least((b + 1) * block, F.col("__end")) - first).alias("to"), times(b).alias("times")))
+    of = F.sequence(F.floor(first / block_), F.floor((F.col("__end") - 1) / block_))
+    pieces = F.transform(of, lambda b: F.struct((F.greatest(b * block_, first) - first).alias("from"), (F.least((b + 1) * block_, F.col("__end")) - first).alias("to"), times(b).alias("times")))
     none = F.array().cast("array<struct<from:bigint,to:bigint,times:bigint>>")
     out = laid.withColumn("mix_blocks", F.when(F.col("size") > 0, pieces).otherwise(none))
     out = out.withColumn("taken", F.aggregate("mix_blocks", F.lit(0).cast("long"), lambda a, p: a + (p["to"] - p["from"]) * p["times"]))

@@ -206,6 +206,15 @@ def test_mixing(spark):
     assert sum(len(words_of(r.text)) for r in whole.collect()) == sum(taken.values())
 
 
+def test_mixing_meets_targets_in_small_shards(spark):
+    # many shards of few words, and a source of seven words, beside large ones
+    rows = [(i, " ".join(["w"] * (8 + i % 5)), f"s{i % 3}") for i in range(6000)] + [(9000, "a b c d e f g", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, words_per_shard=15, max_shards=100_000).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    for r in out:
+        assert abs(r.taken - r.target) <= max(1, 0.005 * r.target)
+
+
 # 5
 
 
