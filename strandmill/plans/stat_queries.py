@@ -190,7 +190,9 @@ def medoids(spark, d):
 def clusterings(spark, d):
     """k-medoids, average linkage, density clusters and coordinates within each label's vectors."""
     e = read(spark, d, "embeddings")
-    return C.cluster_groups(e.select("label", "vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(8))), "label", "vec_id", [f"x{i}" for i in range(8)])
+    n = e.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+    names = [f"x{i}" for i in range(n)]
+    return C.cluster_groups(e.select("label", "vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(names))), "label", "vec_id", names)
 
 
 @query(_REST.format(src="(SELECT c_mktsegment AS g, 'cluster_' || unnest([2, 3]) || '_' || unnest([c_nationkey % 2, c_nationkey % 3]) AS v FROM customer)").replace("(SELECT DISTINCT v FROM n)", "(SELECT DISTINCT v FROM n)") + " SELECT g, v, a AS n FROM q")

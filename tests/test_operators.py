@@ -122,3 +122,13 @@ def test_clusterings(spark):
     m = {t.kind: t.medoid for t in C.medoids(C.gower(ids, "i", continuous=["v"]), ids, "i", "kind").collect()}
     assert m == {"p": 0, "q": 2}
     assert math.isclose(T.adjusted_rand(ids, "kind", "kind").first().ari, 1.0)
+
+
+def test_clusterings_read_whole_vectors(spark, tmp_path):
+    """Vectors that are equal in the first components and form three groups in the last one."""
+    from strandmill.plans import stat_queries
+
+    rows = [(i, [0.0] * 11 + [100.0 * (i % 3) + i / 100], 0) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = stat_queries.clusterings(spark, str(tmp_path)).toPandas()
+    assert (out.groupby(out.vec_id % 3)["pam"].nunique() == 1).all() and out["pam"].nunique() == 3
