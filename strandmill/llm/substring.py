@@ -221,9 +221,10 @@ def _removed(docs: DataFrame, window: int, id_col: str, text_col: str, digest: b
     if not 1 <= window <= 60 + GRAM:
         raise ValueError("a segment's windows must fit in 64 bits")
     spark = prepare(docs.sparkSession)
-    # a row is known by its id and a few bits of its text: rows that agree in both are equal
-    text_bits = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 16)).cast("long")
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k"), text_bits.alias("t"), raw(F.col(text_col)).alias("raw"))
+    # a row is known by 80 bits of hashes, 64 of its id and text and 16 more of its text: rows that agree in both are equal
+    data, id_ = raw(F.col(text_col)), F.col(id_col)
+    text_bits = F.pmod(F.xxhash64(data), F.lit(1 << 16)).cast("long")
+    rows = docs.select(id_, F.xxhash64(id_.isNull(), id_, data).alias("k"), text_bits.alias("t"), data.alias("raw"))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,7 +323,7 @@ def _removed(docs: DataFrame, window: int, id_col: str, text_col: str, digest: b
     # a segment with an equal one is repeated as a whole
     equal = distinct.where("n > 1").select("mh", "sh", F.lit(-1).cast("long").alias("mask"))
     decided = equal.union(masks.join(equal.select("mh", "sh"), ["mh", "sh"], "left_anti"))
-    ranges = kept.join(decided, ["mh", "sh"]).groupBy("k", F.col("pos").bitwiseAND(0xFFFF).alias("t")).agg(F.collect_list(F.struct(F.shiftright("pos", 22).alias("start"), F.shiftright("pos", 16).bitwiseAND(63).cast("int").alias("count"), "mask")).alias("ranges"))
+    ranges = kept.join(decided, ["mh", "sh"]).groupBy("k", F.col("pos").bitwiseAND(0xFFFF).alias("t")).agg(F.collect_set(F.struct(F.shiftright("pos", 22).alias("start"), F.shiftright("pos", 16).bitwiseAND(63).cast("int").alias("count"), "mask")).alias("ranges"))
     id_type = docs.schema[id_col].dataType.simpleString()
     last = "kept_sha256" if digest else "kept"
 

@@ -149,6 +149,16 @@ def test_index_counts_windows():
             assert got.tolist() == [seen[tuple(t[i : i + window].tolist())] > 1 for i in range(len(t) - window + 1)]
 
 
+def test_substring_tells_rows_of_one_id_apart(spark):
+    # texts under a null id and under one repeated id, so many that 16 bits of hashes agree for some
+    passage = " ".join(f"p{j}" for j in range(40))
+    own = lambda i, n: " ".join(f"u{i}x{j}" for j in range(n))
+    rows = [(None if i % 4 < 2 else -1, own(i, 40) + " " + passage if i % 2 else own(i, 80)) for i in range(3000)]
+    out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in out)
+    assert got == sorted((str(d), 80, 40 * (i % 2), own(i, 40 if i % 2 else 80)) for i, (d, _) in enumerate(rows))
+
+
 # 3
 
 
