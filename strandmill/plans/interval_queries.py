@@ -117,10 +117,9 @@ def location_thirds(spark, d):
     return li.groupBy(F.col("l_returnflag").alias("method"), X.third(a, a + F.col("l_quantity").cast("int"), F.lit(2600)).alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {SEQUENCES_SQL}, {CALLS_SQL}, m AS (SELECT raw_id, protein, (s % 3000 + 1)::INT AS a, (s % 3000 + 1 + e - s)::INT AS b FROM calls WHERE raw_id % 7 = 0) SELECT raw_id, CASE WHEN seq IS NULL THEN 'missing_accession' WHEN b > length(seq) THEN 'end_beyond_sequence' ELSE 'ok' END AS status, CASE WHEN b <= length(seq) THEN substr(seq, a, b - a + 1) END AS stretch FROM m LEFT JOIN p ON doc_id = protein")
+@query(f"WITH {SEQUENCES_SQL}, {CALLS_SQL}, m AS (SELECT raw_id, protein, (s % 3000 + 1)::INT AS a, (s % 3000 + 1 + e - s)::INT AS b FROM calls) SELECT raw_id, CASE WHEN seq IS NULL THEN 'missing_accession' WHEN b > length(seq) THEN 'end_beyond_sequence' ELSE 'ok' END AS status, CASE WHEN b <= length(seq) THEN substr(seq, a, b - a + 1) END AS stretch FROM m LEFT JOIN p ON doc_id = protein")
 def sequence_slice(spark, d):
-    c = calls(spark, d).where(F.col("raw_id") % 7 == 0)
-    m = c.select("raw_id", F.col("protein").alias("doc_id"), (F.col("start") % 3000 + 1).alias("start"), (F.col("start") % 3000 + 1 + F.col("end") - F.col("start")).alias("end"))
+    m = calls(spark, d).select("raw_id", F.col("protein").alias("doc_id"), (F.col("start") % 3000 + 1).alias("start"), (F.col("start") % 3000 + 1 + F.col("end") - F.col("start")).alias("end"))
     return I.reslice(m, sequences(spark, d), "doc_id", "seq").select("raw_id", "status", F.col("seq").alias("stretch"))
 
 

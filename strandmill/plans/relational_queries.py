@@ -47,12 +47,12 @@ def tier_filter(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tier.alias("tier")).where("tier IS NOT NULL")
 
 
-@query("WITH a AS (SELECT l_partkey AS k, max_by(l_shipmode, ord) AS v FROM (SELECT l_partkey, l_returnflag AS l_shipmode, l_orderkey * 10 + l_linenumber AS ord FROM lineitem WHERE l_quantity > 48) GROUP BY 1), b AS (SELECT p_size AS k, max_by(p_brand, p_partkey) AS v FROM part GROUP BY 1) SELECT p_partkey, coalesce(a.v, b.v) AS label, CASE WHEN a.v IS NOT NULL THEN 'p_partkey' WHEN b.v IS NOT NULL THEN 'p_size' ELSE 'none' END AS matched_by FROM part LEFT JOIN a ON p_partkey = a.k LEFT JOIN b ON p_size + 3 = b.k")
+@query("WITH a AS (SELECT l_partkey AS k, max_by(l_shipmode, ord) AS v FROM (SELECT l_partkey, l_returnflag AS l_shipmode, l_orderkey * 10 + l_linenumber AS ord FROM lineitem) GROUP BY 1), b AS (SELECT p_size AS k, max_by(p_brand, p_partkey) AS v FROM part GROUP BY 1) SELECT p_partkey, coalesce(a.v, b.v) AS label, CASE WHEN a.v IS NOT NULL THEN 'thrice' WHEN b.v IS NOT NULL THEN 'p_size' ELSE 'none' END AS matched_by FROM part LEFT JOIN a ON p_partkey * 3 = a.k LEFT JOIN b ON p_size + 3 = b.k")
 def priority_lookup(spark, d):
-    li = read(spark, d, "lineitem").where("l_quantity > 48").select("l_partkey", F.col("l_returnflag").alias("label"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
-    part = read(spark, d, "part")
+    li = read(spark, d, "lineitem").select("l_partkey", F.col("l_returnflag").alias("label"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    part = read(spark, d, "part").withColumn("thrice", F.col("p_partkey") * 3)
     sizes = part.select((F.col("p_size") - 3).alias("p_size"), F.col("p_brand").alias("label"), F.col("p_partkey").alias("ord"))
-    return P.fallback_lookup(part, [("p_partkey", li, "l_partkey"), ("p_size", sizes, "p_size")], "label").select("p_partkey", "label", "matched_by")
+    return P.fallback_lookup(part, [("thrice", li, "l_partkey"), ("p_size", sizes, "p_size")], "label").select("p_partkey", "label", "matched_by")
 
 
 @query("SELECT c_custkey, coalesce(n1.n_name, n2.n_name) AS name, CASE WHEN n1.n_name IS NOT NULL THEN 'direct' WHEN n2.n_name IS NOT NULL THEN 'patch' ELSE 'none' END AS how FROM customer LEFT JOIN nation n1 ON n1.n_nationkey = c_custkey LEFT JOIN nation n2 ON n2.n_nationkey = c_custkey % 40")
@@ -81,33 +81,33 @@ def instance_join(spark, d):
     return j.select("k", "instance", "o_orderkey", "l_orderkey")
 
 
-@query("WITH a AS (SELECT o_custkey AS k, count(*) AS n_orders FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), b AS (SELECT c_custkey AS k, c_acctbal AS balance FROM customer WHERE c_custkey % 2 = 0) SELECT k, n_orders, balance FROM a FULL JOIN b USING (k)")
+@query("WITH a AS (SELECT o_custkey AS k, count(*) AS n_orders FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), b AS (SELECT c_custkey AS k, c_acctbal AS balance FROM customer WHERE c_acctbal > 0) SELECT k, n_orders, balance FROM a FULL JOIN b USING (k)")
 def outer_feature_join(spark, d):
-    a = read(spark, d, "orders").where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg(n_rows().alias("n_orders"))
-    b = read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"))
+    a = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("k")).agg(n_rows().alias("n_orders"))
+    b = read(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"))
     return a.join(b, "k", "full")
 
 
-@query("SELECT 'semi' AS side, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0) UNION ALL SELECT 'anti', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
+@query("SELECT 'semi' AS side, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '2-HIGH') UNION ALL SELECT 'anti', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '2-HIGH')")
 def semi_anti(spark, d):
-    c, o = read(spark, d, "customer"), read(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    c, o = read(spark, d, "customer"), read(spark, d, "orders").where("o_orderpriority = '2-HIGH'").select(F.col("o_custkey").alias("c_custkey"))
     count = lambda how, name: c.join(o, "c_custkey", how).agg(n_rows().alias("n")).select(F.lit(name).alias("side"), "n")
     return count("left_semi", "semi").union(count("left_anti", "anti"))
 
 
-@query("SELECT 'union' AS op, k FROM (SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 2 = 0 UNION SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 0) UNION ALL SELECT 'intersect', k FROM (SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 2 = 0 INTERSECT SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 0) UNION ALL SELECT 'except', k FROM (SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 2 = 0 EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 0)")
+@query("SELECT 'union' AS op, k FROM (SELECT s_nationkey AS k FROM supplier WHERE s_acctbal < 0 UNION SELECT c_nationkey FROM customer WHERE c_acctbal > 9800) UNION ALL SELECT 'intersect', k FROM (SELECT s_nationkey AS k FROM supplier WHERE s_acctbal < 0 INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 9800) UNION ALL SELECT 'except', k FROM (SELECT s_nationkey AS k FROM supplier WHERE s_acctbal < 0 EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9800)")
 def set_ops(spark, d):
-    a = read(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("k"))
-    b = read(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_nationkey").alias("k"))
+    a = read(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("k"))
+    b = read(spark, d, "customer").where("c_acctbal > 9800").select(F.col("c_nationkey").alias("k"))
     named = lambda df, n: df.select(F.lit(n).alias("op"), "k")
     return named(a.union(b).distinct(), "union").union(named(a.intersect(b), "intersect")).union(named(a.subtract(b), "except"))
 
 
-@query("SELECT k, label, priority::INTEGER AS priority FROM (SELECT c_custkey AS k, 'direct' AS label, 0 AS priority FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'patch', 1 FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'appended', 2 FROM customer) QUALIFY row_number() OVER (PARTITION BY k ORDER BY priority) = 1")
+@query("SELECT k, label, priority::INTEGER AS priority FROM (SELECT c_custkey AS k, 'direct' AS label, 0 AS priority FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT c_custkey, 'patch', 1 FROM customer WHERE c_nationkey < 10 UNION ALL SELECT c_custkey, 'appended', 2 FROM customer) QUALIFY row_number() OVER (PARTITION BY k ORDER BY priority) = 1")
 def label_assembly(spark, d):
-    c = read(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    c = read(spark, d, "customer").withColumnRenamed("c_custkey", "k")
     part = lambda cond, name: c.where(cond).select("k", F.lit(name).alias("label"))
-    return P.priority_union([part("k % 3 = 0", "direct"), part("k % 2 = 0", "patch"), part("true", "appended")], ["k"], ["label"])
+    return P.priority_union([part("c_acctbal > 5000", "direct"), part("c_nationkey < 10", "patch"), part("true", "appended")], ["k"], ["label"])
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 10 THEN p_brand WHEN p_size < 20 THEN p_type ELSE p_name END AS filled FROM part")

@@ -25,6 +25,7 @@ def frac_sql(letters: str) -> str:
 
 
 def track_sql(letters: str) -> str:
+    """1 at the residues among ``letters``, 0 elsewhere."""
     return f"regexp_replace(regexp_replace(seq, '[{letters}]', '1', 'g'), '[^1]', '0', 'g')"
 
 
@@ -124,7 +125,7 @@ def run_gap_stats(spark, d):
 
 @query(f"WITH {SEQUENCES_SQL} SELECT doc_id, " + ", ".join(f"{label_sql(v)} AS {k}" for k, v in S.TRACKS.items()) + " FROM p WHERE length(seq) > 0")
 def track_labels(spark, d):
-    return sequences(spark, d).where(F.length("seq") > 0).select("doc_id", *(S.run_stats(F.col("seq"), v)["label"].alias(k) for k, v in S.TRACKS.items()))
+    return sequences(spark, d).where(F.length("seq") > 0).select("doc_id", *(S.run_label(F.col("seq"), v).alias(k) for k, v in S.TRACKS.items()))
 
 
 @query(f"WITH {SEQUENCES_SQL} SELECT doc_id, round({cooc_sql()}, 6) AS cooc FROM p")
@@ -132,14 +133,9 @@ def cooccurrence(spark, d):
     return sequences(spark, d).select("doc_id", six(S.cooccurrence(F.col("seq"))).alias("cooc"))
 
 
-@query(f"WITH {SEQUENCES_SQL}, s AS (SELECT doc_id, source, substr(seq, 1, 40) AS seq FROM p) SELECT round(quantile_cont({cooc_sql()}, 0.75), 6) AS cutoff FROM s")
+@query(f"WITH {SEQUENCES_SQL} SELECT round(quantile_cont({cooc_sql()}, 0.75), 6) AS cutoff FROM p")
 def cooc_cutoff(spark, d):
-    return _segments(spark, d).agg(six(F.percentile(S.cooccurrence(F.col("seq")), 0.75)).alias("cutoff"))
-
-
-def _segments(spark, d):
-    """Short stretches, as low-complexity regions are."""
-    return sequences(spark, d).withColumn("seq", F.substring("seq", 1, 40))
+    return sequences(spark, d).agg(six(F.percentile(S.cooccurrence(F.col("seq")), 0.75)).alias("cutoff"))
 
 
 _FEATURES_SQL = ", ".join([*(f"{frac_sql(a)} AS frac_{a}" for a in "RSQGP"), *(f"{v} AS {k}" for k, v in _PROPS.items()), f"{cluster_sql(S.RG_MOTIF)} AS rg", f"{cluster_sql(S.RS_MOTIF)} AS sr", f"{cluster_sql(S.GS_MOTIF)} AS gs", *(f"{label_sql(S.TRACKS[t])} AS {t}_label" for t in ("charged", "polar", "hydrophobic", "aromatic")), f"{cooc_sql()} AS cooc"])
@@ -156,12 +152,12 @@ CASE WHEN frac_aromatic >= 0.08 AND aromatic_label = 'compact' THEN 'aromatic_ag
 CASE WHEN cooc >= cutoff THEN 'cation_pi_rich_neighborhood' END, CASE WHEN frac_disorder >= 0.6 THEN 'disorder_rich_spacer_region' END,
 CASE WHEN frac_S >= 0.3 THEN 'serine_rich_region' END, CASE WHEN frac_Q >= 0.2 THEN 'glutamine_rich_region' END,
 CASE WHEN frac_G >= 0.25 THEN 'glycine_rich_region' END, CASE WHEN frac_P >= 0.15 THEN 'proline_rich_disordered_region' END]"""
-_SIG_SQL = f"WITH {SEQUENCES_SQL}, s AS (SELECT doc_id, substr(seq, 1, 40) AS seq FROM p), f AS (SELECT doc_id, {_FEATURES_SQL} FROM s WHERE length(seq) > 0), c AS (SELECT quantile_cont({cooc_sql()}, 0.75) AS cutoff FROM s), l AS (SELECT doc_id, list_filter({_SIGNATURES_SQL}, lambda x: x IS NOT NULL) AS l FROM f, c)"
+_SIG_SQL = f"WITH {SEQUENCES_SQL}, f AS (SELECT doc_id, {_FEATURES_SQL} FROM p WHERE length(seq) > 0), c AS (SELECT quantile_cont({cooc_sql()}, 0.75) AS cutoff FROM p), l AS (SELECT doc_id, list_filter({_SIGNATURES_SQL}, lambda x: x IS NOT NULL) AS l FROM f, c)"
 
 
 def _signed(spark, d):
     """Features first, rules next: an expression is then planned once."""
-    s = _segments(spark, d)
+    s = sequences(spark, d)
     cutoff = s.agg(F.percentile(S.cooccurrence(F.col("seq")), 0.75).alias("cutoff"))
     f = S.with_features(s.where(F.length("seq") > 0))
     return f.join(F.broadcast(cutoff), how="cross").withColumn("hits", R.signature_hits(cutoff=F.col("cutoff"))).select("doc_id", "source", *(v.alias(k) for k, v in R.labels_of(F.col("hits"), R.UNMAPPED).items()))

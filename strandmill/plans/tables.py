@@ -35,11 +35,11 @@ CALLS_SQL = "calls AS (SELECT l_suppkey AS protein, l_returnflag AS method, (dat
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """protein, domain_id, domain_start, domain_end, i_evalue; some proteins have none."""
     start = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")) + 1
-    o = read(spark, sf_dir, "orders").where(F.col("o_orderkey") % 5 == 0)
+    o = read(spark, sf_dir, "orders")
     return o.select((F.col("o_custkey") % 90).alias("protein"), F.concat(F.lit("PF"), F.col("o_orderkey") % 50).alias("domain_id"), start.alias("domain_start"), (start + (F.col("o_orderkey") % 30).cast("int")).alias("domain_end"), ((F.col("o_orderkey") % 997) / 1e6).alias("i_evalue"))
 
 
-DOMAINS_SQL = "domains AS (SELECT o_custkey % 90 AS protein, 'PF' || (o_orderkey % 50) AS domain_id, (date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 1)::INTEGER AS ds, (date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 1 + o_orderkey % 30)::INTEGER AS de, (o_orderkey % 997) / 1e6 AS ev FROM orders WHERE o_orderkey % 5 = 0)"
+DOMAINS_SQL = "domains AS (SELECT o_custkey % 90 AS protein, 'PF' || (o_orderkey % 50) AS domain_id, (date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 1)::INTEGER AS ds, (date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 1 + o_orderkey % 30)::INTEGER AS de, (o_orderkey % 997) / 1e6 AS ev FROM orders)"
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
