@@ -47,7 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame, what: str) -> DataFrame:
     """Like ``cut``, by a compressed table in the shared folder: for many or wide rows."""
     folder = fresh_dir(df.sparkSession, what)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

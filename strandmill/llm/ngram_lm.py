@@ -5,18 +5,22 @@ model interpolates: words by add-one counts over the whole vocabulary, then pair
 that occur ``LEAST`` times by absolute discounting, each with the mass it takes away given to
 the next lower order. ``LEAST`` is a count, the same for every size of the corpus.
 
-Tasks deal the n-grams to shards by their hashed context, so that a context and its total are
-in one shard; a task per shard counts them and writes the shard's file: sorted contexts and
-words, and under each context its word ids, made monotone by adding the last value before
-them, in Elias-Fano code, with monotone pointers, also in Elias-Fano code, to where each
-context's ids start. Shares and left masses are quantised to 16 bits. The texts' n-grams are
-dealt to the shards of triples, which add share and left mass, and then to those of pairs,
-which finish the probability; a shard's file is memory-mapped. The number of shards grows
-with the training tokens. The driver sees numbers of shards and parts only.
+Tasks deal all n-grams, each with the rows that ask for it, once: to shards by the hash of
+the word before the last. So a shard has every count of its contexts. Its task counts the
+n-grams of training documents, writes the shard's trie, maps it into memory and answers the
+rows by it. A trie has the words of the shard; under each word its next words, and the words
+before it; under each of these pairs the next words. A level's ids are made monotone by adding
+the last value before each context, and kept in Elias-Fano code, with monotone pointers, also
+in Elias-Fano code, to where each context's ids start. Both parts of a code are read where
+they lie in the mapped file. Shares and left masses are quantised to 16 bits.
+
+A word that more than half a shard's tokens follow is dealt out by the word before it. Its
+pairs are counted first, in shards by the word after it, whose files its shards map as well.
+The number of shards grows with the tokens. The driver sees numbers of shards and parts, and
+a number for each word that is dealt out.
 
 Words that make less than 1 / 2**20 of all tokens are known by 61 bits of a hash and counted
-by a join on the word; the others, at most 2**20, by a table that every worker holds. Pairs
-with the former are contexts by 61 bits of a hash, all other pairs by themselves.
+by a join on the word; the others, at most 2**20, by a table that every worker holds.
 
 A null or empty text is one end token. A null id counts as the text ""."""
 
@@ -38,24 +42,30 @@ END = b"\n"
 TABLE_SHARE = 1 << 20
 #: A pair or triple is held from this count on.
 LEAST = 2
-#: Training tokens to a shard, and tokens that a task deals at once.
-SHARD_TOKENS, CHUNK = 8_000_000, 1_000_000
+#: Tokens to a shard, and tokens that a task deals at once.
+SHARD_TOKENS, CHUNK = 4_000_000, 1_000_000
 DISCOUNT = 0.75
 #: Quantised values run from 0 to minus this.
 RANGE = 16.0
-#: Codes of words outside the table, and keys of pairs with such words, have this bit.
+#: Codes of words outside the table have this bit.
 HASHED = 1 << 61
+#: The code of all words that no n-gram with them can be held of: their count is below ``LEAST``.
+SELDOM = 1 << 62
+
+
+#: The place of the r-th bit that is set in a byte.
+_PLACE = np.array([[([b for b in range(8) if x >> b & 1] + [0] * 8)[r] for r in range(8)] for x in range(256)], np.int64)
 
 
 class EliasFano:
-    """A monotone sequence: high parts in unary, low parts packed."""
+    """A monotone sequence: high parts in unary with counts of ones by word of 64 bits, low parts packed."""
 
     def __init__(self, data) -> None:
-        self.n, self.low_bits, high_words, low_words = (int(x) for x in np.frombuffer(data, "<u8", 4))
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, 8 * high_words, 32), bitorder="little")
-        self.high = (np.flatnonzero(bits)[: self.n] - np.arange(self.n)).astype(np.int32)
-        self.low = np.frombuffer(data, "<u8", low_words, 32 + 8 * high_words)
-        self.size = 32 + 8 * (high_words + low_words)
+        self.n, self.low_bits, high_words, low_words, self.top = (int(x) for x in np.frombuffer(data, "<u8", 5))
+        self.high = np.frombuffer(data, "<u8", high_words, 40)
+        self.ones = np.frombuffer(data, "<i8", high_words + 1, 40 + 8 * high_words)
+        self.low = np.frombuffer(data, "<u8", low_words, 48 + 16 * high_words)
+        self.size = 48 + 8 * (2 * high_words + low_words)
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
@@ -63,7 +73,8 @@ class EliasFano:
         n, top = len(v), int(v[-1]) if len(v) else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
         high = (v >> np.uint64(low_bits)).astype(np.int64)
-        bits = np.zeros(-(-(n + (int(high[-1]) if n else 0) + 1) // 64) * 64, np.uint8)
+        last = int(high[-1]) if n else 0
+        bits = np.zeros(-(-(n + last + 1) // 64) * 64, np.uint8)
         bits[high + np.arange(n)] = 1
         low = np.zeros(n * low_bits // 64 + 2, np.uint64)
         if low_bits:
@@ -73,68 +84,101 @@ class EliasFano:
             np.bitwise_or.at(low, w, part << s)
             over = s > np.uint64(64 - low_bits)
             np.bitwise_or.at(low, w[over] + 1, part[over] >> (np.uint64(64) - s[over]))
-        packed = np.packbits(bits, bitorder="little").tobytes()
-        return np.array([n, low_bits, len(packed) // 8, len(low)], "<u8").tobytes() + packed + low.astype("<u8").tobytes()
+        packed = np.packbits(bits, bitorder="little").view("<u8")
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])
+        return np.array([n, low_bits, len(packed), len(low), last], "<u8").tobytes() + packed.tobytes() + ones.astype("<i8").tobytes() + low.astype("<u8").tobytes()
+
+    def _bit(self, word: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """The place of the r-th bit that is set in each word."""
+        octets = word.astype("<u8").view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(np.bitwise_count(octets), 1, dtype=np.int64)
+        k = (upto <= r[:, None]).sum(1)
+        at = np.arange(len(k))
+        return 8 * k + _PLACE[octets[at, k], r - np.where(k > 0, upto[at, k - 1], 0)]
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.low_bits:
+            return np.zeros(len(i), np.int64)
+        at = i.astype(np.uint64) * np.uint64(self.low_bits)
+        w, s = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+        over = np.where(s > 0, self.low[w + 1] << ((np.uint64(64) - s) & np.uint64(63)), np.uint64(0))
+        return (((self.low[w] >> s) | over) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        out = self.high[i].astype(np.int64) << self.low_bits
-        if self.low_bits:
-            at = i.astype(np.uint64) * np.uint64(self.low_bits)
-            w, s = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            over = np.where(s > 0, self.low[w + 1] << ((np.uint64(64) - s) & np.uint64(63)), np.uint64(0))
-            out |= (((self.low[w] >> s) | over) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+        w = self.ones.searchsorted(i, "right") - 1
+        high = 64 * w + self._bit(self.high[w], i - self.ones[w]) - i
+        return high << self.low_bits | self._low(i)
+
+    def _from(self, h: np.ndarray) -> np.ndarray:
+        """How many values have a high part below ``h``."""
+        out = np.where(h > self.top, self.n, 0)
+        some = np.flatnonzero((h > 0) & (h <= self.top))
+        if len(some):
+            r = h[some] - 1  # the zero before the first value of h
+            zeros = 64 * np.arange(len(self.ones)) - self.ones
+            w = zeros.searchsorted(r, "right") - 1
+            out[some] = 64 * w + self._bit(~self.high[w], r - zeros[w]) - r
         return out
 
-    def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The first place from ``lo`` up to ``hi`` whose value is at least ``x``."""
-        h = x >> self.low_bits
-        a = np.clip(np.searchsorted(self.high, h, "left"), lo, hi)
-        b = np.clip(np.searchsorted(self.high, h, "right"), a, hi)
+    def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first place from ``lo`` up to ``hi`` whose value is at least ``x``, and whether it equals ``x``."""
+        h, low = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
+        a = np.clip(self._from(h), lo, hi)
+        end = b = np.clip(self._from(h + 1), a, hi)
+        b = b.copy()
+        # in between only low parts differ
         while (open_ := np.flatnonzero(a < b)).size:
             mid = (a[open_] + b[open_]) // 2
-            less = self[mid] < x[open_]
+            less = self._low(mid) < low[open_]
             a[open_[less]] = mid[less] + 1
             b[open_[~less]] = mid[~less]
-        return a
+        equal = np.zeros(len(x), bool)
+        inside = np.flatnonzero(a < end)
+        equal[inside] = self._low(a[inside]) == low[inside]
+        return a, equal
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(-log10, 0, RANGE) * (65535 / RANGE)).astype("<u2")
 
 
+def plain(quantised: np.ndarray) -> np.ndarray:
+    """What was quantised, 0 for -1."""
+    return np.where(quantised >= 0, 10 ** (quantised * (-RANGE / 65535)), 0.0)
+
+
 class Level:
-    """The n-grams of one order under their contexts."""
+    """Words under contexts, with a quantised value each."""
 
     def __init__(self, data) -> None:
         self.pointers = EliasFano(data)
-        at = self.pointers.size
-        self.ids = EliasFano(data[at:])
-        at += self.ids.size
-        n = self.ids.n
-        self.prob = np.frombuffer(data, "<u2", n, at)
+        self.ids = EliasFano(data[self.pointers.size :])
+        at = self.pointers.size + self.ids.size
+        self.value = np.frombuffer(data, "<u2", self.ids.n, at)
+        self.size = -(-(at + 2 * self.ids.n) // 8) * 8
 
     @staticmethod
-    def encode(contexts: int, context: np.ndarray, word: np.ndarray, prob: np.ndarray) -> bytes:
-        """N-grams in order of context, then word; log10 of probabilities."""
+    def encode(contexts: int, context: np.ndarray, word: np.ndarray, log10: np.ndarray) -> bytes:
+        """Items in order of context, then word."""
         pointers = np.searchsorted(context, np.arange(contexts + 1))
         # each context's ids go on from the last value before them
         last = np.zeros(contexts + 1, np.int64)
         ends = pointers[1:]
         some = ends > pointers[:-1]
         last[1:][some] = word[ends[some] - 1]
-        value = word + np.cumsum(last)[context]
-        return EliasFano.encode(pointers) + EliasFano.encode(value) + quantise(prob).tobytes()
+        data = EliasFano.encode(pointers) + EliasFano.encode(word + np.cumsum(last)[context]) + quantise(log10).tobytes()
+        return data + b"\0" * (-len(data) % 8)
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The places of n-grams, -1 for those that are not held."""
-        lo, hi = self.pointers[context], self.pointers[context + 1]
-        if not self.ids.n:
+        """The places of words under contexts, -1 for those that are not there. Equal contexts stand together."""
+        if not self.ids.n or not len(context):
             return np.full(len(word), -1)
+        new = np.append(True, context[1:] != context[:-1])
+        own, of = context[new], np.cumsum(new) - 1
+        lo, hi = self.pointers[own], self.pointers[own + 1]
         before = np.where(lo > 0, self.ids[np.maximum(lo - 1, 0)], 0)
-        x = before + word
-        at = self.ids.successor(x, lo, hi)
-        ok = (at < hi) & (self.ids[np.minimum(at, self.ids.n - 1)] == x)
-        return np.where(ok, at, -1)
+        at, equal = self.ids.successor(before[of] + word, lo[of], hi[of])
+        return np.where(equal, at, -1)
 
 
 def _place(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -145,61 +189,93 @@ def _place(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == x, at, -1)
 
 
-class Shard:
-    """The n-grams of one order whose contexts are dealt here."""
-
-    def __init__(self, data) -> None:
-        data = memoryview(data)
-        k, v = (int(x) for x in np.frombuffer(data, "<u8", 2))
-        self.contexts = np.frombuffer(data, "<i8", k, 16)
-        self.words = np.frombuffer(data, "<i8", v, 16 + 8 * k)
-        at = 16 + 8 * (k + v)
-        self.left = np.frombuffer(data, "<u2", k, at)
-        self.level = Level(data[-(-(at + 2 * k) // 8) * 8 :])
+def _mixed(*xs: np.ndarray) -> np.ndarray:
+    """Well mixed 64 bits of each row of values."""
+    out = np.zeros(len(xs[0]), np.uint64)
+    for x in xs:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.uint64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
+        out ^= out >> np.uint64(31)
+    return out
 
-    @staticmethod
-    def encode(key: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
-        """All counted n-grams of the shard, each once, in order of context, then word."""
-        contexts, of = np.unique(key, return_inverse=True)
-        total = np.bincount(of, n, len(contexts))
-        held = n >= LEAST
-        share = (n[held] - DISCOUNT) / total[of[held]]
-        left = 1 - np.bincount(of[held], share, len(contexts))
-        some, of = np.unique(of[held], return_inverse=True)
-        words, ids = np.unique(word[held], return_inverse=True)
-        head = np.array([len(some), len(words)], "<u8").tobytes() + contexts[some].astype("<i8").tobytes() + words.astype("<i8").tobytes()
-        head += quantise(np.log10(np.maximum(left[some], 1e-16))).tobytes()
-        return head + b"\0" * (-len(head) % 8) + Level.encode(len(some), of, ids, np.log10(share))
-
-    def find(self, key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shares and masses left by the contexts, quantised: -1 for n-grams that are not held, 0 for contexts without any."""
-        share, left = np.full(len(key), -1), np.zeros(len(key), np.int64)
-        c, w = _place(self.contexts, key), _place(self.words, word)
-        has = np.flatnonzero(c >= 0)
-        left[has] = self.left[c[has]]
-        both = has[w[has] >= 0]
-        at = self.level.find(c[both], w[both])
-        share[both[at >= 0]] = self.level.prob[at[at >= 0]]
-        return share, left
 
+def _sums(n: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each different row of keys once, with the sum of ``n``: hashes in order, sums, keys."""
+    h = _mixed(*keys)
+    o = np.argsort(h)
+    h, keys = h[o], [k[o] for k in keys]
+    first = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], 0))) if len(o) else np.zeros(0, int)
+    return h[first], np.add.reduceat(n[o], first) if len(first) else n, *(k[first] for k in keys)
 
-def plain(quantised: np.ndarray) -> np.ndarray:
-    """What was quantised, 0 for -1."""
-    return np.where(quantised >= 0, 10 ** (quantised * (-RANGE / 65535)), 0.0)
 
+class Shard:
+    """The trie of the contexts that are dealt to one task."""
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Well mixed 64 bits of each value."""
-    x = x.astype(np.uint64)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
+    def __init__(self, data) -> None:
+        data = memoryview(data)
+        v = int(np.frombuffer(data, "<u8", 1)[0])
+        self.words = np.frombuffer(data, "<i8", v, 8)
+        # words are contexts by their places in the table of words
+        at = 8 + 8 * v
+        self.left = np.frombuffer(data, "<u2", v, at)
+        at += -(-2 * v // 8) * 8
+        self.pairs = Level(data[at:])
+        self.before = Level(data[at + self.pairs.size :])
+        self.triples = Level(data[at + self.pairs.size + self.before.size :])
 
+    @staticmethod
+    def encode(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: np.ndarray, totals: np.ndarray | None = None) -> tuple[bytes, float]:
+        """Counted n-grams of training documents, each once (a is -1 where a text begins), and the mass of the pairs that are held.
+
+        With ``totals``, of each pair's context, only pairs are counted and they are all given."""
+        _, n2, b2, w2, *t = _sums(n, b, w) if totals is None else (None, n, b, w, totals)
+        hb, nb, _ = _sums(n2, b2)
+        total = t[0] if t else nb[hb.searchsorted(_mixed(b2))]
+        held2 = np.flatnonzero((n2 >= LEAST) & (w2 != SELDOM))
+        b2, w2, share2 = b2[held2], w2[held2], (n2[held2] - DISCOUNT) / total[held2]
+        three = np.flatnonzero(a >= 0)
+        hc, nc, _, _ = _sums(n[three], b[three], a[three])
+        held3 = three[(n[three] >= LEAST) & (w[three] != SELDOM)]
+        a3, b3, w3 = a[held3], b[held3], w[held3]
+        share3 = (n[held3] - DISCOUNT) / nc[hc.searchsorted(_mixed(b3, a3))]
+        words = np.unique(np.concatenate([b2, w2, a3, b3, w3]))
+        b2, w2, a3, b3, w3 = (words.searchsorted(x) for x in (b2, w2, a3, b3, w3))
+        rest = lambda of, share, m: np.log10(np.maximum(1 - np.bincount(of, share, m), 1e-16))
+        head = np.array([len(words)], "<u8").tobytes() + words.astype("<i8").tobytes()
+        left = quantise(rest(b2, share2, len(words))).tobytes()
+        o = np.lexsort((w2, b2))
+        pairs = Level.encode(len(words), b2[o], w2[o], np.log10(share2[o]))
+        node, of = np.unique(b3 * len(words) + a3, return_inverse=True)
+        before = Level.encode(len(words), node // max(1, len(words)), node % max(1, len(words)), rest(of, share3, len(node)))
+        o = np.lexsort((w3, of))
+        triples = Level.encode(len(node), of[o], w3[o], np.log10(share3[o]))
+        return head + left + b"\0" * (-len(left) % 8) + pairs + before + triples, float(share2.sum())
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """Where words stand in the table of words, -1 for those that are not in it."""
+        return _place(self.words, x)
+
+    def pair(self, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of places of words: quantised shares (-1 for pairs that are not held) and masses left by the contexts (0 where nothing is taken)."""
+        return self._under(self.pairs, self.left, b, w)
+
+    def triple(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of triples."""
+        node = np.full(len(b), -1)
+        some = np.flatnonzero((b >= 0) & (a >= 0))
+        node[some] = self.before.find(b[some], a[some])
+        return self._under(self.triples, self.before.value, node, w)
 
-def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A pair of word codes as a context: itself if both are in the table, else hashed."""
-    hashed = (_mixed(_mixed(a) + b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(3)).astype(np.int64) | HASHED
-    return np.where((a < TABLE_SHARE) & (b < TABLE_SHARE), a << 20 | b, hashed)
+    @staticmethod
+    def _under(level: Level, left: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        share, rest = np.full(len(context), -1), np.zeros(len(context), np.int64)
+        has = np.flatnonzero(context >= 0)
+        rest[has] = left[context[has]]
+        both = has[word[has] >= 0]
+        at = level.find(context[both], word[both])
+        share[both[at >= 0]] = level.value[at[at >= 0]]
+        return share, rest
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -232,15 +308,6 @@ def _slices(sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
     return np.repeat(first[which] - (np.cumsum(some) - some), some) + np.arange(int(some.sum()))
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """N-grams in order, each once, their counts added."""
-    key, word, n = (np.concatenate(x) for x in zip(*parts))
-    o = np.lexsort((word, key))
-    key, word, n = key[o], word[o], n[o]
-    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (word[1:] != word[:-1]))) if len(key) else np.zeros(0, int)
-    return key[first], word[first], np.add.reduceat(n, first) if len(first) else n
-
-
 def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
@@ -277,52 +344,48 @@ def _histories(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return a, b
 
 
-def _dealt(shard: np.ndarray, rows) -> Iterator[pa.RecordBatch]:
-    """A row (shard, data) for each shard; ``rows`` packs the items at the given places."""
+def _dealt(shard: np.ndarray, packed) -> Iterator[pa.RecordBatch]:
+    """A row (shard, ngrams, rows) for each shard; ``packed`` packs the items at the given places."""
     order = np.argsort(shard, kind="stable")
     ends = np.flatnonzero(np.append(shard[order][1:] != shard[order][:-1], True)) + 1 if len(order) else []
     begin = 0
     for end in ends:
         which = order[begin:end]
-        yield pa.RecordBatch.from_arrays([pa.array([int(shard[which[0]])], pa.int32()), pa.array([rows(which)], pa.binary())], names=["shard", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(shard[which[0]])], pa.int32()), *(pa.array([x], pa.binary()) for x in packed(which))], names=["shard", "ngrams", "rows"])
         begin = end
 
 
-_DEALT = "shard int, data binary"
-_opened: dict[str, Shard] = {}
-
-
-def _open(path: str) -> Shard:
-    if path not in _opened:
-        _opened.clear()
-        _opened[path] = Shard(read_mapped(path))
-    return _opened[path]
+_DEALT = "shard int, ngrams binary, rows binary"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
-    """Calls ``use(row, train, a, b, w, p)`` on stretches of tokens of coded rows: number of the row, whether it is
-    of training, codes of the token and the two before it (-1: none), and the token's probability if it is not in the table."""
+    """Calls ``use(row, train, a, b, w, n)`` on stretches of tokens of coded rows: number of the row, whether it is
+    of training, codes of the two tokens before (-1: none) and of the token, and its count if it is not in the table."""
     parts, size = [], 0
 
     def emit() -> Iterator[pa.RecordBatch]:
-        row, train, ids, p, lengths = (np.concatenate(x) for x in zip(*parts))
+        row, train, ids, n, lengths = (np.concatenate(x) for x in zip(*parts))
         a, b = _histories(ids, np.concatenate([[0], np.cumsum(lengths)]))
         row, train = np.repeat(row, lengths), np.repeat(train, lengths)
         for at in range(0, len(ids), CHUNK):
-            yield from use(*(x[at : at + CHUNK] for x in (row, train, a, b, ids, p)))
+            yield from use(*(x[at : at + CHUNK] for x in (row, train, a, b, ids, n)))
 
     for batch in batches:
-        row, held, codes, rare, odds = (batch.column(i) for i in range(5))
-        for r, h, c, x, o in zip(row.to_pylist(), held.to_pylist(), codes.to_pylist(), rare.to_pylist(), odds.to_pylist()):
-            ids = np.frombuffer(c, "<i4").astype(np.int64)
-            p = np.zeros(len(ids))
+        row, held, codes, rare, counts = (batch.column(i) for i in range(5))
+        known, starts = counts.flatten(), counts.offsets.to_numpy() - (counts.offsets[0].as_py() if len(counts) else 0)
+        known_codes, known_n = (known.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        for k, (r, h, c, x) in enumerate(zip(row.to_pylist(), held.to_pylist(), codes, rare)):
+            ids = np.frombuffer(c.as_py(), "<i4").astype(np.int64)
+            n = np.zeros(len(ids), np.int64)
             off = np.flatnonzero(ids < 0)
             if len(off):
-                ids[off] = np.frombuffer(x, "<i8")
-                if o is not None:
-                    known = {e["code"]: e["p"] for e in o}
-                    p[off] = [known[i] for i in ids[off].tolist()]
-            parts.append((np.array([r]), np.array([not h]), ids, p, np.array([len(ids)])))
+                ids[off] = np.frombuffer(x.as_py(), "<i8")
+                mine = slice(starts[k], starts[k + 1])
+                if mine.start < mine.stop:
+                    o = np.argsort(known_codes[mine])
+                    n[off] = known_n[mine][o[known_codes[mine].searchsorted(ids[off], sorter=o)]]
+                    ids[off[n[off] < LEAST]] = SELDOM
+            parts.append((np.array([r]), np.array([not h]), ids, n, np.array([len(ids)])))
             size += len(ids)
             if size >= CHUNK:
                 yield from emit()
@@ -331,7 +394,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
         yield from emit()
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = prepare(docs.sparkSession)
     sc = spark.sparkContext
@@ -394,122 +457,150 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     numbered = rows.select(id_col, "held_out", F.monotonically_increasing_id().alias("row"), raw("text").alias("t"))
     coded = keep(numbered.mapInArrow(code, schema), "coded")
     exploded = coded.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("key"), F.col("r.code").alias("code"), F.col("r.n").alias("k"))
-    odd = (F.coalesce("n", F.lit(0)) + 1) / F.lit(float(denominator))
+    found = F.coalesce("n", F.lit(0))
     seen = F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).cast("long")
-    rest = exploded.join(words, "key", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10(odd)).alias("rest"), F.sum(seen).alias("more"), F.collect_list(F.struct("code", odd.alias("p"))).alias("odds"))
+    rest = exploded.join(words, "key", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10((found + 1) / F.lit(float(denominator)))).alias("rest"), F.sum(seen).alias("more"), F.collect_list(F.struct("code", found.alias("n"))).alias("counts"))
     rest = keep(rest, "rest")
 
-    shards = max(sc.defaultParallelism, -(-total // SHARD_TOKENS))
+    cold = max(sc.defaultParallelism, -(-total // shard_tokens))
+    # words that more than half a shard's tokens follow: at most twice as many as there are shards
+    ends = {END}
+    hot = np.array([1 if w in ends else -(-2 * int(n) // shard_tokens) for w, n in zip(names, counts) if 2 * n > shard_tokens], np.int64)
+    offset = np.concatenate([[0], np.cumsum(hot)])
     folder = fresh_dir(spark, "lm")
 
-    def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def use(row, train, a, b, w, p):
-            for level, ok in enumerate((b >= 0, (a >= 0) & (b >= 0))):
-                x, y = (b[ok] if level == 0 else pair_key(a[ok], b[ok])), w[ok]
-                key, word, n = _summed([(x, y, np.ones(len(x), np.int64))])
-                shard = (_mixed(key) % np.uint64(shards)).astype(np.int64) + level * shards
-                yield from _dealt(shard, lambda i: _pack(key[i], word[i], n[i]))
+    def count_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def use(row, train, a, b, w, n):
+            ok = np.flatnonzero((b >= 0) & (b < len(hot)))
+            _, many, b, w = _sums(np.ones(len(ok), np.int64), b[ok], w[ok])
+            part = offset[b] + (_mixed(w) % hot[b].astype(np.uint64)).astype(np.int64)
+            yield from _dealt(part, lambda i: (_pack(b[i], w[i], many[i]), b""))
 
         yield from _chunks(batches, use)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, shard = [], 0, None
+    def build_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, part = [], 0, None
         for batch in batches:
-            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parts.append(tuple(_unpack(data.as_py())))
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                parts.append(_unpack(data.as_py()))
                 size += len(parts[-1][0])
                 if size > 4 * CHUNK and size > 2 * len(parts[0][0]):
-                    parts = [_summed(parts)]
-                    size = len(parts[0][0])
-        if shard is not None:
-            write_once(f"{folder}/{shard}.trie", Shard.encode(*_summed(parts)))
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], names=["shard"])
-
-    tokens = lambda d, o: d.select("row", "held_out", "codes", "others", o.alias("odds"))
-    dealt = tokens(coded.where(~F.col("held_out")), F.lit(None).cast("array<struct<code:bigint,p:double>>")).mapInArrow(count_ngrams, _DEALT)
-    built = {r[0] for r in dealt.repartitionById(2 * shards, F.col("shard")).mapInArrow(build, "shard int").collect()}
+                    _, n, b, w = _sums(*(np.concatenate([p[i] for p in parts]) for i in (2, 0, 1)))
+                    parts, size = [[b, w, n]], len(n)
+        if part is not None:
+            _, n, b, w = _sums(*(np.concatenate([p[i] for p in parts]) for i in (2, 0, 1)))
+            data, mass = Shard.encode(np.full(len(b), -1), b, w, n, counts[b])
+            write_once(f"{folder}/hot-{part}.trie", data)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([mass])], names=["part", "mass"])
+
+    none = F.array().cast("array<struct<code:bigint,n:bigint>>")
+    hot_left = np.ones(len(hot))
+    hot_built = set()
+    if len(hot):
+        dealt = coded.where(~F.col("held_out")).select("row", "held_out", "codes", "others", none.alias("counts")).mapInArrow(count_hot, _DEALT)
+        for r in dealt.repartitionById(int(offset[-1]), F.col("shard")).mapInArrow(build_hot, "part int, mass double").collect():
+            hot_built.add(r["part"])
+            hot_left[offset.searchsorted(r["part"], "right") - 1] -= r["mass"]
 
     # rows by number of their part of the table: a few bytes each
     parts = coded.groupBy(F.shiftright("row", 33).alias("part")).agg((F.max("row").bitwiseAND((1 << 33) - 1) + 1).alias("n")).orderBy("part").collect()
-    ends = np.cumsum([r["n"] for r in parts])
-    part_of, begins = np.array([r["part"] for r in parts], np.int64), np.append(0, ends)[:-1].astype(np.int64)
+    ends_of = np.cumsum([r["n"] for r in parts])
+    part_of, begins = np.array([r["part"] for r in parts], np.int64), np.append(0, ends_of)[:-1].astype(np.int64)
 
-    def deal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def use(row, train, a, b, w, p):
-            ok = np.flatnonzero(b >= 0)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def use(row, train, a, b, w, n):
+            # after a seldom word nothing is held, and the word's own logarithm stands
+            ok = np.flatnonzero((b >= 0) & (b != SELDOM))
             if not len(ok):
                 return
-            codes, ids = np.unique(np.concatenate([a[ok], b[ok], w[ok]]), return_inverse=True)
-            x, y, z = ids.reshape(3, len(ok))
-            _, first, of, n = np.unique((x * len(codes) + y) * len(codes) + z, return_index=True, return_inverse=True, return_counts=True)
             number = begins[part_of.searchsorted(row[ok] >> 33)] + (row[ok] & ((1 << 33) - 1))
-            number = number[np.argsort(of, kind="stable")]
-            at = ok[first]
-            key = np.where(a[at] >= 0, pair_key(a[at], b[at]), -1)
-            shard = (_mixed(np.where(key >= 0, key, b[at])) % np.uint64(shards)).astype(np.int64)
-            yield from _dealt(shard, lambda i: _pack(a[at[i]], b[at[i]], w[at[i]], p[at[i]], n[i], number[_slices(n, i)]))
+            a, b, w, n, train = a[ok], b[ok], w[ok], np.where(w[ok] == SELDOM, 0, n[ok]), train[ok].astype(np.int64)
+            a[a == SELDOM] = -1
+            codes, ids = np.unique(np.concatenate([a, b, w]), return_inverse=True)
+            x, y, z = ids.reshape(3, len(ok))
+            key = (y * len(codes) + x) * len(codes) + z
+            o = np.argsort(key)
+            key, number = key[o], number[o]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            many, trained = np.diff(np.append(first, len(key))), np.add.reduceat(train[o], first)
+            a, b, w, n = (v[o[first]] for v in (a, b, w, n))
+            shard = (_mixed(b) % np.uint64(cold)).astype(np.int64)
+            if len(hot):
+                out = np.flatnonzero(b < len(hot))
+                shard[out] = cold + offset[b[out]] + (_mixed(a[out]) % hot[b[out]].astype(np.uint64)).astype(np.int64)
+            low = int(number.min())
+
+            def packed(i):
+                mine = number[_slices(many, i)]
+                return _pack(b[i], a[i], w[i], n[i], trained[i]), _pack(many[i], mine - low, np.array([low]))
+
+            yield from _dealt(shard, packed)
 
         yield from _chunks(batches, use)
 
-    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-
-        def emit():
-            b, w, p, share, left, n, number = (np.concatenate(x) for x in zip(*parts))
-            o = np.lexsort((w, b))
-            shard = (_mixed(b[o]) % np.uint64(shards)).astype(np.int64)
-            yield from _dealt(shard, lambda i: _pack(*(x[o[i]] for x in (b, w, p, share, left, n)), number[_slices(n, o[i])]))
-
-        for batch in batches:
-            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                a, b, w, p, n, number = _unpack(data.as_py())
-                share, left = np.full(len(a), -1), np.zeros(len(a), np.int64)
-                if shard + shards in built and (has := np.flatnonzero(a >= 0)).size:
-                    share[has], left[has] = _open(f"{folder}/{shard + shards}.trie").find(pair_key(a[has], b[has]), w[has])
-                parts.append((b, w, p, share, left, n, number))
-                size += len(number)
-                if size >= CHUNK:
-                    yield from emit()
-                    parts, size = [], 0
-        if parts:
-            yield from emit()
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = every.value[1]
-        parts, size = [], 0
-
-        def emit():
-            number, value = (np.concatenate(x) for x in zip(*parts))
-            rows, of = np.unique(number, return_inverse=True)
-            sums = np.bincount(of, value, len(rows))
-            part = np.searchsorted(ends, rows, "right")
-            for at in range(0, len(rows), 20_000):
-                some = slice(at, at + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array((part_of[part[some]] << 33) + rows[some] - begins[part[some]]), pa.array(sums[some])], names=["row", "gain"])
-
+        packets, parts, size, shard = [], [], 0, None
         for batch in batches:
-            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                b, w, p, share, left, n, number = _unpack(data.as_py())
-                p = p.copy()
-                there = w < HASHED
-                p[there] = one[w[there]]
-                two, rest_ = (np.full(len(b), -1), np.zeros(len(b), np.int64)) if shard not in built else _open(f"{folder}/{shard}.trie").find(b, w)
-                # by how much the n-gram's logarithm differs from the word's
-                gain = np.log10((plain(share) + plain(left) * (plain(two) + plain(rest_) * p)) / p)
-                parts.append((number, np.repeat(gain, n)))
-                size += len(number)
-                if size >= 4 * CHUNK:
-                    yield from emit()
-                    parts, size = [], 0
-        if parts:
-            yield from emit()
-
-    asked = tokens(coded.join(rest.select("row", "odds"), "row", "left"), F.col("odds")).mapInArrow(deal_texts, _DEALT)
-    thirds = asked.repartitionById(shards, F.col("shard")).mapInArrow(triples, _DEALT)
-    gains = thirds.repartitionById(shards, F.col("shard")).mapInArrow(pairs, "row long, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
+            for shard, ngrams, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                packets.append((ngrams.as_py(), asked.as_py()))
+                b, a, w, _, n = _unpack(packets[-1][0])
+                train = np.flatnonzero(n)
+                parts.append([n[train], b[train], a[train], w[train]])
+                size += len(train)
+                if size > 2 * CHUNK and size > 2 * len(parts[0][0]):
+                    parts = [_sums(*(np.concatenate(x) for x in zip(*parts)))[1:]]
+                    size = len(parts[0][0])
+        if shard is None:
+            return
+        _, n, b, a, w = _sums(*(np.concatenate(x) for x in zip(*parts)))
+        rank = int(offset.searchsorted(shard - cold, "right")) - 1 if shard >= cold else -1
+        path = f"{folder}/{shard}.trie"
+        write_once(path, Shard.encode(a, b, w, n)[0])
+        del n, a, b, w, parts
+        trie = Shard(read_mapped(path))
+        files = {k: Shard(read_mapped(f"{folder}/hot-{k}.trie")) for k in range(offset[rank], offset[rank + 1]) if k in hot_built} if rank >= 0 else {}
+        out, rows_out = [], 0
+
+        def emitted() -> pa.RecordBatch:
+            number, value = (np.concatenate(x) for x in zip(*out))
+            part = np.searchsorted(ends_of, number, "right")
+            return pa.RecordBatch.from_arrays([pa.array((part_of[part] << 33) + number - begins[part]), pa.array(value)], names=["row", "gain"])
+
+        for ngrams, asked in packets:
+            b, a, w, n, _ = _unpack(ngrams)
+            many, number, low = _unpack(asked)
+            p = (n + 1) / denominator
+            there = w < HASHED
+            p[there] = one[w[there]]
+            x, y, z = trie.places(b), trie.places(a), trie.places(w)
+            share, left = trie.triple(y, x, z)
+            if rank < 0:
+                two, rest_ = trie.pair(x, z)
+                rest_ = plain(rest_)
+            else:
+                two, rest_ = np.full(len(b), -1), np.full(len(b), hot_left[rank])
+                part = offset[rank] + (_mixed(w) % np.uint64(hot[rank])).astype(np.int64)
+                for k, file in files.items():
+                    i = np.flatnonzero(part == k)
+                    two[i] = file.pair(file.places(b[i]), file.places(w[i]))[0]
+            # by how much the n-gram's logarithm differs from the word's
+            gain = np.log10((plain(share) + plain(left) * (plain(two) + rest_ * p)) / p)
+            sums = np.bincount(number, np.repeat(gain, many))
+            some = np.flatnonzero(np.bincount(number))
+            out.append((some + low[0], sums[some]))
+            rows_out += len(some)
+            if rows_out > 200_000:
+                yield emitted()
+                out, rows_out = [], 0
+        if out:
+            yield emitted()
+
+    asked = coded.join(rest.select("row", "counts"), "row", "left").select("row", "held_out", "codes", "others", F.coalesce("counts", none).alias("counts")).mapInArrow(deal, _DEALT)
+    gains = asked.repartitionById(cold + int(offset[-1]), F.col("shard")).mapInArrow(answer, "row long, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
     zero = lambda c, z: F.coalesce(F.col(c), F.lit(z))
     base = F.col("base_score") + zero("rest", 0.0)
-    return coded.drop("codes", "others", "rare").join(rest.drop("odds"), "row", "left").join(gains, "row", "left").select(
+    return coded.drop("codes", "others", "rare").join(rest.drop("counts"), "row", "left").join(gains, "row", "left").select(
         id_col,
         "held_out",
         "n_tokens",

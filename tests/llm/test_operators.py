@@ -383,10 +383,12 @@ def test_elias_fano():
         assert (code[np.arange(n)] == v).all()
         if n:
             x = r.integers(0, top + 2, 200)
-            assert (code.successor(x, np.zeros(200, int), np.full(200, n)) == np.searchsorted(v, x)).all()
+            at, equal = code.successor(x, np.zeros(200, int), np.full(200, n))
+            assert (at == np.searchsorted(v, x)).all() and (equal == np.isin(x, v)).all()
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize("shard_tokens", [ngram_lm.SHARD_TOKENS, 120])
+def test_language_model(spark, shard_tokens):
     df = documents(spark)
     rows = [(r.doc_id, r.text) for r in df.collect()]
     tokens = lambda t: [*(bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words_of(t)), b"\n"]
@@ -412,7 +414,7 @@ def test_language_model(spark):
             out = max(three.get((a, b, w), 0) - 0.75, 0) / two[a, b] + (1 - after(three, (a, b)) / two[a, b]) * out
         return out
 
-    got = sorted((tuple(r) for r in ngram_lm.score(df).collect()), key=str)
+    got = sorted((tuple(r) for r in ngram_lm.score(df, shard_tokens=shard_tokens).collect()), key=str)
     want = []
     for d, t in rows:
         w = tokens(t)
