@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,20 +17,33 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches, so that a batch of very long texts fits in memory, and names the checkpoint folder.
-
-    A folder of the session's own is used only where ``spark.checkpoint.dir`` is unset, as in tests."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    """Names the checkpoint folder; the session's settings stay as they are."""
     shared_dir(spark)
     return spark
 
 
+def small(batches: Iterator, rows: int = 1000, size: int = 32 << 20) -> Iterator:
+    """The same rows in batches of so many rows and bytes at most, or of one row: very long texts then fit in memory."""
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            b = todo.pop()
+            if b.num_rows <= 1 or b.num_rows <= rows and b.nbytes <= size:
+                yield b
+            else:
+                half = b.num_rows // 2
+                todo += [b.slice(half), b.slice(0, half)]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as a URI or path without a trailing slash."""
+    """The folder that the driver and all executors share, as a URI or path without a trailing slash.
+
+    A folder of the session's own is used only in a local session without ``spark.checkpoint.dir``, as in tests."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandmill-"))
     return (named or sc.getCheckpointDir()).rstrip("/")
 
@@ -51,6 +65,16 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def numbered(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, with a number for each row in a column of a name that is new to it.
+
+    Numbers that are stored are the same in every later scan."""
+    name = "__row"
+    while name in df.columns:
+        name += "_"
+    return keep(df.withColumn(name, F.monotonically_increasing_id()), what), name
+
+
 def raw(column: str | Column) -> Column:
     """A text's UTF-8 bytes; null is empty."""
     c = F.col(column) if isinstance(column, str) else column

@@ -240,7 +240,6 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
     shipped = spark.sparkContext.broadcast(ranks)  # a vocabulary: of a fixed size
     key = hashlib.sha1(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
     new = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
     rest = [c for c in docs.columns if c not in (text_col, *new)]
     types = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), types])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandmill.llm._common import GAP, WORD, cut, prepare
+from strandmill.llm._common import GAP, WORD, cut, numbered, prepare
 
 #: Sources at most for which the plan is broadcast; with more it is joined.
 BROADCAST_ROWS = 10_000
@@ -85,52 +85,58 @@ def _permutation(blocks: int, seed: str) -> tuple[int, int]:
     return step % max(1, blocks), start
 
 
-def mix(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: str = "mix", source_col: str = "source", text_col: str = "text", order_col: str = "doc_id", words_per_shard: int = 100_000, max_shards: int = 20_000, blocks_per_source: int = 4096) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``taken`` and ``mix_blocks`` in place of the text.
+def mix(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: str = "mix", source_col: str = "source", text_col: str = "text", order_col: str = "doc_id", **shards) -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target``, ``taken`` and ``mix_blocks`` in place of the text and of columns of these names.
 
     ``mix_blocks`` lists the document's pieces in order: words (from, to) and how often the mix takes them."""
-    return _mixed(docs, weights, max_epochs, seed, source_col, text_col, order_col, words_per_shard, max_shards, blocks_per_source, keep_text=False)
+    prepare(docs.sparkSession)
+    own = ["size", "source_size", "target", "taken", "mix_blocks"]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (*own, text_col)]
+    # words are counted once
+    sized = cut(docs.select(*rest, *_asked(source_col, order_col, text_col)))
+    return _planned(sized, weights, max_epochs, seed, **shards).select(*rest, *(F.col(f"__mix_{c.removeprefix('mix_')}").alias(c) for c in own))
 
 
-def mixed_documents(docs: DataFrame, source_col: str = "source", text_col: str = "text", order_col: str = "doc_id", n_chars_col: str = "n_chars", **settings) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: str = "mix", source_col: str = "source", text_col: str = "text", order_col: str = "doc_id", n_chars_col: str = "n_chars", **shards) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row per document and round that takes words of it.
 
     A round that takes the whole document leaves its text unchanged; one that takes some of its
-    blocks gives their words, joined by single spaces."""
-    columns = docs.columns
-    m = _mixed(docs, source_col=source_col, text_col=text_col, order_col=order_col, keep_text=True, **settings)
-    rounds = m.withColumn("__round", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("mix_blocks", lambda b: b["times"])).cast("int")))).where("taken > 0")
+    blocks gives their words, joined by single spaces. Texts take no part in laying out shards:
+    they meet the plan by the numbers of their rows."""
+    prepare(docs.sparkSession)
+    stored, row = numbered(docs, "docs")
+    sized = cut(stored.select(row, *_asked(source_col, order_col, text_col)))
+    plan = _planned(sized, weights, max_epochs, seed, **shards).where("__mix_taken > 0").select(row, "__mix_blocks")
+    rounds = stored.join(plan, row).withColumn("__mix_round", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("__mix_blocks", lambda b: b["times"])).cast("int"))))
     words = F.filter(F.split(F.col(text_col), GAP), lambda w: w != "")
-    here = F.filter("mix_blocks", lambda b: b["times"] >= F.col("__round"))
+    here = F.filter("__mix_blocks", lambda b: b["times"] >= F.col("__mix_round"))
     some = F.array_join(F.flatten(F.transform(here, lambda b: F.slice(words, b["from"].cast("int") + 1, (b["to"] - b["from"]).cast("int")))), " ")
-    text = F.when(F.size(here) == F.size("mix_blocks"), F.col(text_col)).otherwise(some)
+    text = F.when(F.size(here) == F.size("__mix_blocks"), F.col(text_col)).otherwise(some)
     out = rounds.withColumn(text_col, text)
-    if n_chars_col in columns:
+    if n_chars_col in docs.columns:
         out = out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType))
-    return out.select(*columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def _mixed(docs, weights=(1, 2, 3), max_epochs=3, seed="mix", source_col="source", text_col="text", order_col="doc_id", words_per_shard=100_000, max_shards=20_000, blocks_per_source=4096, keep_text=False) -> DataFrame:
-    spark = prepare(docs.sparkSession)
-    own = ["size", "source_size", "target", "taken", "mix_blocks"]
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own and (keep_text or c != text_col)]
-    sized = docs.select(*rest, n_words(F.col(text_col)).alias("size"), F.col(source_col).alias("__source"))
-    # words are counted once; where the text goes along, once more for the result
-    counted = cut(sized.select(F.col(order_col), "__source", "size") if keep_text else sized)
-    sized = sized if keep_text else counted
-    totals = sorted(((r[0], int(r[1])) for r in counted.groupBy("__source").agg(F.sum("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+def _asked(source_col: str, order_col: str, text_col: str) -> list[Column]:
+    return [F.col(source_col).alias("__mix_source"), F.col(order_col).alias("__mix_order"), n_words(F.col(text_col)).alias("__mix_size")]
+
+
+def _planned(sized: DataFrame, weights, max_epochs: int, seed: str, words_per_shard: int = 100_000, max_shards: int = 20_000, blocks_per_source: int = 4096) -> DataFrame:
+    """A stored table of ``__mix_source``, ``__mix_order`` and ``__mix_size`` with ``__mix_source_size``, ``__mix_target``, ``__mix_taken`` and ``__mix_blocks``."""
+    spark = sized.sparkSession
+    totals = sorted(((r[0], int(r[1])) for r in sized.groupBy("__mix_source").agg(F.sum("__mix_size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     total = sum(n for _, n in totals)
     target = water_fill([n for _, n in totals], [weights[i % len(weights)] for i in range(len(totals))], max_epochs)
     per_shard = max(words_per_shard, total // max_shards)
     # a block is a small part both of its source and of a shard
     block = [max(1, min(n // blocks_per_source, per_shard // BLOCKS)) for _, n in totals]
-    plan = spark.createDataFrame([(s, i, n, float(t), max(1, n // per_shard), block[i]) for i, ((s, n), t) in enumerate(zip(totals, target))], "__source string, __s int, source_size long, target double, __shards int, __block long")
+    plan = spark.createDataFrame([(s, i, n, float(t), max(1, n // per_shard), block[i]) for i, ((s, n), t) in enumerate(zip(totals, target))], "__named string, __s int, __mix_source_size long, __mix_target double, __shards int, __block long")
     plan = F.broadcast(plan) if len(totals) <= BROADCAST_ROWS else plan
-    key = F.xxhash64(F.lit(seed), F.col(order_col))
-    place = lambda d: d.join(plan.withColumnRenamed("__source", "__named"), F.col("__source").eqNullSafe(F.col("__named"))).drop("__source", "__named").withColumn("__key", key).withColumn("__shard", F.pmod("__key", "__shards").cast("int"))
-    placed = place(sized)
+    key = F.xxhash64(F.lit(seed), F.col("__mix_order"))
+    placed = sized.join(plan, F.col("__mix_source").eqNullSafe(F.col("__named"))).withColumn("__key", key).withColumn("__shard", F.pmod("__key", "__shards").cast("int"))
     shards: dict[int, list[tuple[int, int]]] = {}
-    for r in place(counted).groupBy("__s", "__shard").agg(F.sum("size").alias("n")).orderBy("__s", "__shard").collect():
+    for r in placed.groupBy("__s", "__shard").agg(F.sum("__mix_size").alias("n")).orderBy("__s", "__shard").collect():
         shards.setdefault(r["__s"], []).append((r["__shard"], int(r["n"])))
     # words to sources, then their blocks to shards
     n_blocks = {(s, k): -(-n // block[s]) for s, own_ in shards.items() for k, n in own_}
@@ -144,13 +150,12 @@ def _mixed(docs, weights=(1, 2, 3), max_epochs=3, seed="mix", source_col="source
             step, start = _permutation(m, f"{seed}:{s}:{k}")
             quotas.append((s, k, m, q // m if m else 0, q % m if m else 0, step, start))
     quota = spark.createDataFrame(quotas, "__s int, __shard int, __m long, __rounds long, __more long, __step long, __start long")
-    in_order = W.partitionBy("__s", "__shard").orderBy("__key", F.col(order_col), "size").rowsBetween(W.unboundedPreceding, 0)
-    laid = placed.withColumn("__end", F.sum("size").over(in_order)).join(quota, ["__s", "__shard"])
-    first, block_ = F.col("__end") - F.col("size"), F.col("__block")
+    in_order = W.partitionBy("__s", "__shard").orderBy("__key", "__mix_order", "__mix_size").rowsBetween(W.unboundedPreceding, 0)
+    laid = placed.withColumn("__end", F.sum("__mix_size").over(in_order)).join(quota, ["__s", "__shard"])
+    first, block_ = F.col("__end") - F.col("__mix_size"), F.col("__block")
     times = lambda b: F.col("__rounds") + F.when(F.pmod(b * F.col("__step") + F.col("__start"), F.col("__m")) < F.col("__more"), F.lit(1)).otherwise(F.lit(0))
     of = F.sequence(F.floor(first / block_), F.floor((F.col("__end") - 1) / block_))
     pieces = F.transform(of, lambda b: F.struct((F.greatest(b * block_, first) - first).alias("from"), (F.least((b + 1) * block_, F.col("__end")) - first).alias("to"), times(b).alias("times")))
     none = F.array().cast("array<struct<from:bigint,to:bigint,times:bigint>>")
-    out = laid.withColumn("mix_blocks", F.when(F.col("size") > 0, pieces).otherwise(none))
-    out = out.withColumn("taken", F.aggregate("mix_blocks", F.lit(0).cast("long"), lambda a, p: a + (p["to"] - p["from"]) * p["times"]))
-    return out.select(*rest, *own)
+    out = laid.withColumn("__mix_blocks", F.when(F.col("__mix_size") > 0, pieces).otherwise(none))
+    return out.withColumn("__mix_taken", F.aggregate("__mix_blocks", F.lit(0).cast("long"), lambda a, p: a + (p["to"] - p["from"]) * p["times"]))

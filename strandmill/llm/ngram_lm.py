@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm._common import fresh_dir, keep, prepare, raw, read_mapped, write_once
+from strandmill.llm._common import fresh_dir, keep, prepare, raw, read_mapped, small, write_once
 
 #: The end of a text, which no word equals.
 END = b"\n"
@@ -316,7 +316,7 @@ def _counted(docs: DataFrame, count, schema: str) -> DataFrame:
     """Sums of what ``count`` finds in batches of texts: (keys, numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             keys, n = count([x.as_py() for x in b.column(0)])
             yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64())], names=["key", "n"])
 
@@ -370,7 +370,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(ids), CHUNK):
             yield from use(*(x[at : at + CHUNK] for x in (row, train, a, b, ids, n)))
 
-    for batch in batches:
+    for batch in small(batches):
         row, held, codes, rare, counts = (batch.column(i) for i in range(5))
         known, starts = counts.flatten(), counts.offsets.to_numpy() - (counts.offsets[0].as_py() if len(counts) else 0)
         known_codes, known_n = (known.field(i).to_numpy(zero_copy_only=False) for i in range(2))
@@ -427,7 +427,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
         index, one = every.value
         logs = np.log10(one)
-        for batch in batches:
+        for batch in small(batches):
             texts = [x.as_py() for x in batch.column(3)]
             if not texts:
                 continue

@@ -138,7 +138,6 @@ def library_encoder(tokenizer):
     Parts without white space but a leading space stand on lines of one text: a line feed
     between them is a piece, and no part has one of its own."""
     feed = tokenizer.encode("\n", add_special_tokens=False).ids
-    tokenizer.encode_special_tokens = True
 
     def alone(parts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -162,18 +161,40 @@ def library_encoder(tokenizer):
     return encode
 
 
-#: Documents of a file, about: a file is one task's work and one task's memory.
-FILE_DOCS = 10_000
+def cuttable(tokenizer) -> bool:
+    """Whether texts may be cut at single spaces: no added token of the tokenizer holds or takes up white space."""
+    return not any(t.lstrip or t.rstrip or t.single_word or any(map(str.isspace, t.content)) for t in tokenizer.get_added_tokens_decoder().values())
+
+
+class Whole:
+    """Encodes whole texts, for tokenizers whose texts may not be cut."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False):
+            yield np.asarray(e.ids, "<u4")
+
+
+#: Bytes of text to a file, about: a file is one task's work.
+FILE_BYTES = 16 << 20
+#: Files whose sizes are summed in one task.
+TOGETHER = 1000
 
 
 def write_ids(docs: DataFrame, tokenizer_json: str, end_id: int, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes the texts, an end id after each, and writes files in ascending order of the ids.
 
-    Gives one row per file: its order, path, number of documents and of ids."""
+    Documents are dealt to files by id, then by a hash of the text, then by where they stand, so
+    that rows of one id, or without one, may fill several files. Gives one row per file: its
+    order, path, number of documents and of ids."""
     spark = prepare(docs.sparkSession)
     folder = fresh_dir(spark, "ids")
     shipped = spark.sparkContext.broadcast(tokenizer_json)  # a vocabulary: of a fixed size
-    files = files or max(spark.sparkContext.defaultParallelism * 4, -(-docs.count() // FILE_DOCS))
+    if files is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
+        files = max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -182,7 +203,8 @@ def write_ids(docs: DataFrame, tokenizer_json: str, end_id: int, files: int | No
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        held = memory(f"library {zlib.crc32(shipped.value.encode())}", lambda: library_encoder(Tokenizer.from_str(shipped.value)))
+        tokenizer = Tokenizer.from_str(shipped.value)
+        held = memory(f"library {zlib.crc32(shipped.value.encode())}", lambda: library_encoder(tokenizer)) if cuttable(tokenizer) else Whole(tokenizer)
         end = np.array([end_id], "<u4")
         order = TaskContext.get().partitionId()
         path = f"{folder}/{order:06d}-{uuid.uuid4().hex}.ids"
@@ -198,18 +220,23 @@ def write_ids(docs: DataFrame, tokenizer_json: str, end_id: int, files: int | No
             total = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([order]), pa.array([path]), pa.array([n]), pa.array([total])], names=["file", "path", "n_docs", "n_ids"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = dealt.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return cut(ordered.mapInArrow(run, "file long, path string, n_docs long, n_ids long"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("at"))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("at"))
+    ordered = dealt.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    return cut(ordered.select("doc_id", "text").mapInArrow(run, "file long, path string, n_docs long, n_ids long"))
 
 
 def read_ids(files: DataFrame, digests: bool = False) -> DataFrame:
     """The documents of such files: doc_id, start, n_tokens and the ids, or their crc32."""
     from pyspark.sql import Window as W
 
-    # one row per file: a handful of rows, summed in order
-    placed = files.withColumn("before", F.coalesce(F.sum("n_ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # one row per file, summed in order: within groups of files, and over groups
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    grouped = files.withColumn("group", F.floor(F.col("file") / TOGETHER))
+    groups = grouped.groupBy("group").agg(F.sum("n_ids").alias("n_ids"), F.min("file").alias("file"))
+    groups = groups.select("group", before(W.partitionBy(F.lit(0))).alias("ahead"))
+    placed = grouped.withColumn("inside", before(W.partitionBy("group"))).join(groups, "group").withColumn("before", F.col("ahead") + F.col("inside"))
     n = files.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm._common import prepare, raw
+from strandmill.llm._common import prepare, raw, small
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -141,7 +141,7 @@ def _judged(docs: DataFrame, text_col: str, sample: int, keep_text: bool) -> Dat
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), *(f"{c} {kinds.get(c, 'long')}" for c in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             cols: dict[str, list] = {c: [] for c in new}
             for data in b.column(len(rest)):
                 t = Text(data.as_py())

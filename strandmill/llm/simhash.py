@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm._common import cut, prepare, raw
+from strandmill.llm._common import cut, numbered, prepare, raw, small
 from strandmill.llm.graph import components
 
 #: Node pairs of so many fingerprints at most are finished in one task.
@@ -56,7 +56,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "fp long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(len(rest))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), pa.array(fps)], names=[*rest, "fp"])
 
@@ -211,7 +211,6 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         if rest is not None and len(rest[0]) and (out := finish(*rest)):
             yield out
 
-    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -230,11 +229,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id, null last; of repeated ids one row.
-
-    ``docs`` is a stored table: its rows are numbered by where they stand."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    prints = cut(with_fingerprint(numbered.select(id_col, "__row", text_col), text_col, shingle))
-    stays = _rooted(prints, first, max_bits).select(F.col("least.row").alias("__row")).distinct()
-    return numbered.join(stays, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that stay: of each component the one with the smallest id, null last; of repeated ids one row."""
+    stored, row = numbered(docs, "docs")
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    prints = cut(with_fingerprint(stored.select(id_col, row, text_col), text_col, shingle))
+    stays = _rooted(prints, first, max_bits).select(F.col("least.row").alias(row)).distinct()
+    return stored.join(stays, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

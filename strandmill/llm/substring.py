@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm._common import keep, prepare, raw
+from strandmill.llm._common import keep, prepare, raw, small
 
 #: Words of a minimiser.
 GRAM = 5
@@ -227,7 +227,7 @@ def _removed(docs: DataFrame, window: int, id_col: str, text_col: str, digest: b
     rows = docs.select(id_, F.xxhash64(id_.isNull(), id_, data).alias("k"), text_bits.alias("t"), data.alias("raw"))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             k, t = (b.column(c).to_numpy() for c in (0, 1))
             texts, first, size = [], 0, 0
             for at, data in enumerate(b.column(2)):
@@ -275,7 +275,7 @@ def _removed(docs: DataFrame, window: int, id_col: str, text_col: str, digest: b
 
         names = ["key", "mh", "sh", "n", "bit", "content"]
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        for b in batches:
+        for b in small(batches):
             for row in b.to_pylist():
                 words, out = row["raw"].split(), []
                 for s in row["segments"]:
@@ -328,7 +328,7 @@ def _removed(docs: DataFrame, window: int, id_col: str, text_col: str, digest: b
     last = "kept_sha256" if digest else "kept"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             out = []
             for data, ranges in zip(b.column(1), b.column(2)):
                 words = data.as_py().split()

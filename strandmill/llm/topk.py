@@ -5,9 +5,14 @@ counted per query over the whole table; the bin that holds the k-th best score b
 next round's range, until the bin is one score wide or few candidates are left at or above
 it. A last pass keeps what reaches that bound and breaks ties by the smaller id.
 
+Candidates stay where they are stored; nothing of them is shuffled. In each round the queries
+whose range is open, a small part of the table, are written as blocks with their ranges, and
+every task of candidates reads these blocks one after the other. Counts are summed in the task
+before they are shuffled.
+
 Vectors that are null, empty or hold a null or non-finite component take no part. Vectors
-of different lengths are not compared. Repeated rows are candidates of their own, a row is
-never a candidate for its own id, and a null id takes no part. Components become
+of different lengths are not compared. Repeated rows are queries and candidates of their own:
+a row is never a candidate for itself. A null id takes no part. Components become
 floor(scale * x); scores are exact integers. A score beyond 64 bits raises."""
 
 from __future__ import annotations
@@ -19,16 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm._common import cut, prepare
+from strandmill.llm._common import cut, filesystem, fresh_dir, prepare, small
 
 BINS = 256
 EXACT = 2**53
 
 
-def _matrix(rows: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(rows, "<f8").reshape(n, -1) if n else np.zeros((0, 0))
-
-
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Integer inner products: by floating-point multiplication where every sum stays exact."""
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
@@ -40,138 +41,154 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return whole.astype(np.int64)
 
 
-def _blocks(vectors: DataFrame, name: str, size: int, rows: int) -> DataFrame:
-    """Blocks of about ``size`` vectors of one length each, dealt by a hash of the id and packed into bytes."""
-    n = max(1, -(-rows // size))
+def _stacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows (row, id, v, ...): for each length of vectors the length, the places in the batch, row numbers, and the matrix."""
+    v = batch.column(2)
+    sizes = np.diff(v.offsets.to_numpy())
+    flat = v.flatten().to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    for dim in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == dim)
+        yield dim, at, batch.column(0).to_numpy()[at], flat[starts[at][:, None] + np.arange(dim)]
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [np.array([v.as_py() for v in b.column(i)], dtype=object) for i in range(2)]
-            packed = [[x for _, x in sorted(((e["id"], e["v"]) for e in es), key=lambda t: t[0])] for es in out[1]]
-            ids = [sorted(e["id"] for e in es) for es in out[1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    b.column(2),
-                    pa.array([np.asarray(i, "<i8").tobytes() for i in ids], pa.binary()),
-                    pa.array([np.asarray(p, "<f8").tobytes() for p in packed], pa.binary()),
-                ],
-                names=[f"{name}block", "dim", f"{name}ids", f"{name}rows"],
-            )
 
-    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    grouped = vectors.groupBy(block.alias("b"), "salt", F.size("v").alias("dim")).agg(F.collect_list(F.struct("id", "v")).alias("es"))
-    return grouped.select("b", "es", "dim").mapInArrow(pack, f"{name}block int, dim int, {name}ids binary, {name}rows binary")
+def _query_blocks(folder: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a table in the shared folder, a block at a time."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
 
+    system, path = filesystem(folder)
+    for f in sorted(x.path for x in system.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet")):
+        with system.open_input_file(f) as opened:
+            yield from pq.ParquetFile(opened).iter_batches(size)
 
-def top_k(vectors: DataFrame, k: int, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, query_block: int = 256, candidate_block: int = 2048) -> DataFrame:
+
+def top_k(vectors: DataFrame, k: int, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, query_block: int = 512, candidate_block: int = 4096) -> DataFrame:
     """The ``k`` best candidates of each query: query_id, rank from 1, vec_id, score."""
     spark = prepare(vectors.sparkSession)
     v = F.col(vector_col)
     usable = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))), F.lit(False)) & (F.size(v) > 0)
     whole = F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    # repeated ids would meet in one block; the salt deals them out
-    table = cut(vectors.where(F.col(id_col).isNotNull() & usable).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), is_query.alias("is_query")))
+    named = vectors.where(F.col(id_col).isNotNull() & usable).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), is_query.alias("is_query"))
+    tasks = spark.sparkContext.defaultParallelism
+    dealt = named if named.rdd.getNumPartitions() >= tasks else named.repartition(tasks)
+    table = cut(dealt.select(F.monotonically_increasing_id().alias("row"), "id", "v", "is_query"))
+    candidates = table.select("row", "id", "v")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    salt = F.lit(0)
-    seen = table.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("nq"), F.max(norm).alias("norm"), F.countDistinct("id").alias("d")).first()
-    if seen["d"] != seen["n"]:
-        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, -(-seen["n"] // max(1, seen["d"])))))
-    n_q = max(1, -(-seen["nq"] // query_block))
-    # a repeated id asks once, with its smallest vector
-    asked = table.where("is_query").groupBy("id").agg(F.min("v").alias("v")).withColumn("salt", F.lit(0))
-    queries = _blocks(asked, "q", query_block, seen["nq"])
-    queries = cut(queries)
-    candidates = _blocks(table.withColumn("salt", salt), "c", candidate_block, seen["n"])
-    tasks = spark.sparkContext.defaultParallelism * 4
-    # each candidate block meets each block of the stated queries
-    pairs = candidates.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).repartition(tasks, "qblock", "cblock", F.xxhash64("cids"))
-    pairs = cut(pairs)
-    bound = float(seen["norm"] or 0.0)
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, rows in zip(b.column("qids"), b.column("qrows")):
-                ids = np.frombuffer(ids.as_py(), "<i8")
-                q = _matrix(rows.as_py(), len(ids))
-                top = np.ceil(np.sqrt((q * q).sum(1)) * bound * (1 + 1e-9)) + 1
-                lo = [-int(t) for t in top]
-                span = [2 * int(t) + 1 for t in top]
-                width = [-(-x // BINS) for x in span]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(x, pa.int64()) for x in (lo, span, width)), pa.array(np.zeros(len(ids), np.int64)), pa.array(np.full(len(ids), -1))], names=["query_id", "lo", "span", "width", "above", "held"])
-
-    state = cut(queries.mapInArrow(start, "query_id long, lo long, span long, width long, above long, held long"))
-    known = queries.select("qblock", "dim", "qids", "qrows")
-
-    def scored(state: DataFrame, then, schema: str) -> DataFrame:
-        """Runs ``then(query ids, (lo, span, width), candidate ids, scores)`` over every pair of blocks."""
-        # a query's bounds travel with its block, in the order of the block's ids
-        ids = F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")
-        held = state.groupBy(ids.alias("sblock")).agg(F.collect_list(F.struct("query_id", "lo", "span", "width")).alias("bounds"))
-        met = pairs.join(known.join(held, F.col("qblock") == F.col("sblock")).drop("sblock"), ["qblock", "dim"])
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for row in b.to_pylist():
-                    bounds = {x["query_id"]: (x["lo"], x["span"], x["width"]) for x in row["bounds"]}
-                    qids, cids = np.frombuffer(row["qids"], "<i8"), np.frombuffer(row["cids"], "<i8")
-                    q, c = _matrix(row["qrows"], len(qids)), _matrix(row["crows"], len(cids))
-                    at = np.array([i for i, x in enumerate(qids.tolist()) if x in bounds], int)
-                    if not len(at) or not len(cids):
-                        continue
-                    pairs_of = np.array([bounds[x] for x in qids[at].tolist()], np.int64)
-                    s = _scores(q[at], c)
-                    yield from then(qids[at], pairs_of.T, cids, s)
-
-        return met.select("bounds", "qids", "qrows", "cids", "crows").mapInArrow(score, schema)
-
-    def histogram(qids, bounds, cids, s):
-        lo, span, width = (x[:, None] for x in bounds)
-        b = (s - lo) // width
-        inside = (s >= lo) & (s < lo + span) & (qids[:, None] != cids[None, :])
-        rows, _ = np.nonzero(inside)
-        counts = np.bincount(rows * BINS + b[inside], minlength=len(qids) * BINS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(qids[at // BINS]), pa.array(at % BINS), pa.array(counts[at])], names=["query_id", "bin", "n"])
-
-    def reaching(qids, bounds, cids, s):
-        lo = bounds[0]
-        for i, q in enumerate(qids):
-            ok = np.flatnonzero((s[i] >= lo[i]) & (cids != q))
-            best = ok[np.lexsort((cids[ok], -s[i][ok]))][:k]  # a block's own best are enough: the order is total
-            if len(best):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(cids[best]), pa.array(s[i][best])], names=["query_id", "vec_id", "score"])
-
+    longest = table.agg(F.max(norm)).first()[0] or 0.0
+    # no score of a query is beyond its own norm times the longest; a range is cut into bins of equal width
+    top = F.ceil(norm * longest * (1 + 1e-9)).cast("long") + 1
+    bins = lambda span: F.ceil(span / BINS).cast("long")
     # held is -1 while a query's range can still be cut: until it is one score wide or few enough candidates reach it
+    asked = cut(table.where("is_query").select("row", "id", "v", top.alias("top")))
+    state = cut(asked.select("row", (-F.col("top")).alias("lo"), (2 * F.col("top") + 1).alias("span"), bins(2 * F.col("top") + 1).alias("width"), F.lit(0).cast("long").alias("above"), F.lit(-1).cast("long").alias("held")))
+
+    def scored(state: DataFrame, task, schema: str) -> DataFrame:
+        """``task(...)`` over every task of candidates, as an iterator of its blocks' scores against all queries of ``state``."""
+        folder = fresh_dir(spark, "queries")
+        asked.join(state.select("row", "lo", "span", "width"), "row").select("row", "id", "v", "lo", "span", "width").write.parquet(folder)
+
+        def blocks(batches: Iterator[pa.RecordBatch]):
+            held, size = [], 0
+            for b in small(batches, candidate_block):
+                held.append(b)
+                size += b.num_rows
+                if size >= candidate_block:
+                    yield held
+                    held, size = [], 0
+            if size:
+                yield held
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def scores():
+                for held in blocks(batches):
+                    by_dim: dict[int, list] = {}
+                    for b in held:
+                        for dim, at, rows, x in _stacked(b):
+                            by_dim.setdefault(dim, []).append((rows, b.column(1).to_numpy()[at], x))
+                    joined = {dim: tuple(np.concatenate(p) for p in zip(*parts)) for dim, parts in by_dim.items()}
+                    for q in _query_blocks(folder, query_block):
+                        for dim, at, rows, x in _stacked(q):
+                            if dim in joined:
+                                c_rows, c_ids, c = joined[dim]
+                                bounds = [q.column(i).to_numpy()[at] for i in (3, 4, 5)]
+                                yield rows, bounds, c_rows, c_ids, _scores(x, c)
+
+            yield from task(scores())
+
+        return candidates.mapInArrow(run, schema)
+
+    def histogram(scores) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def emit():
+            keys, n = (np.concatenate([x[i] for x in held.values()]) for i in range(2))
+            of = np.repeat(np.fromiter(held, np.int64, len(held)), [len(x[0]) for x in held.values()])
+            return pa.RecordBatch.from_arrays([pa.array(of), pa.array(keys), pa.array(n)], names=["row", "bin", "n"])
+
+        for rows, (lo, span, width), c_rows, _, s in scores:
+            b = (s - lo[:, None]) // width[:, None]
+            inside = (s >= lo[:, None]) & (s < (lo + span)[:, None]) & (rows[:, None] != c_rows[None, :])
+            of = np.nonzero(inside)[0]
+            counts = np.bincount(of * BINS + b[inside], minlength=len(rows) * BINS).reshape(len(rows), BINS)
+            for r, c in zip(rows.tolist(), counts):
+                at = np.flatnonzero(c)
+                if len(at) and r in held:  # the next block of candidates meets the same query
+                    both, n = np.concatenate([held[r][0], at]), np.concatenate([held[r][1], c[at]])
+                    at, to = np.unique(both, return_inverse=True)
+                    held[r] = (at, np.bincount(to, n).astype(np.int64))
+                elif len(at):
+                    held[r] = (at, c[at])
+                    size += 1
+            if size > 20_000:
+                yield emit()
+                held.clear()
+                size = 0
+        if held:
+            yield emit()
+
+    def reaching(scores) -> Iterator[pa.RecordBatch]:
+        for rows, (lo, _, _), c_rows, c_ids, s in scores:
+            found = []
+            for i, q in enumerate(rows):
+                ok = np.flatnonzero((s[i] >= lo[i]) & (c_rows != q))
+                best = ok[np.lexsort((c_ids[ok], -s[i][ok]))][:k]  # a block's own best are enough: the order is total
+                if len(best):
+                    found.append((np.full(len(best), q), c_ids[best], s[i][best]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["row", "vec_id", "score"])
+
     slack = 8 * k
     for _ in range(64):
         open_ = state.where("held = -1")
         if open_.isEmpty():
             break
-        counts = scored(open_, histogram, "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        counts = scored(open_, histogram, "row long, bin long, n long").groupBy("row", "bin").agg(F.sum("n").alias("n"))
         # at most BINS rows per query meet here
-        per = counts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("bin")).alias("down"), "n"))).alias("bins"))
+        per = counts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("bin")).alias("down"), "n"))).alias("bins"))
         step = F.aggregate(
             "bins",
             F.struct(F.col("above").alias("above"), F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("n")),
             lambda a, x: F.when(a["above"] + a["n"] >= k, a).otherwise(F.struct((a["above"] + a["n"]).alias("above"), (-x["down"]).alias("bin"), x["n"].alias("n"))),
         )
-        found = open_.join(per, "query_id", "left").withColumn("s", step)
+        found = open_.join(per, "row", "left").withColumn("s", step)
         lo = F.when(F.col("s.bin").isNull() | (F.col("s.bin") < 0), F.col("lo")).otherwise(F.col("lo") + F.col("s.bin") * F.col("width"))
         few = F.col("bins").isNull() | (F.col("s.above") + F.col("s.n") < k)  # fewer than k candidates in all: every one is kept
         done = few | (F.col("width") == 1) | (F.col("s.above") + F.col("s.n") <= slack)
         moved = found.select(
-            "query_id",
+            "row",
             F.when(few, F.col("lo")).otherwise(lo).alias("lo"),
             F.col("width").alias("span"),
-            F.ceil(F.col("width") / BINS).cast("long").alias("width"),
+            bins(F.col("width")).alias("width"),
             F.coalesce(F.col("s.above"), F.lit(0)).alias("above"),
             F.when(done, F.lit(0)).otherwise(F.lit(-1)).cast("long").alias("held"),
         )
-        state = cut(state.join(open_.select("query_id"), "query_id", "left_anti").unionByName(moved))
+        state = cut(state.join(open_.select("row"), "row", "left_anti").unionByName(moved))
     else:
         raise RuntimeError("the histograms did not converge")
-    best = scored(state, reaching, "query_id long, vec_id long, score long")
+    best = scored(state, reaching, "row long, vec_id long, score long")
     # at most k rows per query and block, and few blocks reach the bound
-    ranked = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k).alias("best"))
-    return ranked.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.down")).alias("score"))
+    ranked = best.groupBy("row").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k).alias("best"))
+    one = ranked.select("row", F.posexplode("best").alias("at", "b")).join(asked.select("row", F.col("id").alias("query_id")), "row")
+    return one.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.down")).alias("score"))

@@ -139,7 +139,6 @@ def read_records(spark: SparkSession, folder: str, content: bool = True) -> Data
                 if rows:
                     yield out(rows)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
     return files.mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -165,16 +166,16 @@ def test_substring_tells_rows_of_one_id_apart(spark):
 def test_top_k(spark):
     r = np.random.default_rng(1)
     rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(300)] + [(300 + i, [0.5] * 6) for i in range(60)]
-    rows += [(400, None), (401, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (450, [1.0, 2.0]), (451, [3.0, 1.0]), (None, [1.0] * 6), (7, [9.0] * 6)]
+    rows += [(400, None), (401, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (450, [1.0, 2.0]), (451, [3.0, 1.0]), (None, [1.0] * 6), (7, [9.0] * 6), (50, [2.0] * 6), (50, [2.0] * 6)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     clean = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in sorted({i for i, _ in clean if i % 50 == 0}):
-        v = min(x for i, x in clean if i == q)
-        best = sorted((-sum(a * b for a, b in zip(v, x)), i) for i, x in clean if i != q and len(x) == len(v))[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for row, (q, v) in enumerate(clean):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, x)), i) for other, (i, x) in enumerate(clean) if other != row and len(x) == len(v))[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     got = sorted(map(tuple, topk.top_k(df, 5, F.col("vec_id") % 50 == 0, query_block=3, candidate_block=37).collect()))
-    assert got == want
+    assert got == sorted(want)
     assert topk.top_k(df.limit(0), 5, F.col("vec_id") % 50 == 0).count() == 0
 
 
@@ -211,8 +212,11 @@ def test_mixing(spark):
     for s in named:
         assert abs(taken[s] - target[s]) <= max(3, 0.02 * totals[s])
     assert mixing.mix(df.limit(0)).count() == 0
-    whole = mixing.mixed_documents(documents(spark, extra=False))
-    assert whole.columns == ["doc_id", "text", "source", "other"]
+    # columns with the names of the mix's own stay as they were
+    clash = documents(spark).withColumns({"target": F.lit("t"), "taken": F.lit(7), "mix_blocks": F.lit("b"), "source_size": F.lit(0.5), "__row": F.lit("r")})
+    whole = mixing.mixed_documents(clash)
+    assert whole.columns == clash.columns
+    assert {(r["size"], r.target, r.taken, r.mix_blocks, r.source_size, r["__row"]) for r in whole.collect()} == {(1.5, "t", 7, "b", 0.5, "r")}
     assert sum(len(words_of(r.text)) for r in whole.collect()) == sum(taken.values())
 
 
@@ -286,6 +290,43 @@ def test_context_finds_unseen_identifiers_only_after_telling_words(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_right_context_and_shape_find_what_no_left_word_can(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    rows = [f"{word()} user{i}@mail.example.com replied {word()}" for i in range(200)]
+    rows += [f"{word()} ID{i}x replied {word()}" for i in range(20)]
+    # by a common word, which only instances of one shape follow as seeds
+    rows += [f"{word()} of 10.0.{i}.1 {word()}" for i in range(200)] + [f"of 999.0.{i}.1 {word()}" for i in range(9)] + [f"of {word()} of {i} {word()}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {x.doc_id: [s.found for s in x.context] for x in pii.find(df).collect()}
+    assert all(found[200 + i] == [f"ID{i}x"] for i in range(20))
+    assert all(found[420 + i] == [f"999.0.{i}.1"] for i in range(9))
+    assert not any(found[i] for i in (*range(200), *range(220, 420), *range(429, len(rows))))
+
+
+def test_many_identifiers_in_one_text(spark):
+    text = " ".join(f"x{i} é u{i}@m.example.org" for i in range(50_000))
+    df = spark.createDataFrame([(1, text), (2, "w" * 300_000 + " a b c 12 " + "y " * 100_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = pii.find(df).where("doc_id = 1").select("base", F.size("context").alias("n")).first()
+    spans = [(s.start, s.end) for s in got.base]
+    assert spans == [m.span() for m in re.finditer(r"u\d+@m\.example\.org", text)]
+    assert pii.redact(df).where("doc_id = 1").first().text.startswith("x0 é <EMAIL> x1 é <EMAIL>")
+    assert time.perf_counter() - began < 90
+
+
+def test_pii_query(spark, tmp_path):
+    from strandmill.llm.queries import op6_pii
+
+    df = spark.createDataFrame(list(enumerate(PII)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for r in op6_pii(spark, str(tmp_path)).collect():
+        base = slow_base(PII[r.doc_id])
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and r.spans.startswith(listed)
+
+
 # 7
 
 
@@ -359,8 +400,8 @@ def test_packed_ids(spark):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         json = f.read()
     whole = Tokenizer.from_str(json)
-    whole.encode_special_tokens = True
-    df = documents(spark, [*texts(), *ODD])
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>. y", "one\n<|endoftext|>\n<|endoftext|> two", "z <|endoftext|><|endoftext|>,"]
+    df = documents(spark, [*texts(), *ODD, *special])
     got = sorted(packed.read_ids(packed.write_ids(df, json, 2)).collect(), key=lambda r: r.start)
     want = Counter((r.doc_id, tuple([*whole.encode(r.text or "", add_special_tokens=False).ids, 2])) for r in df.collect())
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
@@ -372,6 +413,18 @@ def test_packed_ids(spark):
     assert packed.read_ids(packed.write_ids(df.limit(0), json, 2)).count() == 0
 
 
+def test_rows_of_one_id_fill_several_files(spark, monkeypatch):
+    monkeypatch.setattr(packed, "TOGETHER", 3)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        json = f.read()
+    rows = [(7, f"text {i % 50}") for i in range(5000)] + [(None, "same")] * 5000
+    files = packed.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), json, 2, files=8)
+    assert files.count() == 8 and files.agg(F.max("n_docs")).first()[0] < 3000
+    got = packed.read_ids(files, digests=True).orderBy("start").collect()
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert [r.doc_id for r in got] == [None] * 5000 + [7] * 5000
+
+
 # 10
 
 
