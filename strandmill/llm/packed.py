@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm._common import cut, filesystem, fresh_dir, prepare, read_mapped
-from strandmill.llm.bpe import few_at_a_time, memory
+from strandmill.llm.bpe import Memory, few_at_a_time
 
 MAGIC = b"SMPF1\0\0\0"
 BLOCK = 1024
@@ -177,6 +177,20 @@ class Whole:
             yield np.asarray(e.ids, "<u4")
 
 
+_encoders: dict[str, Memory | Whole] = {}
+
+
+def _encoder(tokenizer_json: str) -> Memory | Whole:
+    """The worker's encoder of texts, made on first use."""
+    from tokenizers import Tokenizer
+
+    if tokenizer_json not in _encoders:
+        _encoders.clear()
+        tokenizer = Tokenizer.from_str(tokenizer_json)
+        _encoders[tokenizer_json] = Memory(library_encoder(tokenizer)) if cuttable(tokenizer) else Whole(tokenizer)
+    return _encoders[tokenizer_json]
+
+
 #: Bytes of text to a file, about: a file is one task's work.
 FILE_BYTES = 16 << 20
 #: Files whose sizes are summed in one task.
@@ -201,10 +215,8 @@ def write_ids(docs: DataFrame, tokenizer_json: str, end_id: int, files: int | No
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(shipped.value)
-        held = memory(f"library {zlib.crc32(shipped.value.encode())}", lambda: library_encoder(tokenizer)) if cuttable(tokenizer) else Whole(tokenizer)
+        held = _encoder(shipped.value)
         end = np.array([end_id], "<u4")
         order = TaskContext.get().partitionId()
         path = f"{folder}/{order:06d}-{uuid.uuid4().hex}.ids"

@@ -305,14 +305,14 @@ def test_right_context_and_shape_find_what_no_left_word_can(spark):
 
 
 def test_many_identifiers_in_one_text(spark):
-    text = " ".join(f"x{i} é u{i}@m.example.org" for i in range(50_000))
+    text = " ".join(f"x{i} é u{i}@m.example.org" for i in range(10_000))
     df = spark.createDataFrame([(1, text), (2, "w" * 300_000 + " a b c 12 " + "y " * 100_000)], "doc_id long, text string")
     began = time.perf_counter()
     got = pii.find(df).where("doc_id = 1").select("base", F.size("context").alias("n")).first()
     spans = [(s.start, s.end) for s in got.base]
     assert spans == [m.span() for m in re.finditer(r"u\d+@m\.example\.org", text)]
     assert pii.redact(df).where("doc_id = 1").first().text.startswith("x0 é <EMAIL> x1 é <EMAIL>")
-    assert time.perf_counter() - began < 90
+    assert time.perf_counter() - began < 60
 
 
 def test_pii_query(spark, tmp_path):
