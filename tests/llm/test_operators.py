@@ -42,16 +42,16 @@ def words_of(t):
 # 1
 
 
-def slow_fingerprint(t):
+def slow_fingerprint(t, shingle=3):
     w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in words_of(t)]
     if not w:
         return 0
-    sh = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    sh = [b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))]
     h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def slow_components(prints):
+def slow_components(prints, max_bits=2):
     label = list(range(len(prints)))
 
     def find(x):
@@ -61,7 +61,7 @@ def slow_components(prints):
 
     for i, a in enumerate(prints):
         for j in range(i):
-            if (a ^ prints[j]).bit_count() <= 2:
+            if (a ^ prints[j]).bit_count() <= max_bits:
                 label[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(prints))]
 

@@ -28,7 +28,7 @@ def test_stages(spark, tmp_path):
 
     b = keep(stages[names[1]](spark, a, folder), "t")
     were = sorted(pairs(a))
-    of = slow_components([slow_fingerprint(t) for _, t in were])
+    of = slow_components([slow_fingerprint(t, corpus_pipeline.SHINGLE) for _, t in were], corpus_pipeline.MAX_BITS)
     assert b.columns == columns and pairs(b) == {were[i] for i in set(of)}
 
     c = keep(stages[names[2]](spark, b, folder), "t")
