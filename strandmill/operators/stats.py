@@ -83,6 +83,27 @@ def against_reference(df: DataFrame, group: str, carrier: Column, is_reference:
     return per.join(F.broadcast(ref), how="cross")  # one row
 
 
+def against_reference_by(df: DataFrame, block: str, group: str, carrier: Column, is_reference: Column) -> DataFrame:
+    """The same within each block; groups without rows in a block have none."""
+    ref = df.groupBy(block).agg(F.count_if(carrier & is_reference).alias("n_pos_ref"), F.count_if(is_reference).alias("n_tot_ref"))
+    per = df.where(F.col(group).isNotNull()).groupBy(block, group).agg(F.count_if(carrier).alias("n_pos_group"), F.count(F.lit(1)).alias("n_tot_group"))
+    return per.join(ref, block)
+
+
+def class_summary(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Per class: n, median, mean, sd, Cliff's delta against all other classes, and the omnibus p of all.
+
+    Ranks are over all classes at once, so that a class is compared with the rest by its sum of ranks."""
+    known = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group, value, F.lit(1).alias("__one"))
+    ranked = average_ranks(known, ["__one"], value)
+    omnibus = kruskal(known, ["__one"], value, group).select(F.col("n").alias("__all"), chi2_p(F.col("h"), F.col("n_groups") - 1).alias("omnibus_p"))
+    per = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.sum("rank").alias("__r"))
+    out = per.join(F.broadcast(omnibus), how="cross")  # one row
+    n, rest = F.col("n"), F.col("__all") - F.col("n")
+    delta = F.try_divide(2 * (F.col("__r") - n * (n + 1) / 2), n.cast("double") * rest) - 1
+    return out.withColumn("delta_vs_rest", delta).drop("__r", "__all")
+
+
 def length_bins(df: DataFrame, length: str, is_reference: Column, parts: int = 5) -> DataFrame:
     """``df`` with ``length_bin``: which quantile of the reference's lengths a row falls in, null outside their range. Bins are right-closed, the first on both sides."""
     cuts = [i / parts for i in range(parts + 1)]

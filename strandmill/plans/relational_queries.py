@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandmill.functions import scalar as X
 from strandmill.operators import cluster as C
 from strandmill.operators import select as P
+from strandmill.operators import tables as B
 from strandmill.plans.registry import query
 from strandmill.plans.tables import read
 
@@ -43,8 +44,8 @@ def provenance_label(spark, d):
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount <= 0.02 AND l_quantity >= 40 THEN 'strict' WHEN l_discount <= 0.05 AND l_quantity >= 20 THEN 'borderline' END AS tier FROM lineitem WHERE l_discount <= 0.05 AND l_quantity >= 20")
 def tier_filter(spark, d):
     x, q = F.col("l_discount"), F.col("l_quantity")
-    tier = F.when((x <= 0.02) & (q >= 40), "strict").when((x <= 0.05) & (q >= 20), "borderline")
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tier.alias("tier")).where("tier IS NOT NULL")
+    tiers = [("strict", (x <= 0.02) & (q >= 40)), ("borderline", (x <= 0.05) & (q >= 20))]
+    return B.tiered(read(spark, d, "lineitem"), tiers).select("l_orderkey", "l_linenumber", "tier")
 
 
 @query("WITH a AS (SELECT l_partkey AS k, max_by(l_shipmode, ord) AS v FROM (SELECT l_partkey, l_returnflag AS l_shipmode, l_orderkey * 10 + l_linenumber AS ord FROM lineitem) GROUP BY 1), b AS (SELECT p_size AS k, max_by(p_brand, p_partkey) AS v FROM part GROUP BY 1) SELECT p_partkey, coalesce(a.v, b.v) AS label, CASE WHEN a.v IS NOT NULL THEN 'thrice' WHEN b.v IS NOT NULL THEN 'p_size' ELSE 'none' END AS matched_by FROM part LEFT JOIN a ON p_partkey * 3 = a.k LEFT JOIN b ON p_size + 3 = b.k")
