@@ -19,8 +19,8 @@ pairs are counted first, in shards by the word after it, whose files its shards
 The number of shards grows with the tokens. The driver sees numbers of shards and parts, and
 a number for each word that is dealt out.
 
-Words that make less than 1 / 2**20 of all tokens are known by 61 bits of a hash and counted
-by a join on the word; the others, at most 2**20, by a table that every worker holds.
+The most frequent words, at most ``TABLE_WORDS``, are known by a table that every worker holds;
+the others by 61 bits of a hash, and they are counted by a join on the word.
 
 A null or empty text is one end token. A null id counts as the text ""."""
 
@@ -28,10 +28,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,10 @@ from strandmill.llm._common import fresh_dir, keep, prepare, raw, read_mapped, s
 
 #: The end of a text, which no word equals.
 END = b"\n"
-TABLE_SHARE = 1 << 20
+#: Words in the table that every worker holds, at most.
+TABLE_WORDS = 1 << 19
+#: Different words that a task counts before it gives them on.
+COUNTED = 1 << 18
 #: A pair or triple is held from this count on.
 LEAST = 2
 #: Tokens to a shard, and tokens that a task deals at once.
@@ -312,24 +316,52 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _counted(docs: DataFrame, count, schema: str) -> DataFrame:
-    """Sums of what ``count`` finds in batches of texts: (keys, numbers)."""
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts end to end, A-Z in lower case, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words, many = parts.flatten(), pc.list_value_length(parts).to_numpy()
+    full = pc.binary_length(words).to_numpy() > 0
+    if not full.all():
+        many = np.bincount(np.repeat(np.arange(len(many)), many)[full], minlength=len(many))
+        words = words.filter(pa.array(full))
+    return words.view(pa.binary()), many
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """Each different word of the texts, and ``END``, with its number: (key, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            keys, n = count([x.as_py() for x in b.column(0)])
-            yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64())], names=["key", "n"])
+        c: Counter = Counter()
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["key", "n"])
+
+        for b in small(batches, 4000, 16 << 20):
+            if b.num_rows:
+                found = pc.value_counts(_split(b.column(0))[0])
+                c.update(dict(zip(found.field(0).to_pylist(), found.field(1).to_pylist())))
+                c[END] += b.num_rows
+            if len(c) > COUNTED:
+                yield given()
+                c.clear()
+        yield given()
+
+    return docs.select(raw("text").alias("t")).mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
 
-    return docs.select(raw("text").alias("t")).mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
+def _squeeze(codes: np.ndarray, codec: pa.Codec) -> bytes:
+    """Unsigned 32-bit integers, compressed by place of the byte."""
+    return codec.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
 
 
-def _ids(texts: list[bytes], known: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Each text's words and its end, their ids end to end (-1: none), and where each text starts."""
-    words = [t.lower().split() for t in texts]
-    for w in words:
-        w.append(END)
-    starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-    return words, np.fromiter(map(known.get, chain.from_iterable(words), repeat(-1)), np.int64, int(starts[-1])), starts
+def _spread(data: bytes, n: int, codec: pa.Codec) -> np.ndarray:
+    planes = np.frombuffer(codec.decompress(data, 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _hashed(word: Column) -> Column:
+    """The code of a word that is not in the table."""
+    return F.shiftrightunsigned(F.xxhash64(word), 3).bitwiseOR(F.lit(HASHED))
 
 
 def _histories(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -370,21 +402,21 @@ def _chunks(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(ids), CHUNK):
             yield from use(*(x[at : at + CHUNK] for x in (row, train, a, b, ids, n)))
 
+    codec = pa.Codec("zstd")
     for batch in small(batches):
-        row, held, codes, rare, counts = (batch.column(i) for i in range(5))
-        known, starts = counts.flatten(), counts.offsets.to_numpy() - (counts.offsets[0].as_py() if len(counts) else 0)
-        known_codes, known_n = (known.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-        for k, (r, h, c, x) in enumerate(zip(row.to_pylist(), held.to_pylist(), codes, rare)):
-            ids = np.frombuffer(c.as_py(), "<i4").astype(np.int64)
-            n = np.zeros(len(ids), np.int64)
-            off = np.flatnonzero(ids < 0)
+        row, held, many, codes, known = (batch.column(i) for i in range(5))
+        items, starts = known.flatten(), known.offsets.to_numpy() - (known.offsets[0].as_py() if len(known) else 0)
+        place, code, count = (items.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        for k, (r, h, m, c) in enumerate(zip(row.to_pylist(), held.to_pylist(), many.to_pylist(), codes)):
+            ids = _spread(c.as_py(), m, codec)
+            n = np.zeros(m, np.int64)
+            off = np.flatnonzero(ids & 1)
+            ids >>= 1
             if len(off):
-                ids[off] = np.frombuffer(x.as_py(), "<i8")
-                mine = slice(starts[k], starts[k + 1])
-                if mine.start < mine.stop:
-                    o = np.argsort(known_codes[mine])
-                    n[off] = known_n[mine][o[known_codes[mine].searchsorted(ids[off], sorter=o)]]
-                    ids[off[n[off] < LEAST]] = SELDOM
+                which, mine = ids[off], slice(starts[k], starts[k + 1])
+                own, own_n = np.full(int(which.max()) + 1, SELDOM), np.zeros(int(which.max()) + 1, np.int64)
+                own[place[mine]], own_n[place[mine]] = code[mine], count[mine]
+                ids[off], n[off] = own[which], own_n[which]
             parts.append((np.array([r]), np.array([not h]), ids, n, np.array([len(ids)])))
             size += len(ids)
             if size >= CHUNK:
@@ -394,72 +426,70 @@ def _chunks(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
         yield from emit()
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, table_words: int = TABLE_WORDS) -> DataFrame:
     """Per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = prepare(docs.sparkSession)
     sc = spark.sparkContext
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
     training = rows.where(~F.col("held_out"))
 
-    def count_words(texts: list[bytes]):
-        c: Counter = Counter()
-        for t in texts:
-            c.update(t.lower().split())
-        if texts:
-            c[END] += len(texts)
-        return pa.array(list(c.keys()), pa.binary()), list(c.values())
-
-    words = keep(_counted(training, count_words, "key binary, n long"), "words")
+    words = keep(_counted(training), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     denominator = total + distinct + 1
-    # at most TABLE_SHARE words make that share of all tokens
-    table = words.where(F.col("n") * TABLE_SHARE >= total).toPandas() if total else words.limit(0).toPandas()
+    # different counts are at most the square root of twice the tokens
+    by_count = sorted(words.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["n"])
+    upto = np.cumsum([r["k"] for r in by_count])
+    inside = int((upto <= table_words).sum())
+    table = words.where(F.col("n") >= by_count[inside - 1]["n"]).toPandas() if inside else words.limit(0).toPandas()
     names, counts = [bytes(x) for x in table["key"]], table["n"].to_numpy(np.int64)
     order = sorted(range(len(names)), key=lambda i: (-counts[i], names[i]))
     names, counts = [names[i] for i in order], counts[order]
     odds = (counts + 1) / denominator
-    every = sc.broadcast(({w: i for i, w in enumerate(names)}, odds))
+    every, chances = sc.broadcast(({w: i for i, w in enumerate(names)}, odds)), sc.broadcast(odds)
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, held_out boolean, row long, n_tokens long, n_known long, base_score double, codes binary, others binary, rare array<struct<word:binary,code:long,n:int>>"
+    schema = f"`{id_col}` {id_type}, held_out boolean, row long, n_tokens long, n_known long, base_score double, codes binary, rare array<struct<word:binary,n:int>>"
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
         index, one = every.value
-        logs = np.log10(one)
-        for batch in small(batches):
-            texts = [x.as_py() for x in batch.column(3)]
-            if not texts:
+        logs, codec = np.log10(one), pa.Codec("zstd")
+        for batch in small(batches, 4000, 16 << 20):
+            if not batch.num_rows:
                 continue
-            words, ids, starts = _ids(texts, index)
+            words, many = _split(batch.column(3))
+            words = words.dictionary_encode()
+            names = [*words.dictionary.to_pylist(), END]
+            at = np.insert(words.indices.to_numpy().astype(np.int64), np.cumsum(many), len(names) - 1)
+            many = many + 1
+            starts = np.concatenate([[0], np.cumsum(many)])
+            ids = np.fromiter(map(index.get, names, repeat(-1)), np.int64, len(names))[at]
             base = np.where(ids >= 0, logs[ids] if len(logs) else 0.0, 0.0)
-            codes, others, rare = [], [], []
-            for k, w in enumerate(words):
-                own = ids[starts[k] : starts[k + 1]]
-                off = [w[i] for i in np.flatnonzero(own < 0).tolist()]
-                number = {x: xxh3_64_intdigest(x) >> 3 | HASHED for x in set(off)}
-                codes.append(own.astype("<i4").tobytes())
-                others.append(np.array([number[x] for x in off], "<i8").tobytes())
-                rare.append([{"word": x, "code": number[x], "n": n} for x, n in Counter(off).items()])
+            # a word that is not in the table is known by its place among such words of the row
+            off = np.flatnonzero(ids < 0)
+            of = np.repeat(np.arange(len(many)), many)[off]
+            found, which, times = np.unique(of * len(names) + at[off], return_inverse=True, return_counts=True)
+            begins = np.searchsorted(found, np.arange(len(many) + 1) * len(names))
+            codes = 2 * ids
+            codes[off] = 2 * (which - begins[of]) + 1
+            rare = pa.StructArray.from_arrays([pa.array([names[i] for i in (found % len(names)).tolist()], pa.binary()), pa.array(times, pa.int32())], names=["word", "n"])
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i) for i in range(3)),
-                    pa.array(np.diff(starts)),
+                    pa.array(many, pa.int64()),
                     pa.array(np.add.reduceat((ids >= 0).astype(np.int64), starts[:-1])),
                     pa.array(np.add.reduceat(base, starts[:-1])),
-                    pa.array(codes, pa.binary()),
-                    pa.array(others, pa.binary()),
-                    pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("code", pa.int64()), ("n", pa.int32())]))),
+                    pa.array([_squeeze(codes[a:b], codec) for a, b in zip(starts[:-1], starts[1:])], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(begins, pa.int32()), rare),
                 ],
-                names=[id_col, "held_out", "row", "n_tokens", "n_known", "base_score", "codes", "others", "rare"],
+                names=[id_col, "held_out", "row", "n_tokens", "n_known", "base_score", "codes", "rare"],
             )
 
     numbered = rows.select(id_col, "held_out", F.monotonically_increasing_id().alias("row"), raw("text").alias("t"))
     coded = keep(numbered.mapInArrow(code, schema), "coded")
-    exploded = coded.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("key"), F.col("r.code").alias("code"), F.col("r.n").alias("k"))
+    exploded = coded.select("row", F.posexplode("rare").alias("place", "r")).select("row", "place", F.col("r.word").alias("key"), F.col("r.n").alias("k"))
     found = F.coalesce("n", F.lit(0))
     seen = F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).cast("long")
-    rest = exploded.join(words, "key", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10((found + 1) / F.lit(float(denominator)))).alias("rest"), F.sum(seen).alias("more"), F.collect_list(F.struct("code", found.alias("n"))).alias("counts"))
+    held = F.when(F.col("n") >= LEAST, F.struct("place", _hashed(F.col("key")).alias("code"), "n"))
+    rest = exploded.join(words, "key", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10((found + 1) / F.lit(float(denominator)))).alias("rest"), F.sum(seen).alias("more"), F.collect_list(held).alias("known"))
     rest = keep(rest, "rest")
 
     cold = max(sc.defaultParallelism, -(-total // shard_tokens))
@@ -493,11 +523,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
             write_once(f"{folder}/hot-{part}.trie", data)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([mass])], names=["part", "mass"])
 
-    none = F.array().cast("array<struct<code:bigint,n:bigint>>")
     hot_left = np.ones(len(hot))
     hot_built = set()
     if len(hot):
-        dealt = coded.where(~F.col("held_out")).select("row", "held_out", "codes", "others", none.alias("counts")).mapInArrow(count_hot, _DEALT)
+        each = F.transform("rare", lambda x, i: F.struct(i.alias("place"), _hashed(x["word"]).alias("code"), F.lit(LEAST).cast("long").alias("n")))
+        dealt = coded.where(~F.col("held_out")).select("row", "held_out", "n_tokens", "codes", each.alias("known")).mapInArrow(count_hot, _DEALT)
         for r in dealt.repartitionById(int(offset[-1]), F.col("shard")).mapInArrow(build_hot, "part int, mass double").collect():
             hot_built.add(r["part"])
             hot_left[offset.searchsorted(r["part"], "right") - 1] -= r["mass"]
@@ -539,7 +569,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         yield from _chunks(batches, use)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = every.value[1]
+        one = chances.value
         packets, parts, size, shard = [], [], 0, None
         for batch in batches:
             for shard, ngrams, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
@@ -596,11 +626,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         if out:
             yield emitted()
 
-    asked = coded.join(rest.select("row", "counts"), "row", "left").select("row", "held_out", "codes", "others", F.coalesce("counts", none).alias("counts")).mapInArrow(deal, _DEALT)
+    none = F.array().cast("array<struct<place:int,code:bigint,n:bigint>>")
+    met = coded.select("row", "held_out", "n_tokens", "codes").join(rest.select("row", "known"), "row", "left")
+    asked = met.withColumn("known", F.coalesce("known", none)).mapInArrow(deal, _DEALT)
     gains = asked.repartitionById(cold + int(offset[-1]), F.col("shard")).mapInArrow(answer, "row long, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
     zero = lambda c, z: F.coalesce(F.col(c), F.lit(z))
     base = F.col("base_score") + zero("rest", 0.0)
-    return coded.drop("codes", "others", "rare").join(rest.drop("counts"), "row", "left").join(gains, "row", "left").select(
+    return coded.drop("codes", "rare").join(rest.drop("known"), "row", "left").join(gains, "row", "left").select(
         id_col,
         "held_out",
         "n_tokens",

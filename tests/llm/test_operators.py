@@ -441,8 +441,8 @@ def test_elias_fano():
             assert (at == np.searchsorted(v, x)).all() and (equal == np.isin(x, v)).all()
 
 
-@pytest.mark.parametrize("shard_tokens", [ngram_lm.SHARD_TOKENS, 120])
-def test_language_model(spark, shard_tokens):
+@pytest.mark.parametrize("shard_tokens, table_words", [(ngram_lm.SHARD_TOKENS, ngram_lm.TABLE_WORDS), (120, ngram_lm.TABLE_WORDS), (120, 20), (ngram_lm.SHARD_TOKENS, 0)])
+def test_language_model(spark, shard_tokens, table_words):
     df = documents(spark)
     rows = [(r.doc_id, r.text) for r in df.collect()]
     tokens = lambda t: [*(bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words_of(t)), b"\n"]
@@ -468,7 +468,7 @@ def test_language_model(spark, shard_tokens):
             out = max(three.get((a, b, w), 0) - 0.75, 0) / two[a, b] + (1 - after(three, (a, b)) / two[a, b]) * out
         return out
 
-    got = sorted((tuple(r) for r in ngram_lm.score(df, shard_tokens=shard_tokens).collect()), key=str)
+    got = sorted((tuple(r) for r in ngram_lm.score(df, shard_tokens=shard_tokens, table_words=table_words).collect()), key=str)
     want = []
     for d, t in rows:
         w = tokens(t)
