@@ -26,7 +26,6 @@ A null or empty text is one end token. A null id counts as the text ""."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -42,8 +41,6 @@ from strandmill.llm._common import fresh_dir, keep, prepare, raw, read_mapped, s
 END = b"\n"
 #: Words in the table that every worker holds, at most.
 TABLE_WORDS = 1 << 19
-#: Different words that a task counts before it gives them on.
-COUNTED = 1 << 18
 #: A pair or triple is held from this count on.
 LEAST = 2
 #: Tokens to a shard, and tokens that a task deals at once.
@@ -113,22 +110,35 @@ class EliasFano:
         high = 64 * w + self._bit(self.high[w], i - self.ones[w]) - i
         return high << self.low_bits | self._low(i)
 
-    def _from(self, h: np.ndarray) -> np.ndarray:
-        """How many values have a high part below ``h``."""
-        out = np.where(h > self.top, self.n, 0)
-        some = np.flatnonzero((h > 0) & (h <= self.top))
+    def _span(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many values have a high part below ``h``, and how many one up to ``h``."""
+        lo, hi = np.full(len(h), self.n), np.full(len(h), self.n)
+        some = np.flatnonzero(h <= self.top)
         if len(some):
-            r = h[some] - 1  # the zero before the first value of h
             zeros = 64 * np.arange(len(self.ones)) - self.ones
-            w = zeros.searchsorted(r, "right") - 1
-            out[some] = 64 * w + self._bit(~self.high[w], r - zeros[w]) - r
-        return out
+
+            def zero(r):
+                w = zeros.searchsorted(r, "right") - 1
+                return 64 * w + self._bit(~self.high[w], r - zeros[w])
+
+            g = h[some]
+            # the zero before the first value of h, and the next one: mostly in the same word
+            at = np.zeros(len(g), np.int64)
+            later = np.flatnonzero(g > 0)
+            at[later] = zero(g[later] - 1) + 1
+            rest = ~self.high[at >> 6] >> (at & 63).astype(np.uint64)
+            end = at + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
+            far = np.flatnonzero(rest == 0)
+            end[far] = zero(g[far])
+            lo[some], hi[some] = at - g, end - g
+        return lo, hi
 
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first place from ``lo`` up to ``hi`` whose value is at least ``x``, and whether it equals ``x``."""
         h, low = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
-        a = np.clip(self._from(h), lo, hi)
-        end = b = np.clip(self._from(h + 1), a, hi)
+        a, b = self._span(h)
+        a = np.clip(a, lo, hi)
+        end = b = np.clip(b, a, hi)
         b = b.copy()
         # in between only low parts differ
         while (open_ := np.flatnonzero(a < b)).size:
@@ -265,11 +275,13 @@ class Shard:
         return self._under(self.pairs, self.left, b, w)
 
     def triple(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same of triples."""
-        node = np.full(len(b), -1)
-        some = np.flatnonzero((b >= 0) & (a >= 0))
-        node[some] = self.before.find(b[some], a[some])
-        return self._under(self.triples, self.before.value, node, w)
+        """The same of triples. Contexts that stand together are looked up once."""
+        new = np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]))[: len(b)]
+        own_a, own_b = a[new], b[new]
+        node = np.full(len(own_b), -1)
+        some = np.flatnonzero((own_b >= 0) & (own_a >= 0))
+        node[some] = self.before.find(own_b[some], own_a[some])
+        return self._under(self.triples, self.before.value, node[np.cumsum(new) - 1], w)
 
     @staticmethod
     def _under(level: Level, left: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,20 +343,10 @@ def _counted(docs: DataFrame) -> DataFrame:
     """Each different word of the texts, and ``END``, with its number: (key, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-
-        def given() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["key", "n"])
-
-        for b in small(batches, 4000, 16 << 20):
+        for b in small(batches, 8000, 32 << 20):
             if b.num_rows:
-                found = pc.value_counts(_split(b.column(0))[0])
-                c.update(dict(zip(found.field(0).to_pylist(), found.field(1).to_pylist())))
-                c[END] += b.num_rows
-            if len(c) > COUNTED:
-                yield given()
-                c.clear()
-        yield given()
+                found = pc.value_counts(pa.concat_arrays([_split(b.column(0))[0], pa.array([END] * b.num_rows)]))
+                yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["key", "n"])
 
     return docs.select(raw("text").alias("t")).mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -428,6 +430,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, table_words: int = TABLE_WORDS) -> DataFrame:
     """Per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+    if table_words > TABLE_WORDS:
+        raise ValueError(f"a table holds {TABLE_WORDS} words at most")  # so that three codes make a 64-bit integer
     spark = prepare(docs.sparkSession)
     sc = spark.sparkContext
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
@@ -444,6 +448,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     names, counts = [bytes(x) for x in table["key"]], table["n"].to_numpy(np.int64)
     order = sorted(range(len(names)), key=lambda i: (-counts[i], names[i]))
     names, counts = [names[i] for i in order], counts[order]
+    in_table = len(names)
     odds = (counts + 1) / denominator
     every, chances = sc.broadcast(({w: i for i, w in enumerate(names)}, odds)), sc.broadcast(odds)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -546,9 +551,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
             number = begins[part_of.searchsorted(row[ok] >> 33)] + (row[ok] & ((1 << 33) - 1))
             a, b, w, n, train = a[ok], b[ok], w[ok], np.where(w[ok] == SELDOM, 0, n[ok]), train[ok].astype(np.int64)
             a[a == SELDOM] = -1
-            codes, ids = np.unique(np.concatenate([a, b, w]), return_inverse=True)
-            x, y, z = ids.reshape(3, len(ok))
-            key = (y * len(codes) + x) * len(codes) + z
+            # one number for three codes: those of the table as they are, the others by rank
+            codes = np.concatenate([a, b, w]) + 1
+            far = np.flatnonzero(codes > in_table)
+            others, ranks = np.unique(codes[far], return_inverse=True)
+            codes[far] = ranks + in_table + 1
+            x, y, z = codes.reshape(3, len(ok))
+            many_codes = in_table + 1 + len(others)
+            key = (y * many_codes + x) * many_codes + z
             o = np.argsort(key)
             key, number = key[o], number[o]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
