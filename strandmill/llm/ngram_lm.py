@@ -14,7 +14,7 @@ the last value before each context, and kept in Elias-Fano code, with monotone p
 in Elias-Fano code, to where each context's ids start. Both parts of a code are read where
 they lie in the mapped file. Shares and left masses are quantised to 16 bits.
 
-A word that more than half a shard's tokens follow is dealt out by the word before it. Its
+A word that more than a shard's tokens follow is dealt out by the word before it. Its
 pairs are counted first, in shards by the word after it, whose files its shards map as well.
 The number of shards grows with the tokens. The driver sees numbers of shards and parts, and
 a number for each word that is dealt out.
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm._common import fresh_dir, keep, prepare, raw, read_mapped, small, write_once
+from strandmill.llm._common import filesystem, fresh_dir, keep, prepare, raw, read_mapped, small, write_once
 
 #: The end of a text, which no word equals.
 END = b"\n"
@@ -44,7 +44,7 @@ TABLE_WORDS = 1 << 19
 #: A pair or triple is held from this count on.
 LEAST = 2
 #: Tokens to a shard, and tokens that a task deals at once.
-SHARD_TOKENS, CHUNK = 4_000_000, 1_000_000
+SHARD_TOKENS, CHUNK = 2_000_000, 1_000_000
 DISCOUNT = 0.75
 #: Quantised values run from 0 to minus this.
 RANGE = 16.0
@@ -392,9 +392,37 @@ def _dealt(shard: np.ndarray, packed) -> Iterator[pa.RecordBatch]:
 _DEALT = "shard int, ngrams binary, rows binary"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
+class Beside:
+    """What is known of the words outside the table, by row: places in the row, codes and counts.
+
+    It lies beside the coded rows, in a folder for each of their parts, and is read part by part."""
+
+    def __init__(self, uri: str) -> None:
+        self.uri, self.part, self.held = uri, None, {}
+
+    def of(self, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        if row >> 33 != self.part:
+            from pyarrow import fs, parquet
+
+            self.part, self.held = row >> 33, {}
+            system, path = filesystem(f"{self.uri}/part={self.part}")
+            for file in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+                if file.base_name.endswith(".parquet"):
+                    table = parquet.read_table(file.path, filesystem=system, columns=["row", "known"], partitioning=None).combine_chunks()
+                    known = table["known"].combine_chunks() if table.num_rows else None
+                    if known is not None:
+                        items, ends = known.flatten(), (known.offsets.to_numpy() - known.offsets[0].as_py()).tolist()
+                        fields = [items.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                        for r, a, b in zip(table["row"].to_pylist(), ends, ends[1:]):
+                            self.held[r] = tuple(x[a:b] for x in fields)
+        return self.held.get(row)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], use, beside: Beside | None = None) -> Iterator[pa.RecordBatch]:
     """Calls ``use(row, train, a, b, w, n)`` on stretches of tokens of coded rows: number of the row, whether it is
-    of training, codes of the two tokens before (-1: none) and of the token, and its count if it is not in the table."""
+    of training, codes of the two tokens before (-1: none) and of the token, and its count if it is not in the table.
+
+    Without ``beside`` the rows bring their words outside the table, as codes in order of their places."""
     parts, size = [], 0
 
     def emit() -> Iterator[pa.RecordBatch]:
@@ -406,19 +434,21 @@ def _chunks(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
 
     codec = pa.Codec("zstd")
     for batch in small(batches):
-        row, held, many, codes, known = (batch.column(i) for i in range(5))
-        items, starts = known.flatten(), known.offsets.to_numpy() - (known.offsets[0].as_py() if len(known) else 0)
-        place, code, count = (items.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        row, held, many, codes = (batch.column(i) for i in range(4))
         for k, (r, h, m, c) in enumerate(zip(row.to_pylist(), held.to_pylist(), many.to_pylist(), codes)):
             ids = _spread(c.as_py(), m, codec)
             n = np.zeros(m, np.int64)
             off = np.flatnonzero(ids & 1)
             ids >>= 1
             if len(off):
-                which, mine = ids[off], slice(starts[k], starts[k + 1])
-                own, own_n = np.full(int(which.max()) + 1, SELDOM), np.zeros(int(which.max()) + 1, np.int64)
-                own[place[mine]], own_n[place[mine]] = code[mine], count[mine]
-                ids[off], n[off] = own[which], own_n[which]
+                which = ids[off]
+                if beside is None:
+                    ids[off] = batch.column(4)[k].values.to_numpy()[which]
+                else:
+                    own, own_n = np.full(int(which.max()) + 1, SELDOM), np.zeros(int(which.max()) + 1, np.int64)
+                    if (known := beside.of(r)) is not None:
+                        own[known[0]], own_n[known[0]] = known[1:]
+                    ids[off], n[off] = own[which], own_n[which]
             parts.append((np.array([r]), np.array([not h]), ids, n, np.array([len(ids)])))
             size += len(ids)
             if size >= CHUNK:
@@ -495,12 +525,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     seen = F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).cast("long")
     held = F.when(F.col("n") >= LEAST, F.struct("place", _hashed(F.col("key")).alias("code"), "n"))
     rest = exploded.join(words, "key", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10((found + 1) / F.lit(float(denominator)))).alias("rest"), F.sum(seen).alias("more"), F.collect_list(held).alias("known"))
-    rest = keep(rest, "rest")
+    known, parted = fresh_dir(spark, "rest"), rest.withColumn("part", F.shiftright("row", 33))
+    parted.repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(known)
+    rest = spark.read.schema(parted.schema).parquet(known)
 
     cold = max(sc.defaultParallelism, -(-total // shard_tokens))
-    # words that more than half a shard's tokens follow: at most twice as many as there are shards
+    # words that more than a shard's tokens follow: fewer than there are shards
     ends = {END}
-    hot = np.array([1 if w in ends else -(-2 * int(n) // shard_tokens) for w, n in zip(names, counts) if 2 * n > shard_tokens], np.int64)
+    hot = np.array([1 if w in ends else -(-2 * int(n) // shard_tokens) for w, n in zip(names, counts) if n > shard_tokens], np.int64)
     offset = np.concatenate([[0], np.cumsum(hot)])
     folder = fresh_dir(spark, "lm")
 
@@ -531,8 +563,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     hot_left = np.ones(len(hot))
     hot_built = set()
     if len(hot):
-        each = F.transform("rare", lambda x, i: F.struct(i.alias("place"), _hashed(x["word"]).alias("code"), F.lit(LEAST).cast("long").alias("n")))
-        dealt = coded.where(~F.col("held_out")).select("row", "held_out", "n_tokens", "codes", each.alias("known")).mapInArrow(count_hot, _DEALT)
+        each = F.transform("rare", lambda x: _hashed(x["word"]))
+        dealt = coded.where(~F.col("held_out")).select("row", "held_out", "n_tokens", "codes", each.alias("rare")).mapInArrow(count_hot, _DEALT)
         for r in dealt.repartitionById(int(offset[-1]), F.col("shard")).mapInArrow(build_hot, "part int, mass double").collect():
             hot_built.add(r["part"])
             hot_left[offset.searchsorted(r["part"], "right") - 1] -= r["mass"]
@@ -576,7 +608,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
             yield from _dealt(shard, packed)
 
-        yield from _chunks(batches, use)
+        yield from _chunks(batches, use, Beside(known))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = chances.value
@@ -636,13 +668,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         if out:
             yield emitted()
 
-    none = F.array().cast("array<struct<place:int,code:bigint,n:bigint>>")
-    met = coded.select("row", "held_out", "n_tokens", "codes").join(rest.select("row", "known"), "row", "left")
-    asked = met.withColumn("known", F.coalesce("known", none)).mapInArrow(deal, _DEALT)
+    asked = coded.select("row", "held_out", "n_tokens", "codes").mapInArrow(deal, _DEALT)
     gains = asked.repartitionById(cold + int(offset[-1]), F.col("shard")).mapInArrow(answer, "row long, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
     zero = lambda c, z: F.coalesce(F.col(c), F.lit(z))
     base = F.col("base_score") + zero("rest", 0.0)
-    return coded.drop("codes", "rare").join(rest.drop("known"), "row", "left").join(gains, "row", "left").select(
+    return coded.drop("codes", "rare").join(rest.select("row", "rest", "more"), "row", "left").join(gains, "row", "left").select(
         id_col,
         "held_out",
         "n_tokens",
