@@ -137,6 +137,46 @@ FROM b
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_topk, op4_mixing, op5_warc, op6_pii, op7_quality, op8_bpe, op9_packed_ids, op10_ngram_lm)}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm.merkle import audit, tampered
+
+    return audit(_read(spark, sf_dir, "documents"), tampered())
+
+
+OP12_SQL = """
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g, n_chars,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    coalesce(strlen(text) || ':' || text, '-') AS z,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 7 = 0 AS hit
+  FROM documents
+), l AS (
+  SELECT r, doc_id, g, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS leaf,
+    sha256(a || coalesce(strlen((n_chars + hit::INT)::VARCHAR) || ':' || (n_chars + hit::INT), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) || z) AS seen FROM f
+), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM l),
+nodes AS (
+  SELECT g, 0 AS k, p, leaf AS h, n FROM o
+  UNION ALL SELECT g, any_value(k) + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY g, p // 2
+), subs AS (SELECT g, h, k, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS k, p, h, n FROM subs
+  UNION ALL SELECT any_value(k) + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), (any_value(n) + 1) // 2 FROM tops WHERE n > 1 GROUP BY p // 2
+), beside AS (
+  SELECT o.r, s.k, s.p % 2 AS right_, s.h FROM o JOIN nodes s ON s.g = o.g AND s.p = xor(o.p >> s.k, 1)
+  UNION ALL SELECT o.r, 1000 + s.k, s.p % 2, s.h FROM o JOIN subs u USING (g) JOIN tops s ON s.p = xor(u.p >> s.k, 1)
+), proofs AS (SELECT r, sha256(string_agg(h, '' ORDER BY k)) AS proof FROM beside GROUP BY r),
+up AS (
+  SELECT o.r, 0 AS k, o.seen AS h, u.k AS own, u.k + (SELECT max(k) FROM tops) AS last FROM o JOIN subs u USING (g)
+  UNION ALL
+  SELECT up.r, up.k + 1, sha256(CASE WHEN b.right_ = 0 THEN b.h ELSE '' END || up.h || CASE WHEN b.right_ = 1 THEN b.h ELSE '' END), own, last
+  FROM up LEFT JOIN beside b ON b.r = up.r AND b.k = CASE WHEN up.k < own THEN up.k ELSE 1000 + up.k - own END WHERE up.k < last
+)
+SELECT doc_id, leaf, u.h AS subroot, t.h AS root, coalesce(proof, sha256('')) AS proof_sha256, up.h AS folded_root, up.h = t.h AS verified
+FROM o JOIN subs u USING (g) JOIN up ON up.r = o.r AND up.k = up.last LEFT JOIN proofs q ON q.r = o.r JOIN tops t ON t.n = 1
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_topk, op4_mixing, op5_warc, op6_pii, op7_quality, op8_bpe, op9_packed_ids, op10_ngram_lm, op12_merkle)}
 
-ORACLES = {"op2_substring": OP2_SQL, "op3_topk": OP3_SQL, "op5_warc": OP5_SQL, "op7_quality": OP7_SQL}
+ORACLES = {"op2_substring": OP2_SQL, "op3_topk": OP3_SQL, "op5_warc": OP5_SQL, "op7_quality": OP7_SQL, "op12_merkle": OP12_SQL}
