@@ -137,6 +137,16 @@ FROM b
 """
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from strandmill.llm.packing import pack
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    return pack(_read(spark, sf_dir, "documents"), tokenizer, 2, 1024, digests=True)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandmill.llm.merkle import audit, tampered
 
@@ -177,6 +187,32 @@ FROM o JOIN subs u USING (g) JOIN up ON up.r = o.r AND up.k = up.last LEFT JOIN
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_topk, op4_mixing, op5_warc, op6_pii, op7_quality, op8_bpe, op9_packed_ids, op10_ngram_lm, op12_merkle)}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm.divergence import audit
+
+    return audit(_read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT d.lang, d.source, coalesce(any_value(s.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) s USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + v)::HUGEINT)::BIGINT AS p, (1 + 1000000000::HUGEINT * (k.n + 1) // (l.n + v)::HUGEINT)::BIGINT AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(s.value), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p)::BIGINT AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source GROUP BY ALL),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+u AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM u WHERE part = 'pair' OR rank <= 200
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_topk, op4_mixing, op5_warc, op6_pii, op7_quality, op8_bpe, op9_packed_ids, op10_ngram_lm, op11_packing, op12_merkle, op13_divergence)}
 
-ORACLES = {"op2_substring": OP2_SQL, "op3_topk": OP3_SQL, "op5_warc": OP5_SQL, "op7_quality": OP7_SQL, "op12_merkle": OP12_SQL}
+ORACLES = {"op2_substring": OP2_SQL, "op3_topk": OP3_SQL, "op5_warc": OP5_SQL, "op7_quality": OP7_SQL, "op12_merkle": OP12_SQL, "op13_divergence": OP13_SQL}
