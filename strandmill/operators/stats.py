@@ -64,14 +64,20 @@ def compare_binary(df: DataFrame, a_pos: str, a_tot: str, b_pos: str, b_tot: str
     )
 
 
-def one_vs_rest(df: DataFrame, group: str, value: str, weight: Column | None = None) -> DataFrame:
-    """Counts of every group and value, zero cells included, against all other groups: n_pos_group, n_tot_group, n_pos_ref, n_tot_ref."""
+def one_vs_rest(df: DataFrame, group: str, value: str, weight: Column | None = None, report_values: list | None = None) -> DataFrame:
+    """Counts of every group and value, zero cells included, against all other groups: n_pos_group, n_tot_group, n_pos_ref, n_tot_ref.
+
+    ``report_values`` names the values that are given, also where none occurs: one side of a feature
+    with two values, say. Totals are over all values. ``weight`` counts rows by a whole number."""
     w = weight if weight is not None else F.lit(1)
     known = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     counts = known.groupBy(group, value).agg(F.sum(w).alias("n"))
     by_group, by_value, all_ = counts.groupBy(group).agg(F.sum("n").alias("n_tot_group")), counts.groupBy(value).agg(F.sum("n").alias("n_value")), counts.agg(F.sum("n").alias("n_all"))
-    # groups and values are vocabularies: every cell is asked for
-    cells = by_group.join(by_value, how="cross").join(all_, how="cross").join(counts, [group, value], "left")
+    if report_values is not None:
+        asked = df.sparkSession.createDataFrame([(v,) for v in report_values], f"`{value}` {df.schema[value].dataType.simpleString()}")
+        by_value = F.broadcast(asked).join(by_value, value, "left").select(value, F.coalesce("n_value", F.lit(0)).alias("n_value"))
+    # groups and values are vocabularies, and a row for each of their pairs is what is asked for
+    cells = by_group.join(by_value, how="cross").join(F.broadcast(all_), how="cross").join(counts, [group, value], "left")
     n = F.coalesce("n", F.lit(0))
     return cells.select(group, value, n.alias("n_pos_group"), "n_tot_group", (F.col("n_value") - n).alias("n_pos_ref"), (F.col("n_all") - F.col("n_tot_group")).alias("n_tot_ref"))
 
@@ -90,20 +96,6 @@ def against_reference_by(df: DataFrame, block: str, group: str, carrier: Column,
     return per.join(ref, block)
 
 
-def class_summary(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Per class: n, median, mean, sd, Cliff's delta against all other classes, and the omnibus p of all.
-
-    Ranks are over all classes at once, so that a class is compared with the rest by its sum of ranks."""
-    known = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group, value, F.lit(1).alias("__one"))
-    ranked = average_ranks(known, ["__one"], value)
-    omnibus = kruskal(known, ["__one"], value, group).select(F.col("n").alias("__all"), chi2_p(F.col("h"), F.col("n_groups") - 1).alias("omnibus_p"))
-    per = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.sum("rank").alias("__r"))
-    out = per.join(F.broadcast(omnibus), how="cross")  # one row
-    n, rest = F.col("n"), F.col("__all") - F.col("n")
-    delta = F.try_divide(2 * (F.col("__r") - n * (n + 1) / 2), n.cast("double") * rest) - 1
-    return out.withColumn("delta_vs_rest", delta).drop("__r", "__all")
-
-
 def length_bins(df: DataFrame, length: str, is_reference: Column, parts: int = 5) -> DataFrame:
     """``df`` with ``length_bin``: which quantile of the reference's lengths a row falls in, null outside their range. Bins are right-closed, the first on both sides."""
     cuts = [i / parts for i in range(parts + 1)]
@@ -176,17 +168,6 @@ def compare_continuous(df: DataFrame, blocks: list[str], value: str, in_group: C
     ).drop("__ties")
 
 
-def group_contrasts(df: DataFrame, group: str, is_reference: Column, metrics: list[str]) -> DataFrame:
-    """``compare_continuous`` of every group and metric against the reference rows: a row per (group, metric).
-
-    The reference's rows are repeated for each group: groups are a vocabulary."""
-    long = df.withColumn("__ref", is_reference).select(group, "__ref", *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot([group, "__ref"], metrics, "metric", "__v").where("__v IS NOT NULL")
-    groups = df.where(F.col(group).isNotNull()).select(F.col(group).alias("__g")).distinct()
-    ours = long.where(F.col(group).isNotNull()).select(F.col(group).alias("__g"), "metric", "__v", F.lit(True).alias("__own"))
-    theirs = long.where("__ref").select("metric", "__v").join(F.broadcast(groups) if groups.count() <= 10_000 else groups, how="cross").select("__g", "metric", "__v", F.lit(False).alias("__own"))
-    return compare_continuous(ours.union(theirs), ["__g", "metric"], "__v", F.col("__own"), ~F.col("__own")).withColumnRenamed("__g", group)
-
-
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: mutual information of two labels, in bits."""
     t = crosstab(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b)

@@ -6,14 +6,19 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import rules as R
 from strandmill.functions import scalar as X
-from strandmill.functions import sequence as S
 from strandmill.operators import cluster as C
 from strandmill.operators import stats as T
 from strandmill.plans.registry import query
-from strandmill.plans.sequence_queries import frac_sql, n_sql
-from strandmill.plans.tables import LABELLED_SQL, SEQUENCES_SQL, labelled, read, sequences
+from strandmill.plans.tables import LABELLED_SQL, labelled, read
 
 six = lambda c: F.round(c, 6)
+
+
+def chi2_sql(x: str, k: str) -> str:
+    """The survival function of the chi-square distribution, by the series of the lower gamma function."""
+    return f"CASE WHEN {x} <= 0 THEN 1 WHEN {x} > 1400 THEN 0 ELSE greatest(0, 1 - (SELECT sum(exp(({k}) / 2.0 * ln({x} / 2.0) - {x} / 2.0 + n * ln({x} / 2.0) - lgamma(({k}) / 2.0 + n + 1))) FROM range(2000) t(n))) END"
+
+
 n_rows = lambda: F.count(F.lit(1))
 
 _OR = "log2(((a + 0.5) * (d + 0.5)) / ((b + 0.5) * (c + 0.5)))"
@@ -98,7 +103,16 @@ def cliffs_delta(spark, d):
     return t.select("metric", "n_group", "n_ref", *(six(F.col(c)).alias(c) for c in ("median_group", "mean_ref", "sd_group", "cliffs_delta")))
 
 
-@query()
+#: Arms of more than eight, so that no test is exact: p is the chi-square's of one degree, of the squared normal deviate.
+_MW = f"""WITH {LABELLED_SQL}, m AS (SELECT * FROM (SELECT c_mktsegment AS g, is_ref, unnest(['acctbal', 'n_lcr', 'residues']) AS metric, unnest([c_acctbal, n_lcr, residues]) AS v FROM lab)),
+k AS (SELECT *, rank() OVER (PARTITION BY metric, g ORDER BY v) + (count(*) OVER (PARTITION BY metric, g, v) - 1) / 2 AS rk, count(*) OVER (PARTITION BY metric, g, v) AS t FROM m),
+s AS (SELECT metric, g, count(*) FILTER (WHERE NOT is_ref)::DOUBLE AS a, count(*) FILTER (WHERE is_ref)::DOUBLE AS b, sum(rk) FILTER (WHERE NOT is_ref) AS r, sum(t::DOUBLE * t - 1) AS t FROM k GROUP BY ALL),
+z AS (SELECT metric, g, r - a * (a + 1) / 2 AS u, (greatest(r - a * (a + 1) / 2, a * b - r + a * (a + 1) / 2) - a * b / 2 - 0.5) / sqrt(a * b / 12 * (a + b + 1 - t / ((a + b) * (a + b - 1)))) AS z FROM s),
+p AS (SELECT metric, g, u, CASE WHEN z <= 0 THEN 1 ELSE {chi2_sql("(z * z)", "1")} END AS p FROM z), f AS (SELECT *, p * count(*) OVER (PARTITION BY metric) / row_number() OVER (PARTITION BY metric ORDER BY p) AS x FROM p)
+SELECT metric, g, u, round(p, 6) AS p_value, round(least(1, min(x) OVER (PARTITION BY metric ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_fdr FROM f"""
+
+
+@query(_MW)
 def mann_whitney(spark, d):
     """The two-sided p values of the same contrasts, per metric and segment."""
     t = T.compare_continuous(_metrics(spark, d), ["metric", "g"], "v", ~F.col("is_ref"), F.col("is_ref"))
@@ -112,7 +126,10 @@ def kruskal_h(spark, d):
     return T.kruskal(labelled(spark, d).withColumn("one", F.lit(1)), ["one"], "c_acctbal", "c_mktsegment").select("n", "n_groups", six(F.col("h")).alias("h"))
 
 
-@query()
+@query(f"""WITH {LABELLED_SQL}, k AS (SELECT c_mktsegment AS g, c_acctbal AS v, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS rk, count(*) OVER (PARTITION BY c_acctbal) AS t FROM lab),
+s AS (SELECT g, sum(rk) AS r, count(*) AS m, sum(t::DOUBLE * t - 1) AS t FROM k GROUP BY 1), q AS (SELECT sum(r * r / m) AS s, sum(m)::DOUBLE AS n, sum(t) AS t, count(*) AS k FROM s),
+h AS (SELECT n, k, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h FROM q)
+SELECT n::BIGINT AS n, round({chi2_sql("h", "k - 1")}, 6) AS p_value, round(h / (n - 1), 6) AS epsilon_squared FROM h""")
 def kruskal_p(spark, d):
     """The omnibus test's p value."""
     t = T.kruskal(labelled(spark, d).withColumn("one", F.lit(1)), ["one"], "c_acctbal", "c_mktsegment")
@@ -220,38 +237,6 @@ def signature_occupancy(spark, d):
     return g.select("g", "n", "n_carriers", "occupancy", X.right_closed(F.col("m"), [9], ["few", "many"]).alias("multiplicity"))
 
 
-def _contrast_sql(table: str, metrics: list[str]) -> str:
-    names, cols = ", ".join(f"'{m}'" for m in metrics), ", ".join(f"{m}::DOUBLE" for m in metrics)
-    return f"""u AS (SELECT g, is_ref, unnest([{names}]) AS metric, unnest([{cols}]) AS v FROM {table}), gs AS (SELECT DISTINCT g FROM u WHERE g IS NOT NULL),
-a AS (SELECT g, metric, v, true AS own FROM u WHERE v IS NOT NULL AND g IS NOT NULL UNION ALL SELECT gs.g, metric, v, false FROM u, gs WHERE is_ref AND v IS NOT NULL),
-k AS (SELECT *, rank() OVER (PARTITION BY g, metric ORDER BY v) + (count(*) OVER (PARTITION BY g, metric, v) - 1) / 2 AS rk FROM a),
-s AS (SELECT g, metric, count(*) FILTER (WHERE own) AS n_group, count(*) FILTER (WHERE NOT own) AS n_ref, median(v) FILTER (WHERE own) AS mg, median(v) FILTER (WHERE NOT own) AS mr, sum(rk) FILTER (WHERE own) AS r FROM k GROUP BY 1, 2)
-SELECT g, metric, n_group, n_ref, round(mg, 6) AS median_group, round(mr, 6) AS median_ref, CASE WHEN n_group >= 2 AND n_ref >= 2 THEN round(2 * (r - n_group * (n_group + 1) / 2) / (n_group::DOUBLE * n_ref) - 1, 6) END AS cliffs_delta, least(n_group, n_ref) < 5 AS descriptive_only FROM s"""
-
-
-def _contrasted(t):
-    return t.select("g", "metric", "n_group", "n_ref", *(six(F.col(c)).alias(c) for c in ("median_group", "median_ref", "cliffs_delta")), "descriptive_only")
-
-
-@query(f"WITH {LABELLED_SQL}, c AS (SELECT c_mktsegment AS g, is_ref, residues / size AS coverage, n_lcr, residues / n_lcr AS mean_length FROM lab WHERE n_lcr > 0), " + _contrast_sql("c", ["coverage", "n_lcr", "mean_length"]))
-def architecture_block(spark, d):
-    """Three metrics of carriers, every group against the reference."""
-    c = labelled(spark, d).where("n_lcr > 0").select(F.col("c_mktsegment").alias("g"), "is_ref", (F.col("residues") / F.col("size")).alias("coverage"), "n_lcr", (F.col("residues") / F.col("n_lcr")).alias("mean_length"))
-    return _contrasted(T.group_contrasts(c, "g", F.col("is_ref"), ["coverage", "n_lcr", "mean_length"]))
-
-
-_COMP = ["frac_A", "frac_S", "frac_G", "frac_aromatic", "fcr", "ncpr"]
-
-
-@query(f"WITH {SEQUENCES_SQL}, c AS (SELECT source AS g, lang = 'en' AS is_ref, {frac_sql('A')} AS frac_A, {frac_sql('S')} AS frac_S, {frac_sql('G')} AS frac_G, {frac_sql(S.AROMATIC)} AS frac_aromatic, {frac_sql('RKDE')} AS fcr, CASE WHEN length(seq) > 0 THEN ({n_sql('RK')} - {n_sql('DE')}) / length(seq) ELSE 0 END AS ncpr FROM p), " + _contrast_sql("c", _COMP))
-def composition_block(spark, d):
-    """Residue and property fractions, every source against one language."""
-    p = sequences(spark, d)
-    f = {**S.composition(F.col("seq")), **S.properties(F.col("seq"))}
-    c = p.select(F.col("source").alias("g"), (F.col("lang") == "en").alias("is_ref"), *(f[m].alias(m) for m in _COMP))
-    return _contrasted(T.group_contrasts(c, "g", F.col("is_ref"), _COMP))
-
-
 @query(f"WITH {LABELLED_SQL} SELECT c_nationkey % 6 - 1 AS cluster, count(*) AS size, round(median(c_acctbal), 6) AS median_c_acctbal, median(residues)::DOUBLE AS median_residues, round(avg((n_lcr > 9)::INT), 6) AS share_rich FROM lab WHERE c_nationkey % 6 - 1 <> -1 GROUP BY 1")
 def cluster_summary(spark, d):
     lab = labelled(spark, d).withColumns({"cluster": F.col("c_nationkey") % 6 - 1, "rich": (F.col("n_lcr") > 9).cast("int")})

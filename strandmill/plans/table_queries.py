@@ -74,16 +74,6 @@ def qc_overview(spark, d):
     return B.overview(read(spark, d, "orders"), "o_custkey", "o_orderpriority", {"open": F.col("o_orderstatus") == "O"})
 
 
-_RANKED = "k AS (SELECT c_mktsegment AS g, c_acctbal AS v, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS rk FROM customer)"
-
-
-@query(f"WITH {_RANKED}, a AS (SELECT count(*) AS al FROM k) SELECT g, count(*) AS n, round(median(v), 6) AS median, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(2 * (sum(rk) - count(*) * (count(*) + 1) / 2) / (count(*)::DOUBLE * (any_value(al) - count(*))) - 1, 6) AS delta_vs_rest FROM k, a GROUP BY g")
-def class_summary(spark, d):
-    """A metric's n, median, mean, sd and delta against the rest, per class; its omnibus p is ``kruskal_p``'s."""
-    s = T.class_summary(read(spark, d, "customer"), "c_mktsegment", "c_acctbal")
-    return s.select(F.col("c_mktsegment").alias("g"), "n", *(six(F.col(c)).alias(c) for c in ("median", "mean", "sd", "delta_vs_rest")))
-
-
 _OR = "CASE WHEN a > 0 AND c > 0 THEN round(log2(((a + 0.5) * (d + 0.5)) / ((b + 0.5) * (c + 0.5))), 6) END"
 
 
