@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from strandmill.llm._common import prepare
 
-#: Parts that a worker remembers at most; beyond, it starts anew. Results do not depend on it.
-REMEMBERED = 1_000_000
+#: Parts, and bytes of parts and their ids, that a worker remembers at most; beyond, it starts anew. Results do not depend on it.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 128 << 20
+# Fixed value: the pattern whose pieces never reach over a single space, so that texts may be cut there.
+CUTTABLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -139,12 +141,13 @@ class Memory:
     def __init__(self, encode) -> None:
         self.encode = encode
         self.known: dict[str, bytes] = {"": b""}
+        self.held = 0
         self.feed = encode(["\n"])[0]
 
     def _learn(self, keys: list[str]) -> None:
         fresh = [k for k in keys if k not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known, fresh = {"": b""}, [k for k in keys if k]
+        if len(self.known) + len(fresh) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.known, self.held, fresh = {"": b""}, 0, [k for k in keys if k]
         # a comma or full stop after a letter or digit is a piece of its own: the stem is learnt alone
         stems = {k: k[:-1] for k in fresh if len(k) > 2 and k[-1] in ".," and k[-2].isalnum()}
         whole = [*{*stems.values(), *(k for k in fresh if k not in stems)}.difference(self.known)]
@@ -152,6 +155,7 @@ class Memory:
         end = dict(zip(".,", ids[-2:]))
         self.known.update((k, self.feed + i if k[0] == "\n" else i) for k, i in zip(whole, ids))
         self.known.update((k, self.known[stem] + end[k[-1]]) for k, stem in stems.items())
+        self.held += sum(map(len, whole)) + sum(map(len, ids)) + sum(len(k) + len(self.known[k]) for k in stems)
 
     def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Each text's ids."""
@@ -181,14 +185,25 @@ class Memory:
                 k += 1
 
 
-_memories: dict[str, Memory] = {}
+class Uncut:
+    """Encodes whole texts, for patterns whose pieces may reach over spaces."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        for ids in self.encode(texts.to_pylist()):
+            yield np.frombuffer(ids, "<u4")
+
+
+_memories: dict[str, Memory | Uncut] = {}
 
 
-def memory(key: str, encode) -> Memory:
-    """The worker's memory under a key, made on first use."""
+def memory(key: str, encode, kind: type = Memory) -> Memory | Uncut:
+    """The worker's encoder under a key, made on first use."""
     if key not in _memories:
         _memories.clear()
-        _memories[key] = Memory(encode())
+        _memories[key] = kind(encode())
     return _memories[key]
 
 
@@ -245,7 +260,7 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), types])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = memory(key, lambda: merge_encoder(Merges(shipped.value), pattern))
+        held = memory(key, lambda: merge_encoder(Merges(shipped.value), pattern), Memory if pattern == CUTTABLE else Uncut)
         token = _tokens(shipped.value)
         decimal = [str(i) for i in range(len(token))]
         for b in batches:

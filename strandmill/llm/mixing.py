@@ -91,10 +91,11 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: str = "mi
     ``mix_blocks`` lists the document's pieces in order: words (from, to) and how often the mix takes them."""
     prepare(docs.sparkSession)
     own = ["size", "source_size", "target", "taken", "mix_blocks"]
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (*own, text_col)]
-    # words are counted once
-    sized = cut(docs.select(*rest, *_asked(source_col, order_col, text_col)))
-    return _planned(sized, weights, max_epochs, seed, **shards).select(*rest, *(F.col(f"__mix_{c.removeprefix('mix_')}").alias(c) for c in own))
+    rest = [c for c in docs.columns if c not in (*own, text_col)]
+    # words are counted once; the input's columns go along in one, whatever their names
+    sized = cut(docs.select(F.struct(F.lit(0), *(F.col(f"`{c}`") for c in rest)).alias("__mix_doc"), *_asked(source_col, order_col, text_col)))
+    planned = _planned(sized, weights, max_epochs, seed, **shards)
+    return planned.select(*(F.col("__mix_doc").getField(c).alias(c) for c in rest), *(F.col(f"__mix_{c.removeprefix('mix_')}").alias(c) for c in own))
 
 
 def mixed_documents(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: str = "mix", source_col: str = "source", text_col: str = "text", order_col: str = "doc_id", n_chars_col: str = "n_chars", **shards) -> DataFrame:
@@ -107,15 +108,16 @@ def mixed_documents(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, see
     stored, row = numbered(docs, "docs")
     sized = cut(stored.select(row, *_asked(source_col, order_col, text_col)))
     plan = _planned(sized, weights, max_epochs, seed, **shards).where("__mix_taken > 0").select(row, "__mix_blocks")
-    rounds = stored.join(plan, row).withColumn("__mix_round", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("__mix_blocks", lambda b: b["times"])).cast("int"))))
-    words = F.filter(F.split(F.col(text_col), GAP), lambda w: w != "")
+    whole = stored.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__mix_doc"), F.col(f"`{text_col}`").alias("__mix_text"), row)
+    rounds = whole.join(plan, row).withColumn("__mix_round", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("__mix_blocks", lambda b: b["times"])).cast("int"))))
+    words = F.filter(F.split("__mix_text", GAP), lambda w: w != "")
     here = F.filter("__mix_blocks", lambda b: b["times"] >= F.col("__mix_round"))
     some = F.array_join(F.flatten(F.transform(here, lambda b: F.slice(words, b["from"].cast("int") + 1, (b["to"] - b["from"]).cast("int")))), " ")
-    text = F.when(F.size(here) == F.size("__mix_blocks"), F.col(text_col)).otherwise(some)
-    out = rounds.withColumn(text_col, text)
+    out = rounds.withColumn("__mix_text", F.when(F.size(here) == F.size("__mix_blocks"), F.col("__mix_text")).otherwise(some))
+    new = {text_col: F.col("__mix_text")}
     if n_chars_col in docs.columns:
-        out = out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        new[n_chars_col] = F.length("__mix_text").cast(docs.schema[n_chars_col].dataType)
+    return out.select(*((new[c] if c in new else F.col("__mix_doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def _asked(source_col: str, order_col: str, text_col: str) -> list[Column]:

@@ -221,9 +221,11 @@ def _plain(spans: str) -> Column:
 def find(docs: DataFrame, text_col: str = "text", **settings) -> DataFrame:
     """``docs`` with ``base`` and ``context`` spans in place of the text and of columns of these names."""
     prepare(docs.sparkSession)
-    scanned = cut(scan(docs.drop("base", "context", "seeds", "others"), text_col).drop(text_col))
-    found = _with_context(scanned, accepted_patterns(docs, scanned, text_col, **settings))
-    return found.withColumn("context", _plain("context")).drop("seeds", "others")
+    rest = [c for c in docs.columns if c not in (text_col, "base", "context")]
+    packed = docs.select(F.struct(F.lit(0), *(F.col(f"`{c}`") for c in rest)).alias("__doc"), F.col(f"`{text_col}`").alias("__text"))
+    scanned = cut(scan(packed, "__text").drop("__text"))
+    found = _with_context(scanned, accepted_patterns(packed, scanned, "__text", **settings))
+    return found.select(*(F.col("__doc").getField(c).alias(c) for c in rest), "base", _plain("context").alias("context"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars", **settings) -> DataFrame:
@@ -237,7 +239,9 @@ def redact(docs: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars"
     out = found.withColumn("__spans", ordered).drop("base", "context", "seeds", "others")
     # how far the spans before each reach: one that starts in between is dropped
     out = out.withColumn("__reach", before_each(F.transform("__spans", lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x)))
-    kept = F.filter(F.transform("__spans", lambda s, i: F.struct(F.get("__reach", i).alias("from"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda s: s["start"] >= s["from"])
+    # bound once: a column that is read by place in a lambda would be evaluated for each span
+    placed = let(F.col("__reach"), lambda reach: F.transform("__spans", lambda s, i: F.struct(F.get(reach, i).alias("from"), s["start"].alias("start"), s["kind"].alias("kind"))))
+    kept = F.filter(placed, lambda s: s["start"] >= s["from"])
     out = out.withColumns({"__kept": kept, "__end": F.coalesce(F.array_max(F.transform("__spans", lambda s: s["end"])), F.lit(0))})
     named = lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
     t = F.col("__text")

@@ -112,32 +112,41 @@ def ranked(sample: list[bytes], rules: dict[str, Rule]) -> list[str]:
 
 
 def cascade_order(docs: DataFrame, rules: dict[str, Rule], text_col: str = "text", sample: int = 500, seed: int = 7) -> list[str]:
-    """The order in which to run ``rules`` over ``docs``, from a seeded sample of at most ``sample`` texts."""
+    """The order in which to run ``rules`` over ``docs``, from a seeded sample of at most ``sample`` texts.
+
+    Of a text in the sample no more than a mebibyte is timed; the rules themselves judge whole texts."""
     n = docs.count()
     rows = docs.select(raw(F.col(text_col))).sample(fraction=min(1.0, 1.2 * sample / max(1, n)), seed=seed).limit(sample).collect()
     return ranked([bytes(r[0][: 1 << 20]) for r in rows], rules)
 
 
 def judge(docs: DataFrame, text_col: str = "text", sample: int = 500) -> DataFrame:
-    """``docs`` with the base counts, ``base_failed``, ``kept`` and ``rejected_by`` (the first rule that rejects) in place of the text."""
-    return _judged(docs, text_col, sample, keep_text=False)
+    """``docs`` with the base counts, ``base_failed``, ``kept`` and ``rejected_by`` in place of the text and of columns of these names.
+
+    ``rejected_by`` is the rule that rejected first in the order at hand. The order follows times
+    measured on the sample, so that it may differ between runs; the other columns don't."""
+    return _judged(docs, text_col, sample)
 
 
 def good_only(docs: DataFrame, text_col: str = "text", sample: int = 500) -> DataFrame:
     """The rows of ``docs`` that every rule keeps, unchanged."""
-    return _judged(docs, text_col, sample, keep_text=True).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = "__kept"
+    while own in docs.columns:
+        own += "_"
+    return _judged(docs, text_col, sample, own).where(F.col(own)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _judged(docs: DataFrame, text_col: str, sample: int, keep_text: bool) -> DataFrame:
+def _judged(docs: DataFrame, text_col: str, sample: int, only: str | None = None) -> DataFrame:
+    """``only`` names the verdict's column where the rows are wanted as they are."""
     prepare(docs.sparkSession)
     rules = BASE | FURTHER
     order = cascade_order(docs, rules, text_col, sample)
-    new = ("kept", "rejected_by") if keep_text else (*_COUNTS, "base_failed", "kept", "rejected_by")
-    rest = [c for c in docs.columns if (keep_text or c != text_col) and c not in new]
-    kinds = {"base_failed": "boolean", "kept": "boolean", "rejected_by": "string"}
+    new = (only,) if only else (*_COUNTS, "base_failed", "kept", "rejected_by")
+    rest = [c for c in docs.columns if (only or c != text_col) and c not in new]
+    kinds = {"base_failed": "boolean", "kept": "boolean", only: "boolean", "rejected_by": "string"}
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), *(f"{c} {kinds.get(c, 'long')}" for c in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +155,13 @@ def _judged(docs: DataFrame, text_col: str, sample: int, keep_text: bool) -> Dat
             for data in b.column(len(rest)):
                 t = Text(data.as_py())
                 by = next((n for n in order if rules[n](t)), None)
-                cols["kept"].append(by is None)
-                cols["rejected_by"].append(by)
-                if not keep_text:
+                cols[only or "kept"].append(by is None)
+                if not only:
+                    cols["rejected_by"].append(by)
                     cols["base_failed"].append(any(r(t) for r in BASE.values()))
                     for c in _COUNTS:
                         cols[c].append(getattr(t, c))
-            made = [pa.array(cols[c], {"kept": pa.bool_(), "base_failed": pa.bool_(), "rejected_by": pa.string()}.get(c, pa.int64())) for c in new]
+            made = [pa.array(cols[c], {"boolean": pa.bool_(), "string": pa.string()}.get(kinds.get(c), pa.int64())) for c in new]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), *made], names=[*rest, *new])
 
     return docs.select(*(F.col(f"`{c}`") for c in rest), raw(F.col(f"`{text_col}`")).alias("__raw")).mapInArrow(run, schema)
