@@ -147,7 +147,8 @@ def library_encoder(tokenizer):
         plain = [i for i, p in enumerate(parts) if len(feed) == 1 and (q := p[1:] if p[:1] == " " else p) and not any(map(str.isspace, q))]
         for a in range(0, len(plain), 20_000):
             some = plain[a : a + 20_000]
-            ids = np.asarray(tokenizer.encode("\n".join([parts[i] for i in some]), add_special_tokens=False).ids, "<u4")
+            # without offsets, which the batch call leaves out
+            ids = np.asarray(tokenizer.encode_batch_fast(["\n".join([parts[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(ids == feed[0])
             if len(at) != len(some) - 1:
                 raise ValueError("this tokenizer does not keep line feeds apart")
