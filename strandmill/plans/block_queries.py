@@ -39,10 +39,10 @@ def sentences(spark, d):
     return seqs.withColumn("length", F.length("seq")).where("length > 0")
 
 
-def signed(spark, d):
-    """The sentences with their primary signature, stored: the rules are evaluated once."""
+def signed(spark, d, *more):
+    """The sentences with their primary signature and ``more`` of their features, stored: the rules are evaluated once."""
     f = S.with_features(sentences(spark, d)).withColumn("hits", R.signature_hits(cutoff=CUTOFF))
-    return stored(f.select("doc_id", "g", "is_ref", "place", "length", R.labels_of(F.col("hits"), R.UNMAPPED)["primary"].alias("signature")), "calls")
+    return stored(f.select("doc_id", "g", "is_ref", "place", "length", *more, R.labels_of(F.col("hits"), R.UNMAPPED)["primary"].alias("signature")), "calls")
 
 
 _CLEAN = f"regexp_replace(upper(regexp_replace({{0}}, '[^A-Za-z]', '', 'g')), '[^{S.RESIDUES}]', '', 'g')"

@@ -56,7 +56,7 @@ def _matrix(spark, d, weighted):
 _PRESENT = ", ".join(f"coalesce(max((p = '{v}')::INT), 0)::INTEGER AS {k}" for k, v in _FLAGS.items())
 
 
-@query(f"WITH {_ITEMS} SELECT c_custkey AS k, {_PRESENT}, count(n) AS n_items, CASE count(n) WHEN 0 THEN 'none' WHEN 1 THEN 'single' ELSE 'multiple' END AS multiplicity, round(coalesce(sum(n) / any_value(c_custkey * 7919 % 1500 + 50), 0), 6) AS coverage FROM customer LEFT JOIN i ON k = c_custkey GROUP BY 1")
+@query(f"WITH {_ITEMS} SELECT c_custkey AS k, {_PRESENT}, count(n) AS n_items, CASE WHEN count(n) > 2 THEN '3+' ELSE count(n)::VARCHAR END AS multiplicity, round(coalesce(sum(n) / any_value(c_custkey * 7919 % 1500 + 50), 0), 6) AS coverage FROM customer LEFT JOIN i ON k = c_custkey GROUP BY 1")
 def feature_matrix_all(spark, d):
     """Presences, multiplicity and coverage of every entity."""
     return _matrix(spark, d, []).drop("mean_length").withColumn("coverage", six(F.col("coverage")))
