@@ -6,10 +6,10 @@ is cut at places that no interval covers; no step pairs all intervals of a key."
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmill.functions import scalar as X
+from strandmill.operators.scan import hot, within
 
 
 def merge(calls: DataFrame, keys: list[str], share: float = 0.7, start: str = "start", end: str = "end", raw_id: str = "raw_id") -> DataFrame:
@@ -18,11 +18,9 @@ def merge(calls: DataFrame, keys: list[str], share: float = 0.7, start: str = "s
     Gives keys, start, end, length, n_members, members, merge_tier and the representative's
     raw id: the first member that spans the whole, else the first of the longest. A call that
     starts beyond every end before it never merges, so each such stretch is folded alone."""
-    order = W.partitionBy(*keys).orderBy(start, end, raw_id)
-    reach = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    stretch = F.sum(F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0))
+    apart = _stretches(calls, keys, [start, end, raw_id], start, end)
     call = F.struct(F.col(start).cast("int").alias("start"), F.col(end).cast("int").alias("end"), F.col(raw_id).cast("long").alias("raw_id"))
-    grouped = calls.withColumn("__stretch", stretch).groupBy(*keys, "__stretch").agg(F.array_sort(F.collect_list(call)).alias("__calls"))
+    grouped = apart.groupBy(*keys, "__stretch").agg(F.array_sort(F.collect_list(call)).alias("__calls"))
     one = "struct<start:int,end:int,t0:boolean,t1:boolean,t2:boolean,members:array<struct<start:int,end:int,raw_id:bigint>>>"
     none = F.struct(F.array().cast(f"array<{one}>").alias("done"), F.lit(None).cast(one).alias("cur"))
 
@@ -65,10 +63,16 @@ def merge(calls: DataFrame, keys: list[str], share: float = 0.7, start: str = "s
 
 def bridge(calls: DataFrame, keys: list[str], gap: int, start: str = "start", end: str = "end") -> DataFrame:
     """Joins intervals whose gaps are at most ``gap``: keys, start, end, n."""
-    order = W.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    island = F.sum(F.when(reach.isNull() | (F.col(start) > reach + gap + 1), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0))
-    return calls.withColumn("__i", island).groupBy(*keys, "__i").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n")).drop("__i")
+    apart = _stretches(calls, keys, [start, end], start, end, gap + 1)
+    return apart.groupBy(*keys, "__stretch").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n")).drop("__stretch")
+
+
+def _stretches(calls: DataFrame, keys: list[str], order: list[str], start: str, end: str, gap: int = 0) -> DataFrame:
+    """``calls`` with ``__stretch``: a number that grows wherever a call starts more than ``gap`` beyond every end before it."""
+    many = hot(calls, keys)
+    reached = within(calls, keys, order, before=True, many=many, __reach=("max", F.col(end)))
+    opens = F.when(F.col("__reach").isNull() | (F.col(start) > F.col("__reach") + gap), 1).otherwise(0)
+    return within(reached, keys, order, many=many, __stretch=("sum", opens)).drop("__reach")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int = 128, how: str = "inner", left_cols=("start", "end"), right_cols=("domain_start", "domain_end")) -> DataFrame:
@@ -84,7 +88,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int
 def neighbours(calls: DataFrame, domains: DataFrame, key: str, call_id: list[str], start: str = "start", end: str = "end", label: str = "domain_id", d1: str = "domain_start", d2: str = "domain_end", score: str = "i_evalue") -> DataFrame:
     """Each call with the last domain that ends before it (``left``) and the first that starts after it (``right``), ties to the lowest score.
 
-    One sorted pass over calls and domains per side; structs of (label, start, end, score)."""
+    One sorted pass over calls and domains per side, in ranges where a key is hot; structs of (label, start, end, score)."""
     d = F.struct(F.col(label).alias("label"), F.col(d1).alias("start"), F.col(d2).alias("end"), F.col(score).alias("score"))
     kind = d.alias("d")
     columns = [key, *call_id, start, end]
@@ -94,13 +98,11 @@ def neighbours(calls: DataFrame, domains: DataFrame, key: str, call_id: list[str
         cs = rows.withColumns({"__at": call_at, "__kind": F.lit(0)})
         return cs.unionByName(ds, allowMissingColumns=True)
 
-    last = lambda way: F.last("d", ignorenulls=True).over(way.rowsBetween(W.unboundedPreceding, 0))
-    ties = (F.col("__kind").asc(), F.col("__s").desc_nulls_first(), F.col("__l").desc_nulls_first())
+    many = hot(calls.select(key).unionAll(domains.select(key)), [key])
+    ties = ["__kind", ("__s", "desc_nulls_first"), ("__l", "desc_nulls_first")]
     # a call stands before domains at its own place: only strictly smaller ends are to its left
-    up = W.partitionBy(key).orderBy(F.col("__at").asc(), *ties)
-    left = events(calls.select(*columns), F.col(d2), F.col(start)).withColumn("left", last(up)).where("__kind = 0").select(*columns, "left")
-    down = W.partitionBy(key).orderBy(F.col("__at").desc(), *ties)
-    return events(left, F.col(d1), F.col(end)).withColumn("right", last(down)).where("__kind = 0").select(*columns, "left", "right")
+    left = within(events(calls.select(*columns), F.col(d2), F.col(start)), [key], ["__at", *ties], many=many, left=("last", F.col("d"))).where("__kind = 0").select(*columns, "left")
+    return within(events(left, F.col(d1), F.col(end)), [key], [("__at", "desc"), *ties], many=many, right=("last", F.col("d"))).where("__kind = 0").select(*columns, "left", "right")
 
 
 def position_classes(calls: DataFrame, domains: DataFrame, key: str, call_id: list[str]) -> DataFrame:

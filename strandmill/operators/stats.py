@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from strandmill.functions.scalar import haldane_log2_or
+from strandmill.operators.scan import within
 
 #: Below this a cell or an arm is described, not tested.
 LEAST = 5
@@ -111,8 +112,8 @@ def average_ranks(df: DataFrame, blocks: list[str], value: str) -> DataFrame:
 
     Ties are counted by value first, so that ranks need a running sum over different values only."""
     by = df.where(F.col(value).isNotNull()).groupBy(*blocks, value).agg(F.count(F.lit(1)).alias("ties"))
-    before = F.coalesce(F.sum("ties").over(W.partitionBy(*blocks).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.join(by.withColumn("rank", before + (F.col("ties") + 1) / 2), [*blocks, value], "left")
+    ranked = within(by, blocks, [value], __upto=("sum", F.col("ties"))).withColumn("rank", F.col("__upto") - F.col("ties") + (F.col("ties") + 1) / 2)
+    return df.join(ranked.drop("__upto"), [*blocks, value], "left")
 
 
 def _mann_whitney(n1: float, n2: float, u: float, tie_sum: float) -> float:

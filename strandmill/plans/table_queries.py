@@ -36,11 +36,11 @@ def dual_cutoff(spark, d):
     return B.both_below(read(spark, d, "lineitem"), F.col("l_discount"), F.col("l_tax"), 0.05).select("l_orderkey", "l_linenumber")
 
 
-@query("WITH a AS (SELECT o_orderpriority AS k, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS place FROM orders), b AS (SELECT o_orderpriority AS k, o_custkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) SELECT k, place::INTEGER AS place, o_orderkey, o_custkey FROM a JOIN b USING (k, place)")
+@query("WITH a AS (SELECT o_orderpriority AS k, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS place FROM orders), b AS (SELECT o_orderpriority AS k, o_custkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) SELECT k, place, o_orderkey, o_custkey FROM a JOIN b USING (k, place)")
 def positional_pairs(spark, d):
     """Two orders of the same rows, paired by place within each block."""
     o = read(spark, d, "orders").withColumnRenamed("o_orderpriority", "k")
-    return B.paired(o.select("k", "o_orderkey"), o.select("k", "o_custkey", "o_totalprice", F.col("o_orderkey").alias("tie")), ["k"], [F.col("o_orderkey")], [F.col("o_totalprice").desc(), F.col("tie")]).select("k", "place", "o_orderkey", "o_custkey")
+    return B.paired(o.select("k", "o_orderkey"), o.select("k", "o_custkey", "o_totalprice", F.col("o_orderkey").alias("tie")), ["k"], [F.col("o_orderkey")], [("o_totalprice", "desc"), "tie"]).select("k", "place", "o_orderkey", "o_custkey")
 
 
 _FLAGS = {"urgent": "1-URGENT", "high": "2-HIGH", "low": "5-LOW"}

@@ -44,3 +44,50 @@ def test_one_key_fills_all_ranges(spark):
     got = scan.numbered(df, ["key"], ["id"], ranges=16)
     assert got.where("place <> id + 1").count() == 0 and got.count() == 20_000
     assert got.select(F.max("place")).first()[0] == 20_000
+
+
+def test_before_and_last(spark):
+    r = random.Random(7)
+    rows = [(i, r.choice(["hot"] * 5 + ["a", None]), r.choice([None, *range(30)]), r.choice([None, None, *range(9)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, key string, at int, x int").repartition(5)
+    order = [("at", "desc_nulls_first"), "id"]
+    columns = {"last": ("last", F.col("x")), "top": ("max", F.col("x"))}
+    want, held = [], {}
+    for i, k, a, x in sorted(rows, key=lambda r: (r[2] is not None, -(r[2] or 0), r[0])):
+        seen = held.setdefault(k, [])
+        want.append((i, seen[-1] if seen else None, max(seen, default=None)))
+        if x is not None:
+            seen.append(x)
+    got = [scan.running(df, ["key"], order, ranges=9, before=True, **columns), scan.within(df, ["key"], order, before=True, **columns), scan.within(df, ["key"], order, before=True, many=True, **columns)]
+    for g in got:
+        assert sorted((r.id, r["last"], r.top) for r in g.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["interval_merge", "gap_bridge_merge", "position_class", "positional_pairs", "cliffs_delta", "kruskal_p"])
+def test_hot_keys_give_the_same_rows(spark, monkeypatch, name):
+    from strandmill.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    want = sorted(map(str, catalog.QUERIES[name](spark, folder).collect()))
+    monkeypatch.setattr(scan, "KEY_ROWS", 0)
+    assert sorted(map(str, catalog.QUERIES[name](spark, folder).collect())) == want
+
+
+def test_no_range_of_one_hot_key_is_large(spark):
+    from strandmill.operators import storage
+    from strandmill.operators.intervals import _stretches
+
+    seen = []
+    real = storage.stored
+    scan.stored, held = (lambda df, what: seen.append(real(df, what)) or seen[-1]), scan.stored
+    try:
+        calls = spark.range(40_000).select(F.lit("p").alias("k"), (F.col("id") % 10_000 * 3 + 1).cast("int").alias("start"), (F.col("id") % 10_000 * 3 + 2).cast("int").alias("end"))
+        scan.KEY_ROWS, rows = 1000, scan.KEY_ROWS
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        assert _stretches(calls, ["k"], ["start", "end"], "start", "end").select("__stretch").distinct().count() == 10_000
+    finally:
+        scan.stored, scan.KEY_ROWS = held, rows
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for df in seen:
+        part = next(c for c in df.columns if c.endswith("_part"))
+        assert df.groupBy(part).count().agg(F.max("count")).first()[0] < 40_000 / 8
