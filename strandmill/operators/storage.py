@@ -19,8 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or sc.getCheckpointDir()).rstrip("/")
 
 
+def fresh(spark: SparkSession, what: str) -> str:
+    """A new folder's name under the shared one."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """The same rows, written once and read back: lineage ends here, and no later job computes them again."""
-    folder = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    folder = fresh(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -15,8 +15,9 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from strandmill.functions.scalar import header_accession, strip_version
+from strandmill.functions.scalar import alnum_key, header_accession, strip_version
 
 
 def delimited(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",", header: bool = True, comment: str | None = None) -> DataFrame:
@@ -38,10 +39,22 @@ def sniffed(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns})
 
 
-def workbook(spark: SparkSession, path: str, sheet: str | int | None = 0) -> DataFrame:
-    """A sheet of .xlsx workbooks by name or place, all of them for None (then with ``sheet``); columns are strings named by the first row."""
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_sheets, "path string, sheet string, place int, row int, cells array<string>")
-    if sheet is not None:
+def sheet_rows(spark: SparkSession, path: str) -> DataFrame:
+    """path, sheet, place (of the sheet), row (from 0) and cells (strings) of .xlsx workbooks."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_sheets, "path string, sheet string, place int, row int, cells array<string>")
+
+
+def workbook(spark: SparkSession, path: str, sheet: str | int | None = 0, fuzzy: bool = False) -> DataFrame:
+    """A sheet of .xlsx workbooks by name or place, all of them for None (then with ``sheet``); columns are strings named by the first row.
+
+    ``fuzzy`` takes the first sheet whose name has the same letters and digits, whatever their case."""
+    rows = sheet_rows(spark, path)
+    if isinstance(sheet, str) and fuzzy:
+        key = re.sub("[^a-z0-9]+", "", sheet.lower())
+        rows = rows.where(alnum_key(F.col("sheet")) == key)
+        first = rows.agg(F.min("place")).first()[0]
+        rows = rows.where(F.col("place") == first)
+    elif sheet is not None:
         rows = rows.where(F.col("sheet") == sheet if isinstance(sheet, str) else F.col("place") == sheet)
     head = rows.where("row = 0").orderBy("path", "place").select("cells").first()
     if head is None:
@@ -89,18 +102,14 @@ def fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     return records.select(header.alias("header"), header_accession(header).alias("accession"), seq.alias("sequence"))
 
 
-def masked_intervals(df: DataFrame, sequence: str = "sequence") -> DataFrame:
-    """``df`` with a row per longest run of lower-case letters: start, end (1-based, inclusive) and length."""
-    zipped = F.arrays_zip(F.split(sequence, "[a-z]+", -1).alias("gap"), F.regexp_extract_all(sequence, F.lit("([a-z]+)"), F.lit(1)).alias("run"))
-    kind = "array<struct<start:int,end:int>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
+def _masked(sequences: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None else [{"start": m.start() + 1, "end": m.end()} for m in re.finditer("[a-z]+", s)] for s in sequences], dtype=object)
 
-    def step(a: Column, z: Column) -> Column:
-        start = a["at"] + F.length(z["gap"])
-        end = start + F.coalesce(F.length(z["run"]), F.lit(0))
-        return F.struct(end.alias("at"), F.when(z["run"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct((start + 1).alias("start"), end.alias("end"))))).alias("out"))
 
-    runs = df.withColumn("__i", F.explode(F.aggregate(zipped, begin, step, lambda a: a["out"])))
+def masked_intervals(df: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """``df`` with a row per longest run of lower-case letters: start, end (1-based, inclusive) and length."""
+    runs = df.withColumn("__i", F.explode(_masked(sequence)))
     return runs.withColumns({"start": F.col("__i.start"), "end": F.col("__i.end"), "length": F.col("__i.end") - F.col("__i.start") + 1}).drop("__i")
 
 
@@ -180,6 +189,39 @@ def through_program(df: DataFrame, column: str, run, schema: str) -> DataFrame:
     return df.select(column).mapInPandas(batches, schema)
 
 
+def external(df: DataFrame, column: str, command: list[str], seconds: float = 3600, tries: int = 2, rows: int = 10_000) -> DataFrame:
+    """The lines (``value``) that a program writes when it reads the lines of ``column``, a process per ``rows`` of a partition.
+
+    A process that ends with another status than 0 or takes longer than ``seconds`` is tried again,
+    ``tries`` times in all; then the task fails with the command, the status, the end of its
+    error output and the first line that it was given, so that Spark may run it elsewhere. Lines
+    of a failed try are dropped. Null and empty lines are not sent; the input may hold no line ends."""
+    import subprocess
+
+    def ask(lines: list[str]) -> list[str]:
+        why = ""
+        for _ in range(tries):
+            try:
+                done = subprocess.run(command, input="".join(f"{x}\n" for x in lines), capture_output=True, text=True, timeout=seconds)
+            except subprocess.TimeoutExpired:
+                why = f"no end within {seconds} s"
+                continue
+            if done.returncode == 0:
+                return done.stdout.splitlines()
+            why = f"status {done.returncode}: {done.stderr[-500:].strip()}"
+        raise RuntimeError(f"{' '.join(command)} failed on {len(lines)} lines from {lines[0][:100]!r}: {why}")
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            lines = [x for x in b["line"] if x]
+            if bad := next((x for x in lines if "\n" in x), None):
+                raise ValueError(f"a line end in {bad[:100]!r}")
+            for a in range(0, len(lines), rows):
+                yield pd.DataFrame({"value": pd.Series(ask(lines[a : a + rows]), dtype=object)})
+
+    return df.select(F.col(column).cast("string").alias("line")).mapInPandas(batches, "value string")
+
+
 def reuse(spark: SparkSession, folder: str, build) -> DataFrame:
     """The table in ``folder``, made by ``build()`` and written where it is missing or unfinished."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")

@@ -1,13 +1,20 @@
-"""Writers: sets of tables, tables per group, delimited files, FASTA, manifests and reports."""
+"""Writers: sets of tables, workbooks, tables per group, delimited files, FASTA, manifests and reports."""
 
 from __future__ import annotations
 
 import json
-
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import quoteattr
+
+import pandas as pd
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions.sequence import wrap
+from strandmill.operators.scan import within
 
 
 def tables(folder: str, named: dict[str, DataFrame]) -> None:
@@ -27,10 +34,110 @@ def delimited(df: DataFrame, folder: str, sep: str = ",") -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).option("sep", sep).csv(folder)
 
 
-def fasta(df: DataFrame, folder: str, header: str = "header", sequence: str = "sequence", width: int | None = 60) -> None:
-    """FASTA files of the different records with a sequence; ``width`` None leaves lines whole."""
+def fasta(df: DataFrame, folder: str, header: str = "header", sequence: str = "sequence", width: int | None = 60, order: list[str] | None = None) -> None:
+    """FASTA files of the different records with a sequence; ``width`` None leaves lines whole.
+
+    With ``order`` a record stands where it was first, and the files are in that order."""
     seq = wrap(F.col(sequence), width) if width else F.col(sequence)
-    df.where(F.length(sequence) > 0).select(header, sequence).distinct().select(F.concat(F.lit(">"), F.col(header), F.lit("\n"), seq).alias("value")).write.mode("overwrite").text(folder)
+    some = df.where(F.length(sequence) > 0)
+    if order is None:
+        records = some.select(header, sequence).distinct()
+    else:
+        first = F.min(F.struct(*order)).alias("__first")
+        records = some.groupBy(header, sequence).agg(first).orderBy("__first", header)
+    records.select(F.concat(F.lit(">"), F.col(header), F.lit("\n"), seq).alias("value")).write.mode("overwrite").text(folder)
+
+
+#: Rows of a sheet, by the format.
+SHEET_ROWS = 1_048_576
+#: Empty rows after a table that another follows in its sheet.
+BETWEEN = 3
+
+
+def workbook(spark: SparkSession, folder: str, name: str, sheets: dict[str, DataFrame | list[tuple[str, DataFrame]]]) -> str:
+    """Writes ``<folder>/<name>.xlsx`` and gives its path.
+
+    A sheet is a table, or a list of (title, table) that stand below each other with a title row
+    before and three empty rows after each. Rows keep the order in which their table gives them.
+    Tasks turn rows into XML; one task, which holds a row at a time, puts the file together under a passing
+    name and renames it. A sheet of more rows than the format has raises."""
+    names = sanitised(list(sheets))
+    parts = None
+    for at, tables_ in enumerate(sheets.values()):
+        stacked = isinstance(tables_, list)
+        for k, (title, df) in enumerate(tables_ if stacked else [(None, tables_)]):
+            head = ([[title]] if stacked else []) + [df.columns]
+            tail = [[]] * BETWEEN if stacked else []
+            made = lambda rows, kind, at=at, k=k: spark.createDataFrame([(at, k, kind, i, [None if c is None else str(c) for c in r], [False] * len(r)) for i, r in enumerate(rows)], _CELLS)
+            numeric = F.array(*(F.lit(t in _NUMBERS or t.startswith("decimal")) for _, t in df.dtypes)).cast("array<boolean>")
+            body = df.select(F.lit(at).alias("sheet"), F.lit(k).alias("part"), F.lit(1).alias("kind"), F.monotonically_increasing_id().alias("i"), F.array(*(F.array_join(c, ";") if t.startswith("array<") else F.col(f"`{c}`").cast("string") for c, t in df.dtypes)).alias("cells"), numeric.alias("numeric"))
+            for piece in [made(head, 0), body] + ([made(tail, 2)] if tail else []):
+                parts = piece if parts is None else parts.unionAll(piece)
+    lines = within(parts, ["sheet"], ["part", "kind", "i"], "row")
+    target = f"{folder}/{sanitised([name], 200)[0]}.xlsx"
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, path = fs.FileSystem.from_uri(target) if "://" in target or target.startswith("file:") else (fs.LocalFileSystem(), target)
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        passing, open_at, member = f"{path}.{uuid.uuid4().hex}.part", -1, None
+        with system.open_output_stream(passing) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for file, text in _frame(names).items():
+                z.writestr(file, text)
+
+            def turn(to: int) -> None:
+                nonlocal member, open_at
+                while open_at < to:
+                    if member:
+                        member.write(b"</sheetData></worksheet>")
+                        member.close()
+                    open_at += 1
+                    member = z.open(f"xl/worksheets/sheet{open_at + 1}.xml", "w") if open_at < len(names) else None
+                    if member:
+                        member.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetData>'.encode())
+
+            for b in batches:
+                for sheet, row, xml in zip(b["sheet"], b["row"], b["xml"]):
+                    if row > SHEET_ROWS:
+                        raise ValueError(f"sheet {names[sheet]!r} has more than {SHEET_ROWS} rows")
+                    turn(sheet)
+                    member.write(xml.encode())
+            turn(len(names))
+        system.move(passing, path)
+        yield pd.DataFrame({"path": pd.Series([target], dtype=object)})
+
+    one = lines.select("sheet", "row", _row(F.col("row"), F.col("cells"), F.col("numeric")).alias("xml")).repartition(1).sortWithinPartitions("sheet", "row")
+    return one.mapInPandas(put, "path string").first()[0]
+
+
+_NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+_CELLS = "sheet int, part int, kind int, i long, cells array<string>, numeric array<boolean>"
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+
+
+def _row(row: Column, cells: Column, numeric: Column) -> Column:
+    """A row's XML: numbers as values, other cells as inline strings, nulls and what is no finite number left out."""
+    clean = lambda c: F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
+    escaped = lambda c: F.replace(F.replace(F.replace(clean(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    ref = lambda i: F.concat(F.when(i >= 26, F.char(F.lit(64) + F.floor(i / 26).cast("int"))).otherwise(F.lit("")), F.char(F.lit(65) + i % 26), row.cast("string"))
+    number = lambda c, i: F.get(numeric, i) & c.rlike("^[-+0-9.eE]+$")
+    value = lambda c, i: F.when(number(c, i), F.concat(F.lit('<c r="'), ref(i), F.lit('"><v>'), c, F.lit("</v></c>"))).when(c.isNotNull(), F.concat(F.lit('<c r="'), ref(i), F.lit('" t="inlineStr"><is><t xml:space="preserve">'), escaped(c), F.lit("</t></is></c>")))
+    return F.concat(F.lit('<row r="'), row.cast("string"), F.lit('">'), F.array_join(F.transform(cells, value), ""), F.lit("</row>"))
+
+
+def _frame(names: list[str]) -> dict[str, str]:
+    """The files of a workbook besides its sheets."""
+    head, rels, kinds = '<?xml version="1.0" encoding="UTF-8"?>', "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    each = list(enumerate(names, 1))
+    sheets = "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in each)
+    links = "".join(f'<Relationship Id="rId{i}" Type="{rels}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i, _ in each)
+    parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kinds}.worksheet+xml"/>' for i, _ in each)
+    return {
+        "[Content_Types].xml": f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/>{parts}</Types>',
+        "_rels/.rels": f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rels}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'{head}<workbook xmlns="{_MAIN}" xmlns:r="{rels}"><sheets>{sheets}</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'{head}<Relationships xmlns="{package}/relationships">{links}</Relationships>',
+    }
 
 
 def filtered_fasta(records: DataFrame, keep: DataFrame, key: str = "accession", annotate: dict[str, str] | None = None) -> DataFrame:

@@ -90,3 +90,40 @@ def test_sinks(spark, tmp_path):
     assert built.count() == 3 and R.reuse(spark, str(tmp_path / "cache"), lambda: 1 / 0).count() == 3
     assert "file" in R.under(spark, str(tmp_path / "cache")).columns
     assert R.through_program(df, "g", lambda x: __import__("pandas").DataFrame({"up": [v.upper() for v in x]}), "up string").count() == 3
+
+
+def test_workbook_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b & <c>", 1.5, ["x", "y"]), (1, None, None, []), (3, " sp\x01ace ", float("nan"), None)], "n int, s string, x double, l array<string>").coalesce(1).orderBy("n")
+    wide = spark.createDataFrame([tuple(range(60))], ", ".join(f"c{i} int" for i in range(60)))
+    path = K.workbook(spark, str(tmp_path / "out"), "a/b", {"one": df, "two/3": [("counts", df.select("n")), ("wide", wide)], "none": df.limit(0)})
+    assert path.endswith("a_b.xlsx")
+    back = R.workbook(spark, path, "one")
+    assert back.columns == ["n", "s", "x", "l"]
+    assert [tuple(r) for r in back.orderBy("n").collect()] == [("1", None, None, None), ("2", "b & <c>", "1.5", "x;y"), ("3", " space ", "NaN", None)]
+    rows = {r.row: r.cells for r in R.sheet_rows(spark, path).where("sheet = 'two_3'").collect()}
+    assert [rows[i] for i in range(5)] == [["counts"], ["n"], ["1"], ["2"], ["3"]] and rows[8] == ["wide"] and rows[10] == [str(i) for i in range(60)]
+    assert R.workbook(spark, path, "ONE ", fuzzy=True).count() == 3 and R.workbook(spark, path, "none").count() == 0
+    with pytest.raises(ValueError, match="no such sheet"):
+        R.workbook(spark, path, "absent")
+
+
+def test_external_program(spark, tmp_path):
+    import sys
+
+    df = spark.createDataFrame([("ab",), (None,), ("c",), ("",)], "x string")
+    assert sorted(r.value for r in R.external(df, "x", [sys.executable, "-c", "import sys\nfor l in sys.stdin: print(l.strip().upper())"], rows=1).collect()) == ["AB", "C"]
+    once = tmp_path / "once"
+    flaky = f"import os, sys\nif not os.path.exists({str(once)!r}): open({str(once)!r}, 'w').close(); print('half'); sys.exit(3)\nprint(len(sys.stdin.read()))"
+    assert [r.value for r in R.external(df.coalesce(1), "x", [sys.executable, "-c", flaky]).collect()] == ["5"]
+    with pytest.raises(Exception, match="status 4: no such model"):
+        R.external(df, "x", [sys.executable, "-c", "import sys; print('no such model', file=sys.stderr); sys.exit(4)"]).collect()
+    with pytest.raises(Exception, match="no end within 0.2 s"):
+        R.external(df, "x", [sys.executable, "-c", "import time; time.sleep(30)"], seconds=0.2, tries=1).collect()
+    with pytest.raises(Exception, match="a line end"):
+        R.external(spark.createDataFrame([("a\nb",)], "x string"), "x", ["cat"]).collect()
+
+
+def test_fasta_in_order_of_first_sight(spark, tmp_path):
+    df = spark.createDataFrame([(3, "h1", "AA"), (1, "h2", "CC"), (5, "h2", "CC"), (2, "h3", "DD"), (4, "h3", "DD")], "at int, header string, sequence string").repartition(3)
+    K.fasta(df, str(tmp_path / "f"), order=["at"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "f")).coalesce(1).collect() if r.value[0] == ">"] == [">h2", ">h3", ">h1"]
