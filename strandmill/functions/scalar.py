@@ -45,6 +45,23 @@ def alias(name: Column, aliases: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, alnum_key(name)), F.trim(name))
 
 
+def cleaned(value: Column) -> Column:
+    """Without white space at its ends; null is empty."""
+    return F.coalesce(F.trim(F.regexp_replace(value.cast("string"), r"^\s+|\s+$", "")), F.lit(""))
+
+
+def gene_symbol(value: Column) -> Column:
+    return F.upper(cleaned(value))
+
+
+def any_keyword(text: Column, words: list[str]) -> Column:
+    """Whether a text holds one of some words as they are written, in any case; false for a null text or no words."""
+    if not words:
+        return F.lit(False)
+    quoted = "|".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in words)
+    return F.coalesce(text.rlike(f"(?i){quoted}"), F.lit(False))
+
+
 def provenance(**flags: Column) -> Column:
     """The names of the flags that hold, joined by semicolons."""
     return F.concat_ws(";", *(F.when(c, F.lit(n)) for n, c in flags.items()))

@@ -18,6 +18,23 @@ def pick(df: DataFrame, keys: list[str], order: list[Column], *columns: str) ->
     return df.groupBy(*keys).agg(got.alias("__b")).select(*keys, *(F.col(f"__b.{c}").alias(c) for c in columns))
 
 
+def upgraded(df: DataFrame, keys: list[str], order: list[Column], preferred: Column, value: str) -> DataFrame:
+    """Per key the first value in order among the preferred rows, else among all, with ``n_rows`` and ``upgraded``: whether
+    a preferred one came after another. ``order`` must decide every tie."""
+    at = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))
+    rows = df.where(F.col(value).isNotNull()).withColumn("__p", F.coalesce(preferred, F.lit(False)))
+    some = F.when(F.col("__p"), at)
+    got = rows.groupBy(*keys).agg(F.min_by(value, some).alias("__best"), F.min_by(value, at).alias("__first"), F.min_by("__p", at).alias("__was"), F.bool_or("__p").alias("__any"), F.count(F.lit(1)).alias("n_rows"))
+    return got.select(*keys, F.when(F.col("__any"), F.col("__best")).otherwise(F.col("__first")).alias(value), "n_rows", (F.col("__any") & ~F.col("__was")).alias("upgraded"))
+
+
+def ends(df: DataFrame, keys: list[str], order: list[str], n: int = 1) -> DataFrame:
+    """The first and the last ``n`` rows of each group, with ``place`` from 1 and ``from_end`` from 1."""
+    by = W.partitionBy(*keys)
+    up, down = F.row_number().over(by.orderBy(*(F.col(c).asc_nulls_first() for c in order))), F.row_number().over(by.orderBy(*(F.col(c).desc_nulls_last() for c in order)))
+    return df.withColumn("place", up).withColumn("from_end", down).where((F.col("place") <= n) | (F.col("from_end") <= n))
+
+
 def occurrence(df: DataFrame, keys: list[str], *order: Column, name: str = "instance") -> DataFrame:
     """Numbers equal keys from 0."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)

@@ -228,6 +228,15 @@ def benjamini_hochberg(df: DataFrame, blocks: list[str], p: str = "p_value", out
     return ranked.withColumn(out, F.when(known, F.least(F.lit(1.0), F.min(F.when(known, F.col(p) * F.col("__m") / F.col("__r"))).over(down)))).drop("__r", "__m")
 
 
+def mean_enrichment(df: DataFrame, group: str, counts: dict[str, Column], length: Column, pseudo: float = 1e-6) -> DataFrame:
+    """Per group and item: the mean of the rows' shares (count over length), the pooled share of all rows, and log2 of the one over
+    the other with a small constant added to both. Rows without length take no part."""
+    rows = df.where(length > 0)
+    per = rows.where(F.col(group).isNotNull()).groupBy(group).agg(*(F.avg(c / length).alias(k) for k, c in counts.items())).unpivot([group], list(counts), "item", "mean")
+    pooled = rows.agg(*((F.sum(c) / F.sum(length)).alias(k) for k, c in counts.items())).unpivot([], list(counts), "item", "pooled")
+    return per.join(F.broadcast(pooled), "item").withColumn("log2_enrichment", F.log2((F.col("mean") + pseudo) / (F.col("pooled") + pseudo)))  # a row per item
+
+
 def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
     """Long: n, its shares of row, column and all, the expected count and log2 observed over expected."""
     n = df.groupBy(row, column).agg(F.count(F.lit(1)).alias("n"))

@@ -22,9 +22,9 @@ g AS (SELECT protein, method, part, min(s) AS "start", max(e) AS "end", count(*)
 _TIER = "CASE WHEN t0 OR t1 OR t2 THEN CASE WHEN t0 THEN 'T0' ELSE '' END || CASE WHEN t1 THEN 'T1' ELSE '' END || CASE WHEN t2 THEN 'T2' ELSE '' END ELSE 'none' END"
 
 
-@query(f'WITH {_MERGE_SQL} SELECT protein, method, "start", "end", "end" - "start" + 1 AS length, n::INTEGER AS n_members, {_TIER} AS merge_tier FROM g')
+@query(f'WITH {_MERGE_SQL} SELECT protein, method, "start", "end", "end" - "start" + 1 AS length, n::INTEGER AS n_members, {_TIER} AS merge_tier, coalesce(whole, longest) AS representative FROM g JOIN (SELECT f.protein, f.method, f.part, arg_min(raw_id, rn) FILTER (WHERE f.s = g."start" AND f.e = g."end") AS whole, arg_min(raw_id, struct_pack(a := f.s - f.e, b := rn)) AS longest FROM f JOIN g USING (protein, method, part) GROUP BY ALL) USING (protein, method, part)')
 def interval_merge(spark, d):
-    return I.merge(calls(spark, d), ["protein", "method"]).drop("member_intervals", "representative")
+    return I.merge(calls(spark, d), ["protein", "method"]).drop("member_intervals")
 
 
 @query(f"WITH {_MERGE_SQL} SELECT method, sum(n)::BIGINT AS n_raw, count(*) AS n_merged, count(*) FILTER (WHERE n > 1) AS n_multi, round(100 * (1 - count(*) / sum(n)), 1) AS pct_redundant FROM g GROUP BY 1")

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import rules as R
 from strandmill.functions import scalar as X
+from strandmill.functions import sequence as S
 from strandmill.operators import cluster as C
 from strandmill.operators import stats as T
 from strandmill.plans.registry import query
-from strandmill.plans.tables import LABELLED_SQL, labelled, read
+from strandmill.plans.sequence_queries import n_sql
+from strandmill.plans.tables import LABELLED_SQL, SEQUENCES_SQL, labelled, read, sequences
 
 six = lambda c: F.round(c, 6)
 
@@ -220,13 +222,16 @@ def cluster_overlap(spark, d):
     return T.one_vs_rest(long, "g", "v").select("g", "v", F.col("n_pos_group").alias("n"))
 
 
-@query("WITH m AS (SELECT p_brand AS g, p_size FROM part), bg AS (SELECT avg(p_size) AS b FROM part) SELECT g, round(log2((avg(p_size) + 1e-6) / (any_value(b) + 1e-6)), 6) AS log2_enrichment FROM m, bg GROUP BY 1")
+_N = ", ".join(f"'{a}'" for a in S.RESIDUES)
+_C = ", ".join(n_sql(a) for a in S.RESIDUES)
+
+
+@query(f"WITH {SEQUENCES_SQL}, r AS (SELECT source AS g, unnest([{_N}]) AS item, unnest([{_C}]) AS n, length(seq) AS l FROM p WHERE length(seq) > 0), b AS (SELECT item, sum(n) / sum(l) AS pooled FROM r GROUP BY 1) SELECT g, item, round(avg(n / l), 6) AS mean, round(any_value(pooled), 6) AS pooled, round(log2((avg(n / l) + 1e-6) / (any_value(pooled) + 1e-6)), 6) AS log2_enrichment FROM r JOIN b USING (item) GROUP BY 1, 2")
 def aa_enrichment(spark, d):
-    """Group means against the pooled mean, with a small constant added."""
-    p = read(spark, d, "part")
-    bg = p.agg(F.avg("p_size").alias("b"))
-    g = p.groupBy(F.col("p_brand").alias("g")).agg(F.avg("p_size").alias("m")).join(F.broadcast(bg), how="cross")
-    return g.select("g", six(F.log2((F.col("m") + 1e-6) / (F.col("b") + 1e-6))).alias("log2_enrichment"))
+    """Mean residue fractions of a source against the fractions of all sequences end to end."""
+    c = F.col("seq")
+    t = T.mean_enrichment(sequences(spark, d), "source", {a: S.count_of(c, a) for a in S.RESIDUES}, F.length(c))
+    return t.select(F.col("source").alias("g"), "item", *(six(F.col(x)).alias(x) for x in ("mean", "pooled", "log2_enrichment")))
 
 
 @query(f"WITH {LABELLED_SQL} SELECT c_mktsegment AS g, count(*) AS n, count(*) FILTER (WHERE n_lcr > 0) AS n_carriers, round(avg(residues / size) FILTER (WHERE n_lcr > 0), 6) AS occupancy, CASE WHEN avg(n_lcr) <= 9 THEN 'few' ELSE 'many' END AS multiplicity FROM lab GROUP BY 1")
