@@ -100,3 +100,25 @@ def running(df: DataFrame, keys: list[str | Column], order: list, number: str |
 def numbered(df: DataFrame, keys: list[str | Column], order: list, name: str = "place", ranges: int | None = None) -> DataFrame:
     """``df`` with each row's place within its key, from 1."""
     return running(df, keys, order, name, ranges)
+
+
+def quantiles(df: DataFrame, keys: list[str], columns: list[str], shares: list[float]) -> DataFrame:
+    """Exact quantiles of columns, interpolated: keys, ``column`` and ``quantiles``, an array in the order of ``shares``; null where a column has no value.
+
+    From counts of equal values: in one buffer where a key has few, else off running counts in sorted ranges."""
+    wide = df.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns))
+    long = wide.unpivot(keys, columns, "column", "__v").where("__v IS NOT NULL") if keys else wide.unpivot([], columns, "column", "__v").where("__v IS NOT NULL")
+    by = [*keys, "column"]
+    counts = long.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    if not hot(counts, by):
+        return counts.groupBy(*by).agg(F.percentile("__v", F.array(*map(F.lit, shares)), F.col("__n")).alias("quantiles"))
+    key = F.struct(*by)
+    placed = running(counts.withColumn("__key", key), ["__key"], ["__v"], __upto=("sum", F.col("__n")))
+    totals = counts.groupBy(key.alias("__key")).agg(F.sum("__n").alias("__all"))
+    met, found = placed.join(totals, "__key"), []
+    for q in shares:
+        at = F.lit(q) * (F.col("__all") - 1)
+        low, high = (F.min(F.when(F.col("__upto") > f(at), F.col("__v"))) for f in (F.floor, F.ceil))
+        part = F.max(at - F.floor(at))
+        found.append(low + part * (high - low))
+    return met.groupBy("__key").agg(F.array(*found).alias("quantiles")).select("__key.*", "quantiles")

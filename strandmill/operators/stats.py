@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from strandmill.functions.scalar import haldane_log2_or
-from strandmill.operators.scan import within
+from strandmill.operators.scan import quantiles, within
 
 #: Below this a cell or an arm is described, not tested.
 LEAST = 5
@@ -100,11 +100,13 @@ def against_reference_by(df: DataFrame, block: str, group: str, carrier: Column,
 def length_bins(df: DataFrame, length: str, is_reference: Column, parts: int = 5) -> DataFrame:
     """``df`` with ``length_bin``: which quantile of the reference's lengths a row falls in, null outside their range. Bins are right-closed, the first on both sides."""
     cuts = [i / parts for i in range(parts + 1)]
-    edges = df.where(is_reference).agg(F.array_distinct(F.percentile(length, F.array(*map(F.lit, cuts)))).alias("edges"))
-    x = F.col(length)
-    at = F.size(F.filter("edges", lambda e: e < x))
-    inside = (x >= F.get("edges", F.lit(0))) & (x <= F.array_max("edges"))
-    return df.join(F.broadcast(edges), how="cross").withColumn("length_bin", F.when(inside, F.greatest(at, F.lit(1)))).drop("edges")
+    found = quantiles(df.where(is_reference), [], [length], cuts).first()
+    edges = sorted(set(found["quantiles"])) if found else []
+    x, at = F.col(length), F.lit(0)
+    for e in edges:
+        at = at + (x > F.lit(e)).cast("int")
+    inside = (x >= edges[0]) & (x <= edges[-1]) if edges else F.lit(False)
+    return df.withColumn("length_bin", F.when(inside, F.greatest(at, F.lit(1))))
 
 
 def average_ranks(df: DataFrame, blocks: list[str], value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from strandmill.functions import rules as R
 from strandmill.functions import scalar as X
 from strandmill.functions import sequence as S
 from strandmill.operators import cluster as C
+from strandmill.operators import distances as D
 from strandmill.operators import stats as T
 from strandmill.plans.registry import query
 from strandmill.plans.sequence_queries import n_sql
@@ -201,8 +202,11 @@ def gower_distance(spark, d):
 
 @query(_GOWER + ", b AS (SELECT i, j, dist FROM g UNION ALL SELECT j, i, dist FROM g), t AS (SELECT i % 4 AS c, i, sum(dist) AS t, count(*) AS n FROM b WHERE i % 4 = j % 4 GROUP BY ALL) SELECT c, arg_min(i, {'a': round(t, 9), 'b': i}) AS medoid, round(min(t) / any_value(n), 6) AS mean_distance, count(*) AS size FROM t GROUP BY 1")
 def medoids(spark, d):
-    clusters = read(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 4).alias("c"))
-    return C.medoids(_gower(spark, d), clusters, "s_suppkey", "c").select("c", "medoid", six(F.col("mean_distance")).alias("mean_distance"), "size")
+    """The members of clusters that are nearest to the others, without pairs."""
+    s = read(spark, d, "supplier").withColumns({"b": F.col("s_suppkey") % 2, "c": F.col("s_suppkey") % 4})
+    scaled, weights = D.gower_scaled(s, [], ["b"], ["s_acctbal"], ["s_nationkey"])
+    found = D.medoids(D.sums(scaled, [], "s_suppkey", "c", ["b", "s_acctbal"], weights), [], "s_suppkey", "c")
+    return found.select("c", "medoid", six(F.col("mean_distance")).alias("mean_distance"), "size")
 
 
 @query()

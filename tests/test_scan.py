@@ -91,3 +91,21 @@ def test_no_range_of_one_hot_key_is_large(spark):
     for df in seen:
         part = next(c for c in df.columns if c.endswith("_part"))
         assert df.groupBy(part).count().agg(F.max("count")).first()[0] < 40_000 / 8
+
+
+@pytest.mark.parametrize("rows_a_key", [0, 10**6])
+def test_quantiles(spark, monkeypatch, rows_a_key):
+    import numpy as np
+
+    monkeypatch.setattr(scan, "KEY_ROWS", rows_a_key)
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, *range(20)]), r.random(), None) for _ in range(150)] + [("one", 5, None, None)]
+    df = spark.createDataFrame(rows, "k string, x int, y double, z double")
+    shares = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = {(q.k, q.column): q.quantiles for q in scan.quantiles(df, ["k"], ["x", "y", "z"], shares).collect()}
+    assert {k for k, c in got if c == "x"} == {"a", "b", None, "one"} and ("one", "y") not in got and not any(c == "z" for _, c in got)
+    for (k, c), q in got.items():
+        own = [x["xyz".index(c) + 1] for x in rows if x[0] == k and x["xyz".index(c) + 1] is not None]
+        assert np.allclose(q, np.quantile(own, shares))
+    whole = {q.column: q.quantiles for q in scan.quantiles(df, [], ["x"], shares).collect()}
+    assert np.allclose(whole["x"], np.quantile([x[1] for x in rows if x[1] is not None], shares))
