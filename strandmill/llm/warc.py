@@ -17,10 +17,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm._common import fresh_dir, prepare
+from strandmill.llm._common import fresh_dir, numbered, prepare
 
 END = "\r\n"
 #: The profile of revisits of identical payloads, and the date of every record.
@@ -42,12 +43,23 @@ def _record(kind: str, record_id: Column, uri: Column, content_type: str, block:
     return F.concat(F.lit("WARC/1.1" + END), *head, F.lit(f"Content-Type: {content_type}{END}Content-Length: "), F.octet_length(block).cast("string"), F.lit(END + END), block)
 
 
+def _identified(pages: DataFrame, columns: list[str]) -> tuple[DataFrame, str]:
+    """Columns of ``pages`` and one that knows a row in every scan: its file and place there; rows that come from no file are stored with numbers."""
+    try:
+        found = pages.select(*(F.col(f"`{c}`") for c in columns), F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("__place"))
+        found.schema
+        return found, "__place"
+    except AnalysisException:
+        return numbered(pages.select(*(F.col(f"`{c}`") for c in columns)), "pages")
+
+
 def write_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = 1000, records_per_file: int = 3000) -> str:
     """Writes the captures of ``pages`` and gives the folder of the archives."""
     spark = prepare(pages.sparkSession)
     folder = fresh_dir(spark, "warc")
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    base = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7f]", "%20").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
+    pages, row = _identified(pages, [id_col, url_col, payload_col])
+    base = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7f]", "%20").alias("url"), payload.alias("payload"), F.col(row).cast("string").alias("row"))
     base = base.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("record", _urn(F.col("row"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("digest")))
     long_enough = base.where(F.octet_length("payload") >= min_revisit)
     # one row per payload: combined before the shuffle, however many rows are equal

@@ -234,7 +234,7 @@ def test_mixing_meets_targets_in_small_shards(spark):
 # 5
 
 
-def test_warc(spark):
+def test_warc(spark, tmp_path):
     long_, longer = "é" * 600, "<p>" + "y" * 2000 + "\r\n\r\nWARC/1.1\r\n\r\n"
     rows = [(1, "http://a/ b", long_), (5, "u", long_), (3, None, long_), (2, "u", "short"), (4, "u", "short"), (6, "u", None), (7, "u", ""), (8, "u", longer), (8, "u", longer), (None, "u", longer)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record string")
@@ -247,6 +247,12 @@ def test_warc(spark):
     assert kinds == Counter({("1", "revisit"): 1, ("5", "response"): 1, ("3", "revisit"): 1, ("2", "response"): 1, ("4", "response"): 1, ("6", "response"): 1, ("7", "response"): 1, ("8", "response"): 1, ("8", "revisit"): 1, (None, "revisit"): 1})
     assert {c.response.payload_digest for c in caps} == {hashlib.sha1((x or "").encode()).hexdigest() for _, _, x in rows}
     assert warc.assemble(warc.read_records(spark, warc.write_captures(pages.limit(0)))).count() == 0
+    # rows of files are known by their place in the file, in whatever order a scan gives them
+    pages.write.parquet(str(tmp_path / "pages"))
+    stored = spark.read.parquet(str(tmp_path / "pages"))
+    assert warc._identified(stored, ["page_id"])[1] == "__place" and warc._identified(pages, ["page_id"])[1] != "__place"
+    shuffled = warc.assemble(warc.read_records(spark, warc.write_captures(stored.orderBy(F.rand())))).collect()
+    assert Counter((c.metadata.fields.get("page-id"), c.response.type) for c in shuffled) == kinds
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
 
