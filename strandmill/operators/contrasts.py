@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.operators.scan import running
+from strandmill.operators.scan import within
 from strandmill.operators.stats import LEAST, chi2_p, compare_binary, mann_whitney_p
+from strandmill.operators.storage import stored
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -26,14 +27,18 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Da
 def medians(counts: DataFrame, keys: list[str], value: str, n: str, name: str = "median") -> DataFrame:
     """The median of each key's values, from (keys, value, n): the mean of the middle two where n is even."""
     totals = counts.groupBy(*keys).agg(F.sum(n).alias("__total"))
-    placed = _same(running(counts.select(*keys, value, n), keys, [value], __upto=("sum", F.col(n))), totals, keys)
+    placed = _same(within(counts.select(*keys, value, n), keys, [value], __upto=("sum", F.col(n))), totals, keys)
     low = F.min(F.when(F.col("__upto") >= F.floor((F.col("__total") + 1) / 2), F.col(value)))
     high = F.min(F.when(F.col("__upto") >= F.floor(F.col("__total") / 2) + 1, F.col(value)))
     return placed.groupBy(*keys).agg(((low + high) / 2).alias(name))
 
 
-def _moments(df: DataFrame, keys: list[str], value: str, suffix: str = "") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n{suffix}"), F.avg(value).alias(f"mean{suffix}"), F.stddev_samp(value).alias(f"sd{suffix}"))
+def _moments(counts: DataFrame, keys: list[str], value: str, n: str, suffix: str = "") -> DataFrame:
+    """n, mean and sd of each key's values, from counts of equal values; deviations are from the mean."""
+    v, k = F.col(value), F.col(n)
+    means = counts.groupBy(*keys).agg(F.sum(k).alias("__n"), (F.sum(v * k) / F.sum(k)).alias("__mean"))
+    per = _same(counts, means, keys).groupBy(*keys).agg(F.max("__n").alias(f"n{suffix}"), F.max("__mean").alias(f"mean{suffix}"), F.sum(k * (v - F.col("__mean")) * (v - F.col("__mean"))).alias("__squares"))
+    return per.withColumn(f"sd{suffix}", F.when(F.col(f"n{suffix}") > 1, F.sqrt(F.col("__squares") / (F.col(f"n{suffix}") - 1)))).drop("__squares")
 
 
 def _cube(n: Column) -> Column:
@@ -48,18 +53,17 @@ def with_reference(long: DataFrame, blocks: list[str], group: str, value: str, i
     A row may be of a group and of the reference. Null values and groups take no part; a block
     without reference rows has n_ref 0 and no test."""
     rows = long.where(F.col(value).isNotNull()).select(*blocks, group, F.col(value).cast("double").alias("__v"), F.coalesce(is_reference, F.lit(False)).alias("__ref"))
-    counts = rows.groupBy(*blocks, group, "__ref", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    counts = stored(rows.groupBy(*blocks, group, "__ref", "__v").agg(F.count(F.lit(1)).alias("__n")), "counts")
     own = counts.where(F.col(group).isNotNull()).groupBy(*blocks, group, "__v").agg(F.sum("__n").alias("__g"))
     ref = counts.groupBy(*blocks, "__v").agg(F.coalesce(F.sum(F.when(F.col("__ref"), F.col("__n"))), F.lit(0)).alias("__r"))
-    ranked = running(ref, blocks, ["__v"], __upto=("sum", F.col("__r")))
+    ranked = within(ref, blocks, ["__v"], __upto=("sum", F.col("__r")))
     g, r = F.col("__g"), F.col("__r")
     met = _same(own, ranked, [*blocks, "__v"]).groupBy(*blocks, group).agg(F.sum(g * (F.col("__upto") - r + r / 2)).alias("u"), F.sum(_cube(g + r) - _cube(r)).alias("__ties"))
-    known, base = rows.where(F.col(group).isNotNull()), rows.where("__ref")
-    of_ref = _moments(base, blocks, "__v", "_ref")
+    there = ref.where("__r > 0")
     ties = ref.groupBy(*blocks).agg(F.sum(_cube(r)).alias("__ref_ties"))
-    found = _same(met, _moments(known, [*blocks, group], "__v", "_group"), [*blocks, group])
+    found = _same(met, _moments(own, [*blocks, group], "__v", "__g", "_group"), [*blocks, group])
     found = _same(found, medians(own, [*blocks, group], "__v", "__g", "median_group"), [*blocks, group])
-    for table in (of_ref, medians(ref.where("__r > 0"), blocks, "__v", "__r", "median_ref"), ties):
+    for table in (_moments(there, blocks, "__v", "__r", "_ref"), medians(there, blocks, "__v", "__r", "median_ref"), ties):
         found = _same(found, table, blocks, "left")
     n_ref = F.coalesce("n_ref", F.lit(0))
     enough = (F.col("n_group") >= 2) & (n_ref >= 2)
@@ -84,15 +88,15 @@ def with_rest(long: DataFrame, blocks: list[str], group: str, value: str) -> Dat
     """Per block and group: n, median, mean, sd, delta_vs_rest (of the group against the block's other groups), and the
     block's omnibus_h and omnibus_p over its groups of two values or more, null with fewer than two such groups."""
     rows = long.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*blocks, group, F.col(value).cast("double").alias("__v"))
-    own = rows.groupBy(*blocks, group, "__v").agg(F.count(F.lit(1)).alias("__g"))
+    own = stored(rows.groupBy(*blocks, group, "__v").agg(F.count(F.lit(1)).alias("__g")), "counts")
     sizes = own.groupBy(*blocks, group).agg(F.sum("__g").alias("n"))
     counted = _same(own, sizes, [*blocks, group])
     # the omnibus test leaves out groups of one value, the contrasts do not
     every = counted.groupBy(*blocks, "__v").agg(F.sum("__g").alias("__a"), F.sum(F.when(F.col("n") >= 2, F.col("__g")).otherwise(0)).alias("__b"))
-    ranked = running(every, blocks, ["__v"], __upto=("sum", F.col("__a")), __upto_b=("sum", F.col("__b")))
+    ranked = within(every, blocks, ["__v"], __upto=("sum", F.col("__a")), __upto_b=("sum", F.col("__b")))
     g, a, b = F.col("__g"), F.col("__a"), F.col("__b")
     sums = _same(own, ranked, [*blocks, "__v"]).groupBy(*blocks, group).agg(F.sum(g * (F.col("__upto") - a + (a + 1) / 2)).alias("__r"), F.sum(g * (F.col("__upto_b") - b + (b + 1) / 2)).alias("__rb"))
-    per = _same(_same(_moments(rows, [*blocks, group], "__v"), medians(own, [*blocks, group], "__v", "__g"), [*blocks, group]), sums, [*blocks, group])
+    per = _same(_same(_moments(own, [*blocks, group], "__v", "__g"), medians(own, [*blocks, group], "__v", "__g"), [*blocks, group]), sums, [*blocks, group])
     large = F.col("n") >= 2
     totals = per.groupBy(*blocks).agg(
         F.sum("n").alias("__all"),

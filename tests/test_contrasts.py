@@ -4,9 +4,11 @@ import math
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandmill.operators import contrasts as K
+from strandmill.operators import scan
 from strandmill.operators import stats as T
 
 
@@ -32,7 +34,9 @@ def delta(xs, ys):
     return sum((x > y) - (x < y) for x in xs for y in ys) / (len(xs) * len(ys)) if len(xs) > 1 and len(ys) > 1 else None
 
 
-def test_with_reference(spark):
+@pytest.mark.parametrize("rows_a_key", [0, 10**6])
+def test_with_reference(spark, monkeypatch, rows_a_key):
+    monkeypatch.setattr(scan, "KEY_ROWS", rows_a_key)
     rows = rows_of()
     got = {(r.block, r.g): r for r in K.with_reference(spark.createDataFrame(rows, SCHEMA).repartition(3), ["block"], "g", "x", F.col("ref")).collect()}
     keys = {(b, g) for b, g, _, x in rows if g is not None and x is not None}
@@ -51,7 +55,9 @@ def test_with_reference(spark):
     assert K.with_reference(spark.createDataFrame([], SCHEMA), ["block"], "g", "x", F.col("ref")).count() == 0
 
 
-def test_with_rest(spark):
+@pytest.mark.parametrize("rows_a_key", [0, 10**6])
+def test_with_rest(spark, monkeypatch, rows_a_key):
+    monkeypatch.setattr(scan, "KEY_ROWS", rows_a_key)
     rows = rows_of(2)
     df = spark.createDataFrame(rows, SCHEMA)
     got = {(r.block, r.g): r for r in K.with_rest(df, ["block"], "g", "x").collect()}
