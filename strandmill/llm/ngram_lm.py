@@ -45,6 +45,8 @@ TABLE_WORDS = 1 << 19
 LEAST = 2
 #: Tokens to a shard, and tokens that a task deals at once.
 SHARD_TOKENS, CHUNK = 2_000_000, 1_000_000
+#: N-grams that are looked up at once, about.
+GROUP = 40_000
 DISCOUNT = 0.75
 #: Quantised values run from 0 to minus this.
 RANGE = 16.0
@@ -487,7 +489,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, one = every.value
         logs, codec = np.log10(one), pa.Codec("zstd")
-        for batch in small(batches, 4000, 16 << 20):
+        for batch in small(batches, 2000, 8 << 20):
             if not batch.num_rows:
                 continue
             words, many = _split(batch.column(3))
@@ -635,13 +637,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         out, rows_out = [], 0
 
         def emitted() -> pa.RecordBatch:
-            number, value = (np.concatenate(x) for x in zip(*out))
-            part = np.searchsorted(ends_of, number, "right")
-            return pa.RecordBatch.from_arrays([pa.array((part_of[part] << 33) + number - begins[part]), pa.array(value)], names=["row", "gain"])
+            return pa.RecordBatch.from_arrays([pa.array([low for low, _ in out], pa.int64()), pa.array([data for _, data in out], pa.binary())], names=["stretch", "gains"])
 
-        for ngrams, asked in packets:
-            b, a, w, n, _ = _unpack(ngrams)
-            many, number, low = _unpack(asked)
+        def gains_of(b: np.ndarray, a: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
             p = (n + 1) / denominator
             there = w < HASHED
             p[there] = one[w[there]]
@@ -657,19 +655,58 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
                     i = np.flatnonzero(part == k)
                     two[i] = file.pair(file.places(b[i]), file.places(w[i]))[0]
             # by how much the n-gram's logarithm differs from the word's
-            gain = np.log10((plain(share) + plain(left) * (plain(two) + rest_ * p)) / p)
-            sums = np.bincount(number, np.repeat(gain, many))
-            some = np.flatnonzero(np.bincount(number))
-            out.append((some + low[0], sums[some]))
-            rows_out += len(some)
+            return np.log10((plain(share) + plain(left) * (plain(two) + rest_ * p)) / p)
+
+        # several packets are looked up at once
+        at = 0
+        while at < len(packets):
+            group, size = [], 0
+            while at < len(packets) and size < GROUP:
+                group.append((_unpack(packets[at][0])[:4], _unpack(packets[at][1])))
+                size += len(group[-1][0][0])
+                at += 1
+            gain = gains_of(*(np.concatenate(x) for x in zip(*(g for g, _ in group))))
+            done = 0
+            for _, (many, number, low) in group:
+                sums = np.bincount(number, np.repeat(gain[done : done + len(many)], many))
+                done += len(many)
+                some = np.flatnonzero(np.bincount(number))
+                out.append((int(low[0]), _pack(some, sums[some])))
+                rows_out += len(some)
             if rows_out > 200_000:
                 yield emitted()
                 out, rows_out = [], 0
         if out:
             yield emitted()
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The gains of rows from the packets of all shards; a row that two stretches share is given by each of them."""
+        parts, size = [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            number, value = (np.concatenate(x) for x in zip(*parts))
+            rows, at = np.unique(number, return_inverse=True)
+            return rows, np.bincount(at, value)
+
+        for batch in batches:
+            for low, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                number, value = _unpack(data.as_py())
+                parts.append((number + low, value))
+                size += len(number)
+                if size > 2 * CHUNK and size > 2 * len(parts[0][0]):
+                    parts = [summed()]
+                    size = len(parts[0][0])
+        if parts:
+            number, value = summed()
+            for i in range(0, len(number), 200_000):
+                n = number[i : i + 200_000]
+                part = np.searchsorted(ends_of, n, "right")
+                yield pa.RecordBatch.from_arrays([pa.array((part_of[part] << 33) + n - begins[part]), pa.array(value[i : i + 200_000])], names=["row", "gain"])
+
     asked = coded.select("row", "held_out", "n_tokens", "codes").mapInArrow(deal, _DEALT)
-    gains = asked.repartitionById(cold + int(offset[-1]), F.col("shard")).mapInArrow(answer, "row long, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
+    answered = asked.repartitionById(cold + int(offset[-1]), F.col("shard")).mapInArrow(answer, "stretch long, gains binary")
+    # a packet for each stretch that a shard answers; what the shards say of a stretch is summed in one task
+    gains = answered.repartition(cold, "stretch").mapInArrow(gather, "row long, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
     zero = lambda c, z: F.coalesce(F.col(c), F.lit(z))
     base = F.col("base_score") + zero("rest", 0.0)
     return coded.drop("codes", "rare").join(rest.select("row", "rest", "more"), "row", "left").join(gains, "row", "left").select(
