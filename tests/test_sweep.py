@@ -117,3 +117,14 @@ def test_cards_and_summaries(spark):
         own = [x for x in rows if x[0] == r.g and at[x[0], x[1]][r.clustering] == r.cluster]
         assert r.cluster != -1 and r["size"] == len(own) and np.isclose(r.prop_f0, np.mean([x[2] for x in own]))
         assert (r.classes or {}) == {c: sum(x[8] == c for x in own) for c in ("x", "y") if any(x[8] == c for x in own)}
+
+
+def test_gower_pairs_of_more_rows_than_a_block(spark, monkeypatch):
+    from strandmill.plans import catalog
+
+    folder = "/root/testdata/sf0.01"
+    want = {(r.i, r.j): r.distance for r in catalog.QUERIES["gower_distance"](spark, folder).collect()}
+    monkeypatch.setattr(C, "MAX_ROWS", 30)
+    monkeypatch.setattr(C, "BLOCK_ROWS", 13, raising=False)
+    got = [tuple(r) for r in catalog.QUERIES["gower_distance"](spark, folder).collect()]
+    assert len(got) == len(want) == 4950 and {(i, j): x for i, j, x in got} == want
