@@ -63,8 +63,10 @@ def merge(calls: DataFrame, keys: list[str], share: float = 0.7, start: str = "s
 
 def bridge(calls: DataFrame, keys: list[str], gap: int, start: str = "start", end: str = "end") -> DataFrame:
     """Joins intervals whose gaps are at most ``gap``: keys, start, end, n."""
-    apart = _stretches(calls, keys, [start, end], start, end, gap + 1)
-    return apart.groupBy(*keys, "__stretch").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n")).drop("__stretch")
+    # equal calls are one row: two passes may order them differently, and part them where a stretch opens
+    each = calls.groupBy(*keys, start, end).agg(F.count(F.lit(1)).alias("__n"))
+    apart = _stretches(each, keys, [start, end], start, end, gap + 1)
+    return apart.groupBy(*keys, "__stretch").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.sum("__n").alias("n")).drop("__stretch")
 
 
 def _stretches(calls: DataFrame, keys: list[str], order: list[str], start: str, end: str, gap: int = 0) -> DataFrame:

@@ -109,3 +109,13 @@ def test_quantiles(spark, monkeypatch, rows_a_key):
         assert np.allclose(q, np.quantile(own, shares))
     whole = {q.column: q.quantiles for q in scan.quantiles(df, [], ["x"], shares).collect()}
     assert np.allclose(whole["x"], np.quantile([x[1] for x in rows if x[1] is not None], shares))
+
+
+def test_equal_calls_that_open_a_stretch_stay_together(spark, monkeypatch):
+    from strandmill.operators.intervals import bridge
+
+    # 50 stretches of 400 equal calls: ranges of the sorted passes end among them
+    calls = spark.range(20_000).repartition(7).select(F.lit("p").alias("k"), (F.col("id") % 50 * 100 + 1).cast("int").alias("start"), (F.col("id") % 50 * 100 + 9).cast("int").alias("end"))
+    monkeypatch.setattr(scan, "KEY_ROWS", 0)
+    got = [tuple(r) for r in bridge(calls, ["k"], 3).orderBy("start").collect()]
+    assert got == [("p", i * 100 + 1, i * 100 + 9, 400) for i in range(50)]
