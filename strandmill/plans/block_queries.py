@@ -32,8 +32,9 @@ def proteins(spark, d):
 
 def sentences(spark, d):
     """doc_id, g, is_ref, place (which third of the document), seq, length of every sentence with a residue."""
-    parts = F.split("text", r"[.\n]+")
-    each = read(spark, d, "documents").select("doc_id", F.col("source").alias("g"), (F.col("lang") == "en").alias("is_ref"), F.size(parts).alias("n"), F.posexplode(parts).alias("i", "s"))
+    docs = read(spark, d, "documents").select("doc_id", F.col("source").alias("g"), (F.col("lang") == "en").alias("is_ref"), F.split("text", r"[.\n]+").alias("parts"))
+    # their number in a step of its own: beside posexplode it would be computed, text and all, for every sentence
+    each = docs.select("*", F.size("parts").alias("n")).select("doc_id", "g", "is_ref", "n", F.posexplode("parts").alias("i", "s"))
     place = F.get(F.array(*map(F.lit, PLACES)), F.floor(3 * F.col("i") / F.col("n")).cast("int"))
     seqs = each.select("doc_id", "g", "is_ref", place.alias("place"), S.clean(F.col("s")).alias("seq"))
     return seqs.withColumn("length", F.length("seq")).where("length > 0")

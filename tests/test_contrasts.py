@@ -95,3 +95,11 @@ def test_reported_values(spark):
     df = spark.createDataFrame([("a", "x", 2), ("a", "y", 3), ("b", "y", 4), (None, "x", 5), ("b", None, 6)], "g string, v string, n int")
     got = {tuple(r) for r in T.one_vs_rest(df, "g", "v", F.col("n"), ["x", "never"]).collect()}
     assert got == {("a", "x", 2, 5, 0, 4), ("b", "x", 0, 4, 2, 5), ("a", "never", 0, 5, 0, 4), ("b", "never", 0, 4, 0, 5)}
+
+
+def test_a_text_is_split_once_and_not_for_every_sentence(spark):
+    from strandmill.plans.block_queries import sentences
+
+    plan = sentences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate posexplode")
+    assert "split(text" not in above and "split(text" in below
