@@ -103,3 +103,10 @@ def test_a_text_is_split_once_and_not_for_every_sentence(spark):
     plan = sentences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Generate posexplode")
     assert "split(text" not in above and "split(text" in below
+
+
+def test_sizes_are_read_and_not_computed_beside_their_items(spark):
+    from strandmill.plans import catalog
+
+    plan = catalog.QUERIES["position_block"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan
