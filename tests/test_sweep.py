@@ -128,3 +128,37 @@ def test_gower_pairs_of_more_rows_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK_ROWS", 13, raising=False)
     got = [tuple(r) for r in catalog.QUERIES["gower_distance"](spark, folder).collect()]
     assert len(got) == len(want) == 4950 and {(i, j): x for i, j, x in got} == want
+
+
+def mixed(copies):
+    r = np.random.default_rng(5)
+    out = []
+    for g, n in (("a", 400), (None, 150), ("c", 40)):
+        c = r.integers(0, 4, n)
+        x, f = r.normal(c[:, None] * 2.0, 1, (n, 2)), (r.random((n, 3)) < 0.2 + 0.2 * c[:, None]).astype(int)
+        for i in range(n):
+            j = r.integers(0, i + 1) if g is None and copies and i % 5 == 0 else i
+            out.append((g, i, *map(int, f[j]), *map(float, x[j])))
+    return out, "g string, id long, f0 int, f1 int, f2 int, c0 double, c1 double"
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    from strandmill.operators import blocked
+
+    for name, value in {"BLOCK": 70, "SLAB": 32, "BIG": 8, "LEFT": 30}.items():
+        monkeypatch.setattr(blocked, name, value)
+
+
+def test_sweep_of_large_groups_goes_by_blocks(spark, small_blocks):
+    df = spark.createDataFrame(*mixed(copies=True))
+    args = ("g", "id", ["f0", "f1", "f2"], ["c0", "c1"], [2, 4], 10, 8)
+    whole, blocks = ({(r.g, r.id): r for r in t.collect()} for t in (P.sweep(df, *args), P.sweep(df, *args, dense_rows=100)))
+    assert whole.keys() == blocks.keys() and len(whole) == 590
+    for at, w in whole.items():
+        if at[0] is None:  # copies leave the density tree open
+            assert all(w[c] == blocks[at][c] for c in w.asDict() if c.startswith("cluster") and "hdbscan" not in c)
+        else:
+            assert np.allclose(w[2:], blocks[at][2:], atol=1e-9)
+    with pytest.raises(ValueError, match="missing values"):
+        P.sweep(df.withColumn("c0", F.when(F.col("id") > 0, F.col("c0"))), *args, dense_rows=100)
