@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -125,6 +126,8 @@ def _apart(i: np.ndarray, right: np.ndarray) -> np.ndarray:
 #: Texts with other white space than single spaces and line feeds between other characters.
 _OTHER = r"\t\r\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ODD = rf"[{_OTHER}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
+#: Marks that are neither letters nor digits nor white space.
+MARKS = string.punctuation
 #: A single space between two characters that are not white space.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
@@ -134,12 +137,13 @@ class Memory:
 
     No piece of the pattern reaches over a single space between two characters that are not
     white space: the space begins the next piece. A line feed between two such characters is
-    a piece. So each part can be encoded, and remembered, alone. A key is a part after a
+    a piece. So each part can be encoded, and remembered, alone; ``marks`` after a letter or digit
+    are a piece too. A key is a part after a
     space, or a line feed and the part after it. ``encode`` gives the ids of strings, as
     little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode) -> None:
-        self.encode = encode
+    def __init__(self, encode, marks: str = MARKS) -> None:
+        self.encode, self.marks = encode, marks
         self.known: dict[str, bytes] = {"": b""}
         self.held = 0
         self.feed = encode(["\n"])[0]
@@ -148,13 +152,14 @@ class Memory:
         fresh = [k for k in keys if k not in self.known]
         if len(self.known) + len(fresh) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.known, self.held, fresh = {"": b""}, 0, [k for k in keys if k]
-        # a comma or full stop after a letter or digit is a piece of its own: the stem is learnt alone
-        stems = {k: k[:-1] for k in fresh if len(k) > 2 and k[-1] in ".," and k[-2].isalnum()}
+        # marks at the end, after a letter or digit, are a piece of their own: the stem is learnt alone
+        stems = {k: stem for k in fresh if not k[-1].isalnum() and (stem := k.rstrip(self.marks)) and len(stem) < len(k) and stem[-1].isalnum()}
         whole = [*{*stems.values(), *(k for k in fresh if k not in stems)}.difference(self.known)]
-        ids = self.encode([*(k[1:] if k[0] == "\n" else " " + k for k in whole), ".", ","])
-        end = dict(zip(".,", ids[-2:]))
-        self.known.update((k, self.feed + i if k[0] == "\n" else i) for k, i in zip(whole, ids))
-        self.known.update((k, self.known[stem] + end[k[-1]]) for k, stem in stems.items())
+        marks = [*{k[len(stem) :] for k, stem in stems.items()}]
+        ids = self.encode([*[k[1:] if k[0] == "\n" else " " + k for k in whole], *marks])
+        end = dict(zip(marks, ids[len(whole) :]))
+        self.known.update([(k, self.feed + i if k[0] == "\n" else i) for k, i in zip(whole, ids)])
+        self.known.update([(k, self.known[stem] + end[k[len(stem) :]]) for k, stem in stems.items()])
         self.held += sum(map(len, whole)) + sum(map(len, ids)) + sum(len(k) + len(self.known[k]) for k in stems)
 
     def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -164,7 +169,7 @@ class Memory:
         marked = pc.replace_substring(pc.binary_join_element_wise("\n", plain, ""), "\n", " \n")
         parts = pc.split_pattern(marked, " ")
         coded = parts.flatten().dictionary_encode()
-        keys, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        keys, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         self._learn(keys)
         ids = [self.known[k] for k in keys]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm._common import cut, filesystem, fresh_dir, prepare, read_mapped
-from strandmill.llm.bpe import Memory, few_at_a_time
+from strandmill.llm.bpe import MARKS, Memory, few_at_a_time
 
 MAGIC = b"SMPF1\0\0\0"
 BLOCK = 1024
@@ -132,6 +132,10 @@ class Reader:
         return np.concatenate(found)[a - off : b - off] if found else np.zeros(0, np.int64)
 
 
+#: Parts on the lines of one text: the library takes longer for each, alone or among very many.
+LINES = 100
+
+
 def library_encoder(tokenizer):
     """Encodes parts by the tokenizers library, many in one call.
 
@@ -142,19 +146,22 @@ def library_encoder(tokenizer):
     def alone(parts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def lines(some: list[str]) -> list[bytes]:
+        # without offsets, which the batch call leaves out
+        texts = ["\n".join(some[a : a + LINES]) + "\n" for a in range(0, len(some), LINES)]
+        ids = np.concatenate([np.asarray(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]) if some else np.zeros(0, "<u4")
+        ends = (4 * np.flatnonzero(ids == feed[0])).tolist()
+        if len(ends) != len(some):
+            raise ValueError("this tokenizer does not keep line feeds apart")
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]
+
     def encode(parts: list[str]) -> list[bytes]:
-        out: dict[int, bytes] = {}
-        plain = [i for i, p in enumerate(parts) if len(feed) == 1 and (q := p[1:] if p[:1] == " " else p) and not any(map(str.isspace, q))]
-        for a in range(0, len(plain), 20_000):
-            some = plain[a : a + 20_000]
-            # without offsets, which the batch call leaves out
-            ids = np.asarray(tokenizer.encode_batch_fast(["\n".join([parts[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == feed[0])
-            if len(at) != len(some) - 1:
-                raise ValueError("this tokenizer does not keep line feeds apart")
-            data, ends = ids.tobytes(), [0, *(4 * at).tolist(), 4 * len(ids)]
-            for k, i in enumerate(some):
-                out[i] = data[ends[k] + (4 if k else 0) : ends[k + 1]]
+        bare = [p[1:] if p[:1] == " " else p for p in parts]
+        if len(feed) == 1 and "\n".join(bare).split() == bare:
+            return [i for a in range(0, len(parts), 20_000) for i in lines(parts[a : a + 20_000])]
+        plain = [i for i, q in enumerate(bare) if len(feed) == 1 and q and not any(map(str.isspace, q))]
+        out = {i: ids for a in range(0, len(plain), 20_000) for i, ids in zip(plain[a : a + 20_000], lines([parts[i] for i in plain[a : a + 20_000]]))}
         others = [i for i in range(len(parts)) if i not in out]
         out.update(zip(others, alone([parts[i] for i in others])))
         return [out[i] for i in range(len(parts))]
@@ -167,6 +174,12 @@ def cuttable(tokenizer) -> bool:
     return not any(t.lstrip or t.rstrip or t.single_word or any(map(str.isspace, t.content)) for t in tokenizer.get_added_tokens_decoder().values())
 
 
+def marks(tokenizer) -> str:
+    """The marks after a word that are a piece of their own: those that no added token holds."""
+    held = {c for t in tokenizer.get_added_tokens_decoder().values() for c in t.content}
+    return "".join(c for c in MARKS if c not in held)
+
+
 class Whole:
     """Encodes whole texts, for tokenizers whose texts may not be cut."""
 
@@ -188,7 +201,7 @@ def _encoder(tokenizer_json: str) -> Memory | Whole:
     if tokenizer_json not in _encoders:
         _encoders.clear()
         tokenizer = Tokenizer.from_str(tokenizer_json)
-        _encoders[tokenizer_json] = Memory(library_encoder(tokenizer)) if cuttable(tokenizer) else Whole(tokenizer)
+        _encoders[tokenizer_json] = Memory(library_encoder(tokenizer), marks(tokenizer)) if cuttable(tokenizer) else Whole(tokenizer)
     return _encoders[tokenizer_json]
 
 

@@ -540,3 +540,25 @@ def test_bpe_remembers_a_bounded_size(monkeypatch):
         text = f"{'long' * 50}{k} b{k}."
         assert [list(ids) for ids in held.of(pa.array([text]))] == [list(text.encode())]
         assert len(held.known) < 10
+
+
+def test_marks_at_the_end_are_learnt_once():
+    """Words with other marks after them are their stems and the marks, for the library's encoder and the merges alike."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from strandmill.llm import bpe, packed
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    merges = bpe.merge_encoder(bpe.Merges(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))), public_tokenizers.PATTERN)
+    texts = ["Grün grün$$$ grün.%%% grün&&& grün!! grün... 12 12%% 12.", "$$$ ,. -a- a's' it's. don't'! \n.", "é. é. ½. ²! x . _ __a__ #a# `", "a\nb.\nb,,\n\n c!", "".join(map(chr, range(33, 127)))]
+    texts += [f"w{m}" for m in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"] + ["\n".join(f"u{i}v w{i}!" for i in range(250))]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for encode in (packed.library_encoder(tokenizer), merges):
+        asked = []
+        held = bpe.Memory(lambda parts, encode=encode: asked.extend(parts) or encode(parts), packed.marks(tokenizer))
+        assert [x.tolist() for x in held.of(pa.array(texts))] == want
+        assert [p for p in asked if "grün" in p] == [" grün"]
+    odd = ["a b", " ", "c", " d", "e\u00a0"]
+    assert packed.library_encoder(tokenizer)(odd) == [np.array(tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in odd]
