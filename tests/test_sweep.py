@@ -162,3 +162,11 @@ def test_sweep_of_large_groups_goes_by_blocks(spark, small_blocks):
             assert np.allclose(w[2:], blocks[at][2:], atol=1e-9)
     with pytest.raises(ValueError, match="missing values"):
         P.sweep(df.withColumn("c0", F.when(F.col("id") > 0, F.col("c0"))), *args, dense_rows=100)
+
+
+def test_stability_of_large_groups_goes_by_blocks(spark, small_blocks):
+    df = spark.createDataFrame(*mixed(copies=True))
+    args = ("g", "id", ["f0", "f1", "f2"], ["c0", "c1"], [2, 4], 2)
+    whole, blocks = ({(r.g, r.algorithm, r.k): r[3:] for r in t.collect()} for t in (P.stability(df, *args), P.stability(df, *args, dense_rows=100)))
+    assert whole.keys() == blocks.keys() and len(whole) == 12
+    assert all(np.allclose(whole[at], blocks[at], atol=1e-9) for at in whole)
