@@ -170,3 +170,13 @@ def test_stability_of_large_groups_goes_by_blocks(spark, small_blocks):
     whole, blocks = ({(r.g, r.algorithm, r.k): r[3:] for r in t.collect()} for t in (P.stability(df, *args), P.stability(df, *args, dense_rows=100)))
     assert whole.keys() == blocks.keys() and len(whole) == 12
     assert all(np.allclose(whole[at], blocks[at], atol=1e-9) for at in whole)
+
+
+def test_clusterings_of_large_groups_go_by_blocks(spark, small_blocks):
+    df = spark.createDataFrame(*mixed(copies=True)).fillna({"g": "b"})
+    args = ("g", "id", ["f0", "c0", "c1"], 3, 10, 8)
+    whole, blocks = ({(r.g, r.id): r for r in t.collect()} for t in (C.cluster_groups(df, *args), C.cluster_groups(df, *args, dense_rows=100)))
+    assert whole.keys() == blocks.keys() and len(whole) == 590
+    for at, w in whole.items():
+        some = ["pam", "hierarchical", "axis1", "axis2"] + ([] if at[0] == "b" else ["hdbscan", "hdbscan_confidence"])  # copies leave the density tree open
+        assert np.allclose([w[c] for c in some], [blocks[at][c] for c in some], atol=1e-6)
