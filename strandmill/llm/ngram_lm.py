@@ -7,8 +7,8 @@ the next lower order. ``LEAST`` is a count, the same for every size of the corpu
 
 Tasks deal all n-grams, each with the rows that ask for it, once: to shards by the hash of
 the word before the last. So a shard has every count of its contexts. Its task counts the
-n-grams of training documents, writes the shard's trie, maps it into memory and answers the
-rows by it. A trie has the words of the shard; under each word its next words, and the words
+n-grams of training documents, writes the shard's trie, maps it into memory, looks up each
+different n-gram in it once, in order, and answers the rows by that. A trie has the words of the shard; under each word its next words, and the words
 before it; under each of these pairs the next words. A level's ids are made monotone by adding
 the last value before each context, and kept in Elias-Fano code, with monotone pointers, also
 in Elias-Fano code, to where each context's ids start. Both parts of a code are read where
@@ -45,7 +45,7 @@ TABLE_WORDS = 1 << 19
 LEAST = 2
 #: Tokens to a shard, and tokens that a task deals at once.
 SHARD_TOKENS, CHUNK = 2_000_000, 1_000_000
-#: N-grams that are looked up at once, about.
+#: N-grams that are looked up at once.
 GROUP = 40_000
 DISCOUNT = 0.75
 #: Quantised values run from 0 to minus this.
@@ -59,6 +59,8 @@ SELDOM = 1 << 62
 #: The place of the r-th bit that is set in a byte.
 _PLACE = np.array([[([b for b in range(8) if x >> b & 1] + [0] * 8)[r] for r in range(8)] for x in range(256)], np.int64)
 
+_BYTES = np.uint64(0x0101010101010101)
+
 
 class EliasFano:
     """A monotone sequence: high parts in unary with counts of ones by word of 64 bits, low parts packed."""
@@ -69,6 +71,7 @@ class EliasFano:
         self.ones = np.frombuffer(data, "<i8", high_words + 1, 40 + 8 * high_words)
         self.low = np.frombuffer(data, "<u8", low_words, 48 + 16 * high_words)
         self.size = 48 + 8 * (2 * high_words + low_words)
+        self.zeros = None
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
@@ -93,11 +96,15 @@ class EliasFano:
 
     def _bit(self, word: np.ndarray, r: np.ndarray) -> np.ndarray:
         """The place of the r-th bit that is set in each word."""
-        octets = word.astype("<u8").view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(octets), 1, dtype=np.int64)
-        k = (upto <= r[:, None]).sum(1)
-        at = np.arange(len(k))
-        return 8 * k + _PLACE[octets[at, k], r - np.where(k > 0, upto[at, k - 1], 0)]
+        x = word - (word >> np.uint64(1) & np.uint64(0x5555555555555555))
+        x = (x & np.uint64(0x3333333333333333)) + (x >> np.uint64(2) & np.uint64(0x3333333333333333))
+        # byte k has the number of bits up to byte k
+        upto = (x + (x >> np.uint64(4)) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
+        r = r.astype(np.uint64)
+        k = np.bitwise_count((r * _BYTES | _BYTES << np.uint64(7)) - upto & _BYTES << np.uint64(7))
+        at = k.astype(np.uint64) << np.uint64(3)
+        r -= (upto << np.uint64(8)) >> at & np.uint64(255)
+        return 8 * k.astype(np.int64) + _PLACE[(word >> at & np.uint64(255)).astype(np.int64), r.astype(np.int64)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -117,11 +124,12 @@ class EliasFano:
         lo, hi = np.full(len(h), self.n), np.full(len(h), self.n)
         some = np.flatnonzero(h <= self.top)
         if len(some):
-            zeros = 64 * np.arange(len(self.ones)) - self.ones
+            if self.zeros is None:
+                self.zeros = 64 * np.arange(len(self.ones)) - self.ones
 
             def zero(r):
-                w = zeros.searchsorted(r, "right") - 1
-                return 64 * w + self._bit(~self.high[w], r - zeros[w])
+                w = self.zeros.searchsorted(r, "right") - 1
+                return 64 * w + self._bit(~self.high[w], r - self.zeros[w])
 
             g = h[some]
             # the zero before the first value of h, and the next one: mostly in the same word
@@ -158,9 +166,12 @@ def quantise(log10: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(-log10, 0, RANGE) * (65535 / RANGE)).astype("<u2")
 
 
+_PLAIN = np.append(10 ** (np.arange(65536) * (-RANGE / 65535)), 0.0)
+
+
 def plain(quantised: np.ndarray) -> np.ndarray:
     """What was quantised, 0 for -1."""
-    return np.where(quantised >= 0, 10 ** (quantised * (-RANGE / 65535)), 0.0)
+    return _PLAIN[quantised]
 
 
 class Level:
@@ -225,6 +236,58 @@ def _sums(n: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
     return h[first], np.add.reduceat(n[o], first) if len(first) else n, *(k[first] for k in keys)
 
 
+def _ranks(arrays: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The different codes of arrays in order, and each array as places among them. Empties the list, to free memory."""
+    far = [np.flatnonzero(x >= HASHED) for x in arrays]
+    others = np.unique(np.concatenate([x[f] for x, f in zip(arrays, far)]))
+    # those of the table, and -1, are marked instead of sorted
+    seen = np.zeros(TABLE_WORDS + 2, bool)
+    for x in arrays:
+        seen[np.minimum(x, TABLE_WORDS) + 1] = True
+    seen[-1] = False
+    inside, place, out = np.flatnonzero(seen) - 1, (np.cumsum(seen) - 1).astype(np.int32), []
+    while arrays:
+        x, f = arrays.pop(0), far.pop(0)
+        out.append(place[np.minimum(x, TABLE_WORDS) + 1])
+        out[-1][f] = len(inside) + others.searchsorted(x[f])
+    return np.concatenate([inside, others]), *out
+
+
+class NGrams:
+    """Each different n-gram once, in order of b, a and w, as places in ``words``, with the sum of its ``n``; and each different (b, w).
+
+    ``at`` is where each given one went, ``pair`` where each different one's (b, w) is."""
+
+    def __init__(self, codes: list[np.ndarray], n: np.ndarray) -> None:
+        """Empties the list ``codes`` of b, a and w, to free memory."""
+        self.words, b, a, w = _ranks(codes)
+        v = len(self.words)
+        key = b.astype(np.int64) * v + a
+        if v**3 >= 1 << 63:
+            key = np.unique(key, return_inverse=True)[1]
+        first, o, self.at = self._groups(key * v + w)
+        self.n = np.add.reduceat(n[o], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+        some = o[first]
+        self.b, self.a, self.w = b[some], a[some], w[some]
+        del key, b, a, w, o
+        first, o, self.pair = self._groups(self.b.astype(np.int64) * v + self.w)
+        self.pair_n = np.add.reduceat(self.n[o], first) if len(first) else self.n
+        self.pair_b, self.pair_w = self.b[o[first]], self.w[o[first]]
+
+    @staticmethod
+    def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where equal keys begin in order, the order, and each one's group."""
+        o = np.argsort(key)
+        key = key[o]
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
+        at = np.empty(len(o), np.int32)
+        at[o] = np.cumsum(new, dtype=np.int32) - 1
+        return np.flatnonzero(new), o, at
+
+    def codes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.words[self.b], self.words[self.a], self.words[self.w]
+
+
 class Shard:
     """The trie of the contexts that are dealt to one task."""
 
@@ -241,31 +304,34 @@ class Shard:
         self.triples = Level(data[at + self.pairs.size + self.before.size :])
 
     @staticmethod
-    def encode(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: np.ndarray, totals: np.ndarray | None = None) -> tuple[bytes, float]:
-        """Counted n-grams of training documents, each once (a is -1 where a text begins), and the mass of the pairs that are held.
+    def encode(grams: NGrams, totals: np.ndarray | None = None) -> tuple[bytes, float]:
+        """The trie of counted n-grams of training documents (a is -1 where a text begins), and the mass of the pairs that are held.
 
         With ``totals``, of each pair's context, only pairs are counted and they are all given."""
-        _, n2, b2, w2, *t = _sums(n, b, w) if totals is None else (None, n, b, w, totals)
-        hb, nb, _ = _sums(n2, b2)
-        total = t[0] if t else nb[hb.searchsorted(_mixed(b2))]
-        held2 = np.flatnonzero((n2 >= LEAST) & (w2 != SELDOM))
-        b2, w2, share2 = b2[held2], w2[held2], (n2[held2] - DISCOUNT) / total[held2]
-        three = np.flatnonzero(a >= 0)
-        hc, nc, _, _ = _sums(n[three], b[three], a[three])
-        held3 = three[(n[three] >= LEAST) & (w[three] != SELDOM)]
-        a3, b3, w3 = a[held3], b[held3], w[held3]
-        share3 = (n[held3] - DISCOUNT) / nc[hc.searchsorted(_mixed(b3, a3))]
-        words = np.unique(np.concatenate([b2, w2, a3, b3, w3]))
-        b2, w2, a3, b3, w3 = (words.searchsorted(x) for x in (b2, w2, a3, b3, w3))
+        v, fit = len(grams.words), grams.words != SELDOM
+        total = np.bincount(grams.b, grams.n, v)[grams.pair_b] if totals is None else totals
+        held2 = np.flatnonzero((grams.pair_n >= LEAST) & fit[grams.pair_w])
+        b2, w2, share2 = grams.pair_b[held2], grams.pair_w[held2], (grams.pair_n[held2] - DISCOUNT) / total[held2]
+        # n-grams stand in order of (b, a)
+        new = np.append(True, (grams.b[1:] != grams.b[:-1]) | (grams.a[1:] != grams.a[:-1]))[: len(grams.b)]
+        context = np.cumsum(new) - 1
+        many = np.bincount(context, grams.n)
+        held3 = np.flatnonzero((grams.n >= LEAST) & (grams.words[grams.a] >= 0) & fit[grams.w])
+        a3, b3, w3, context = grams.a[held3], grams.b[held3], grams.w[held3], context[held3]
+        share3 = (grams.n[held3] - DISCOUNT) / many[context]
+        used = np.zeros(v, bool)
+        for x in (b2, w2, a3, b3, w3):
+            used[x] = True
+        words, place = grams.words[used], np.cumsum(used) - 1
+        b2, w2, a3, b3, w3 = (place[x] for x in (b2, w2, a3, b3, w3))
         rest = lambda of, share, m: np.log10(np.maximum(1 - np.bincount(of, share, m), 1e-16))
         head = np.array([len(words)], "<u8").tobytes() + words.astype("<i8").tobytes()
         left = quantise(rest(b2, share2, len(words))).tobytes()
-        o = np.lexsort((w2, b2))
-        pairs = Level.encode(len(words), b2[o], w2[o], np.log10(share2[o]))
-        node, of = np.unique(b3 * len(words) + a3, return_inverse=True)
-        before = Level.encode(len(words), node // max(1, len(words)), node % max(1, len(words)), rest(of, share3, len(node)))
-        o = np.lexsort((w3, of))
-        triples = Level.encode(len(node), of[o], w3[o], np.log10(share3[o]))
+        pairs = Level.encode(len(words), b2, w2, np.log10(share2))
+        new = np.append(True, context[1:] != context[:-1])[: len(context)]
+        of, nodes = np.cumsum(new) - 1, int(new.sum())
+        before = Level.encode(len(words), b3[new], a3[new], rest(of, share3, nodes))
+        triples = Level.encode(nodes, of, w3, np.log10(share3))
         return head + left + b"\0" * (-len(left) % 8) + pairs + before + triples, float(share2.sum())
 
     def places(self, x: np.ndarray) -> np.ndarray:
@@ -319,9 +385,51 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _slices(sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The places of the chosen ones' items, when each one's items lie end to end."""
-    first = np.cumsum(sizes) - sizes
+class Packets:
+    """The n-grams of packets, each different one once, and what each packet asks."""
+
+    def __init__(self) -> None:
+        self.ngrams, self.asked, self.size, self.folds, self.different = [], [], 0, [], None
+
+    def add(self, ngrams: bytes, asked: bytes) -> None:
+        b, a, w, of_word, n = _unpack(ngrams)
+        self.ngrams.append((b, a, w, n.astype(np.int32), of_word))
+        self.asked.append(asked)
+        self.size += len(b)
+        if self.size > 2 * CHUNK and (self.different is None or self.size > len(self.different.n)):
+            self.fold()
+
+    def fold(self) -> None:
+        """Joins the n-grams that were added to the different ones so far."""
+        if not self.ngrams:
+            return
+        known = 0
+        if self.different is not None:
+            known = len(self.different.n)
+            self.ngrams.insert(0, (*self.different.codes(), self.different.n, self.of_word[self.different.w]))
+        lengths = [len(x[0]) for x in self.ngrams]
+        columns, self.ngrams, self.different = list(zip(*self.ngrams)), [], None
+        of_word, n = np.concatenate(columns.pop()), np.concatenate(columns.pop())
+        codes = [np.concatenate(columns.pop(0)) for _ in range(3)]
+        found = NGrams(codes, n)
+        # a count belongs to the word, whichever n-gram brings it
+        self.of_word = np.zeros(len(found.words), np.int64)
+        self.of_word[found.w[found.at]] = of_word
+        self.folds.append((known, lengths[1:] if known else lengths, self.asked, found.at))
+        self.different, self.asked, self.size = found, [], 0
+
+    def spread(self, value: np.ndarray) -> Iterator[tuple[bytes, np.ndarray]]:
+        """What each packet asks, and the values of its n-grams from those of the different ones."""
+        for known, lengths, asked, at in reversed(self.folds):
+            end = known
+            for question, length in zip(asked, lengths):
+                yield question, value[at[end : end + length]]
+                end += length
+            value = value[at[:known]]
+
+
+def _slices(first: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The places of the chosen ones' items, when each one's items lie end to end from its first."""
     some = sizes[which]
     return np.repeat(first[which] - (np.cumsum(some) - some), some) + np.arange(int(some.sum()))
 
@@ -557,8 +665,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
                     _, n, b, w = _sums(*(np.concatenate([p[i] for p in parts]) for i in (2, 0, 1)))
                     parts, size = [[b, w, n]], len(n)
         if part is not None:
-            _, n, b, w = _sums(*(np.concatenate([p[i] for p in parts]) for i in (2, 0, 1)))
-            data, mass = Shard.encode(np.full(len(b), -1), b, w, n, counts[b])
+            b, w, n = (np.concatenate(x) for x in zip(*parts))
+            grams = NGrams([b, np.full(len(b), -1), w], n)
+            data, mass = Shard.encode(grams, counts[grams.words[grams.pair_b]])
             write_once(f"{folder}/hot-{part}.trie", data)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([mass])], names=["part", "mass"])
 
@@ -602,10 +711,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
             if len(hot):
                 out = np.flatnonzero(b < len(hot))
                 shard[out] = cold + offset[b[out]] + (_mixed(a[out]) % hot[b[out]].astype(np.uint64)).astype(np.int64)
-            low = int(number.min())
+            low, begin = int(number.min()), first
 
             def packed(i):
-                mine = number[_slices(many, i)]
+                mine = number[_slices(begin, many, i)]
                 return _pack(b[i], a[i], w[i], n[i], trained[i]), _pack(many[i], mine - low, np.array([low]))
 
             yield from _dealt(shard, packed)
@@ -614,65 +723,56 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = chances.value
-        packets, parts, size, shard = [], [], 0, None
+        packets, shard = Packets(), None
         for batch in batches:
             for shard, ngrams, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                packets.append((ngrams.as_py(), asked.as_py()))
-                b, a, w, _, n = _unpack(packets[-1][0])
-                train = np.flatnonzero(n)
-                parts.append([n[train], b[train], a[train], w[train]])
-                size += len(train)
-                if size > 2 * CHUNK and size > 2 * len(parts[0][0]):
-                    parts = [_sums(*(np.concatenate(x) for x in zip(*parts)))[1:]]
-                    size = len(parts[0][0])
+                packets.add(ngrams.as_py(), asked.as_py())
         if shard is None:
             return
-        _, n, b, a, w = _sums(*(np.concatenate(x) for x in zip(*parts)))
+        packets.fold()
+        grams = packets.different
         rank = int(offset.searchsorted(shard - cold, "right")) - 1 if shard >= cold else -1
         path = f"{folder}/{shard}.trie"
-        write_once(path, Shard.encode(a, b, w, n)[0])
-        del n, a, b, w, parts
+        write_once(path, Shard.encode(grams)[0])
         trie = Shard(read_mapped(path))
         files = {k: Shard(read_mapped(f"{folder}/hot-{k}.trie")) for k in range(offset[rank], offset[rank + 1]) if k in hot_built} if rank >= 0 else {}
+        # each different n-gram is looked up once, and so is each pair; those of a context stand together
+        there = (grams.words >= 0) & (grams.words < HASHED)
+        p = (packets.of_word + 1) / denominator
+        p[there] = one[grams.words[there]]
+        place = trie.places(grams.words)
+        below = np.empty(len(grams.pair_b))
+        for i in range(0, len(below), GROUP):
+            b, w = grams.pair_b[i : i + GROUP], grams.pair_w[i : i + GROUP]
+            if rank < 0:
+                two, left = trie.pair(place[b], place[w])
+                left = plain(left)
+            else:
+                two, left = np.full(len(b), -1), hot_left[rank]
+                part = offset[rank] + (_mixed(grams.words[w]) % np.uint64(hot[rank])).astype(np.int64)
+                for k, file in files.items():
+                    mine = np.flatnonzero(part == k)
+                    two[mine] = file.pair(file.places(grams.words[b[mine]]), file.places(grams.words[w[mine]]))[0]
+            below[i : i + GROUP] = plain(two) + left * p[w]
+        # by how much the n-gram's logarithm differs from the word's
+        gain = np.empty(len(grams.n))
+        for i in range(0, len(gain), GROUP):
+            b, a, w, pair = (x[i : i + GROUP] for x in (grams.b, grams.a, grams.w, grams.pair))
+            share, left = trie.triple(place[a], place[b], place[w])
+            gain[i : i + GROUP] = np.log10((plain(share) + plain(left) * below[pair]) / p[w])
+        del grams, below, there, place
         out, rows_out = [], 0
 
         def emitted() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([low for low, _ in out], pa.int64()), pa.array([data for _, data in out], pa.binary())], names=["stretch", "gains"])
 
-        def gains_of(b: np.ndarray, a: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
-            p = (n + 1) / denominator
-            there = w < HASHED
-            p[there] = one[w[there]]
-            x, y, z = trie.places(b), trie.places(a), trie.places(w)
-            share, left = trie.triple(y, x, z)
-            if rank < 0:
-                two, rest_ = trie.pair(x, z)
-                rest_ = plain(rest_)
-            else:
-                two, rest_ = np.full(len(b), -1), np.full(len(b), hot_left[rank])
-                part = offset[rank] + (_mixed(w) % np.uint64(hot[rank])).astype(np.int64)
-                for k, file in files.items():
-                    i = np.flatnonzero(part == k)
-                    two[i] = file.pair(file.places(b[i]), file.places(w[i]))[0]
-            # by how much the n-gram's logarithm differs from the word's
-            return np.log10((plain(share) + plain(left) * (plain(two) + rest_ * p)) / p)
-
-        # several packets are looked up at once
-        at = 0
-        while at < len(packets):
-            group, size = [], 0
-            while at < len(packets) and size < GROUP:
-                group.append((_unpack(packets[at][0])[:4], _unpack(packets[at][1])))
-                size += len(group[-1][0][0])
-                at += 1
-            gain = gains_of(*(np.concatenate(x) for x in zip(*(g for g, _ in group))))
-            done = 0
-            for _, (many, number, low) in group:
-                sums = np.bincount(number, np.repeat(gain[done : done + len(many)], many))
-                done += len(many)
-                some = np.flatnonzero(np.bincount(number))
-                out.append((int(low[0]), _pack(some, sums[some])))
-                rows_out += len(some)
+        packets.different = None
+        for asked, gains in packets.spread(gain):
+            many, number, low = _unpack(asked)
+            sums = np.bincount(number, np.repeat(gains, many))
+            some = np.flatnonzero(np.bincount(number))
+            out.append((int(low[0]), _pack(some, sums[some])))
+            rows_out += len(some)
             if rows_out > 200_000:
                 yield emitted()
                 out, rows_out = [], 0

@@ -488,6 +488,36 @@ def test_language_model(spark, shard_tokens, table_words):
     assert all(r.score == 0 for r in ngram_lm.score(df.where("doc_id = 1")).collect() if r.held_out and not r.train_tokens)
 
 
+@pytest.mark.parametrize("chunk", [ngram_lm.CHUNK, 40])
+def test_packets_give_each_ngram_once(monkeypatch, chunk):
+    # packets of one shard repeat each other's n-grams, of which only the different ones are to be looked up
+    monkeypatch.setattr(ngram_lm, "CHUNK", chunk)
+    r = np.random.default_rng(1)
+    codes = np.array([0, 1, 2, 7, ngram_lm.HASHED + 5, ngram_lm.HASHED + 2**60, ngram_lm.SELDOM])
+    packets, given, count = ngram_lm.Packets(), {}, Counter()
+    for k in range(50):
+        b, a, w = r.choice(codes[:-1], 30), r.choice(np.append(codes[:-1], -1), 30), r.choice(codes, 30)
+        n = r.integers(0, 3, 30)
+        asked = bytes([k])
+        given[asked] = list(zip(b.tolist(), a.tolist(), w.tolist()))
+        for g, x in zip(given[asked], n.tolist()):
+            count[g] += x
+        packets.add(ngram_lm._pack(b, a, w, np.where(w >= ngram_lm.HASHED, w % 1000, 0), n), asked)
+    packets.fold()
+    assert len(packets.folds) > 1 or chunk > 40
+    found = packets.different
+    grams = list(zip(*(x.tolist() for x in found.codes())))
+    assert grams == sorted(set(count)) and found.n.tolist() == [count[g] for g in grams]
+    pairs = list(zip(found.words[found.pair_b].tolist(), found.words[found.pair_w].tolist()))
+    assert pairs == sorted({(b, w) for b, _, w in grams}) and [pairs[i] for i in found.pair] == [(b, w) for b, _, w in grams]
+    two = Counter()
+    for (b, _, w), x in count.items():
+        two[b, w] += x
+    assert found.pair_n.tolist() == [two[g] for g in pairs]
+    assert [packets.of_word[found.w[i]] for i in range(len(grams))] == [w % 1000 if w >= ngram_lm.HASHED else 0 for _, _, w in grams]
+    assert {asked: [grams[i] for i in at] for asked, at in packets.spread(np.arange(len(grams)))} == given
+
+
 def test_language_model_holds_by_count(spark):
     # 8.4 million tokens, of which one is 1 / 2**23, and a pair and a triple of words that occur twice
     filler = " ".join(["f"] * 20_000)
