@@ -8,11 +8,12 @@ the next lower order. ``LEAST`` is a count, the same for every size of the corpu
 Tasks deal all n-grams, each with the rows that ask for it, once: to shards by the hash of
 the word before the last. So a shard has every count of its contexts. Its task counts the
 n-grams of training documents, writes the shard's trie, maps it into memory, looks up each
-different n-gram in it once, in order, and answers the rows by that. A trie has the words of the shard; under each word its next words, and the words
-before it; under each of these pairs the next words. A level's ids are made monotone by adding
-the last value before each context, and kept in Elias-Fano code, with monotone pointers, also
-in Elias-Fano code, to where each context's ids start. Both parts of a code are read where
-they lie in the mapped file. Shares and left masses are quantised to 16 bits.
+different n-gram in it once, in order, and answers the rows by that. A trie has the words of
+the shard; under each word its next words, and the words before it; under each of these pairs
+the next words. A level's ids are made monotone by adding the last value before each context,
+and kept in Elias-Fano code, with monotone pointers, also in Elias-Fano code, to where each
+context's ids start. Both parts of a code are read where they lie in the mapped file. Shares
+and left masses are quantised to 16 bits.
 
 A word that more than a shard's tokens follow is dealt out by the word before it. Its
 pairs are counted first, in shards by the word after it, whose files its shards map as well.
@@ -261,27 +262,36 @@ class NGrams:
     def __init__(self, codes: list[np.ndarray], n: np.ndarray) -> None:
         """Empties the list ``codes`` of b, a and w, to free memory."""
         self.words, b, a, w = _ranks(codes)
-        v = len(self.words)
-        key = b.astype(np.int64) * v + a
-        if v**3 >= 1 << 63:
-            key = np.unique(key, return_inverse=True)[1]
-        first, o, self.at = self._groups(key * v + w)
+        first, o, self.at = self._groups(self._key(b, a, w))
         self.n = np.add.reduceat(n[o], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
         some = o[first]
         self.b, self.a, self.w = b[some], a[some], w[some]
-        del key, b, a, w, o
-        first, o, self.pair = self._groups(self.b.astype(np.int64) * v + self.w)
+        del b, a, w, o
+        first, o, self.pair = self._groups(self._key(self.b, self.w))
         self.pair_n = np.add.reduceat(self.n[o], first) if len(first) else self.n
         self.pair_b, self.pair_w = self.b[o[first]], self.w[o[first]]
 
+    def _key(self, x: np.ndarray, *more: np.ndarray) -> np.ndarray:
+        """A number for each row of places, in the order of the rows."""
+        v = len(self.words)
+        key = x.astype(np.int64)
+        for i, y in enumerate(more):
+            if i and v**3 >= 1 << 63:
+                key = np.unique(key, return_inverse=True)[1]
+            key *= v
+            key += y
+        return key
+
     @staticmethod
     def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where equal keys begin in order, the order, and each one's group."""
         o = np.argsort(key)
         key = key[o]
         new = np.append(True, key[1:] != key[:-1])[: len(key)]
-        at = np.empty(len(o), np.int32)
-        at[o] = np.cumsum(new, dtype=np.int32) - 1
+        del key
+        at, number = np.empty(len(o), np.int32), np.cumsum(new, dtype=np.int32)
+        number -= 1
+        at[o] = number
         return np.flatnonzero(new), o, at
 
     def codes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -389,11 +399,13 @@ class Packets:
     """The n-grams of packets, each different one once, and what each packet asks."""
 
     def __init__(self) -> None:
-        self.ngrams, self.asked, self.size, self.folds, self.different = [], [], 0, [], None
+        self.ngrams, self.of_words, self.asked, self.size, self.folds, self.different = [], [], [], 0, [], None
 
     def add(self, ngrams: bytes, asked: bytes) -> None:
         b, a, w, of_word, n = _unpack(ngrams)
-        self.ngrams.append((b, a, w, n.astype(np.int32), of_word))
+        off = np.flatnonzero(of_word)
+        self.of_words.append((w[off], of_word[off]))
+        self.ngrams.append((b, a, w, n.astype(np.int32)))
         self.asked.append(asked)
         self.size += len(b)
         if self.size > 2 * CHUNK and (self.different is None or self.size > len(self.different.n)):
@@ -406,15 +418,19 @@ class Packets:
         known = 0
         if self.different is not None:
             known = len(self.different.n)
-            self.ngrams.insert(0, (*self.different.codes(), self.different.n, self.of_word[self.different.w]))
+            self.ngrams.insert(0, (*self.different.codes(), self.different.n))
+            self.of_words.append((self.different.words, self.of_word))
         lengths = [len(x[0]) for x in self.ngrams]
         columns, self.ngrams, self.different = list(zip(*self.ngrams)), [], None
-        of_word, n = np.concatenate(columns.pop()), np.concatenate(columns.pop())
+        n = np.concatenate(columns.pop())
         codes = [np.concatenate(columns.pop(0)) for _ in range(3)]
         found = NGrams(codes, n)
         # a count belongs to the word, whichever n-gram brings it
-        self.of_word = np.zeros(len(found.words), np.int64)
-        self.of_word[found.w[found.at]] = of_word
+        of_word = np.zeros(len(found.words), np.int64)
+        for w, many in self.of_words:
+            at = found.words.searchsorted(w)
+            of_word[at] = np.maximum(of_word[at], many)
+        self.of_word, self.of_words = of_word, []
         self.folds.append((known, lengths[1:] if known else lengths, self.asked, found.at))
         self.different, self.asked, self.size = found, [], 0
 
