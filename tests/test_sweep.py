@@ -180,3 +180,15 @@ def test_clusterings_of_large_groups_go_by_blocks(spark, small_blocks):
     for at, w in whole.items():
         some = ["pam", "hierarchical", "axis1", "axis2"] + ([] if at[0] == "b" else ["hdbscan", "hdbscan_confidence"])  # copies leave the density tree open
         assert np.allclose([w[c] for c in some], [blocks[at][c] for c in some], atol=1e-6)
+
+
+def test_clusterings_of_many_columns_are_planned(spark, small_blocks):
+    """Plans of large groups with 64 columns, which filled the driver's memory."""
+    r = np.random.default_rng(7)
+    names = [f"x{i}" for i in range(64)]
+    df = spark.createDataFrame([("a", i, [float(v) for v in r.normal(i % 3, 0.3, 64)]) for i in range(60)], "g string, id long, v array<double>")
+    df = df.select("g", "id", *(F.get("v", F.lit(i)).alias(x) for i, x in enumerate(names)))
+    whole, blocks = ({r.id: r for r in t.collect()} for t in (C.cluster_groups(df, "g", "id", names), C.cluster_groups(df, "g", "id", names, dense_rows=10)))
+    assert whole.keys() == blocks.keys() and len(whole) == 60
+    assert all((w.pam, w.hierarchical) == (blocks[i].pam, blocks[i].hierarchical) for i, w in whole.items())
+    assert all(np.allclose((w.axis1, w.axis2), (blocks[i].axis1, blocks[i].axis2), atol=1e-6) for i, w in whole.items())
