@@ -192,3 +192,28 @@ def test_clusterings_of_many_columns_are_planned(spark, small_blocks):
     assert whole.keys() == blocks.keys() and len(whole) == 60
     assert all((w.pam, w.hierarchical) == (blocks[i].pam, blocks[i].hierarchical) for i, w in whole.items())
     assert all(np.allclose((w.axis1, w.axis2), (blocks[i].axis1, blocks[i].axis2), atol=1e-6) for i, w in whole.items())
+
+
+def test_greedy_start_and_sums_take_one_pass_over_pairs(spark, small_blocks, monkeypatch):
+    """The greedy start by bounds, and sums of distances within labels by running sums, against the whole matrix."""
+    from strandmill.operators import blocked
+
+    monkeypatch.setattr(blocked, "LOOKS", 7)
+    monkeypatch.setattr(blocked, "SHARE", 1000)
+    rows = [(0, *r[1:]) for r in mixed(copies=False)[0] if r[0] == "a"]
+    names = ["f0", "f1", "f2", "c0", "c1"]
+    df = spark.createDataFrame(rows, "g long, id long, f0 int, f1 int, f2 int, c0 double, c1 double")
+    p = blocked.deal(blocked.fold(df, "g", "id", names), "g", names[:3], names[3:]).scaled({0: np.array([0.1, 0.2, 0.3, 1.0, 0.5])})
+    d = C.manhattan(np.array([r[2:] for r in rows], float) * p.scales[0])
+    passes, over = [], blocked.over
+    monkeypatch.setattr(blocked, "over", lambda s, tasks, run, schema: passes.append(run.__name__) or over(s, tasks, run, schema))
+    blocked.by_column(spark, p)
+    got = [i for i, _ in blocked.start(spark, p, 6)[0]]
+    want = [int(d.sum(1).argmin())]
+    while len(want) < 6:
+        gains = np.maximum(d[want].min(0)[None, :] - d, 0).sum(1)
+        gains[want] = -1
+        want.append(int(gains.argmax()))
+    assert got == want and passes.count("every") == 1 and passes.count("ask") >= 4
+    of = np.arange(len(rows)) % 5 - 1
+    assert np.allclose(blocked.own_sums(p, 0, of), (d * (of[:, None] == of[None, :])).sum(1), atol=1e-9)
